@@ -33,6 +33,8 @@ WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 MEMORY = 700_000
 #: Symbols that are merged side by side.
 SIDE_BY_SIDE = 1 << 17
+#: Words of so many bytes are merged one by one, with plain lists: there are too few of them to fill arrays.
+LONG_WORD = 1024
 NONE = np.iinfo(np.int64).max
 
 #: The word pattern of the byte-level file kind (its pre-tokenizer names it without spelling it out).
@@ -113,6 +115,13 @@ class Merger:
             if width == 0:
                 continue
             rows = np.flatnonzero(widths == width)
+            if width > LONG_WORD:
+                for k in rows.tolist():
+                    ids = self._merged_alone(words[k])
+                    starts[k], counts[k] = held, len(ids)
+                    parts.append(ids)
+                    held += len(ids)
+                continue
             step = max(1, SIDE_BY_SIDE // int(width))
             for i in range(0, len(rows), step):
                 part = rows[i : i + step]
@@ -122,6 +131,54 @@ class Merger:
                 held += len(ids)
         return (np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)), starts, counts
 
+    @functools.cached_property
+    def by_pair(self) -> dict[int, int]:
+        """The rank of each pair."""
+        full = np.flatnonzero(self.table >= 0)
+        return dict(zip(self.table[full].tolist(), self.rank[full].tolist(), strict=True))
+
+    def _merged_alone(self, word: bytes) -> np.ndarray:
+        """The same tree for one long word."""
+        n, ranks, made = len(word), self.by_pair, self.made.tolist()
+        sym = self.first[np.frombuffer(word, dtype=np.uint8)].tolist()
+        sym[-1] = int(self.last[word[-1]])
+        size = 1 << (n - 1).bit_length()
+        tree = [NONE] * (2 * size)
+        for i in range(n - 1):
+            rank = ranks.get(sym[i] << 20 | sym[i + 1])
+            if rank is not None:
+                tree[size + i] = rank << 32 | i
+        for node in range(size - 1, 0, -1):
+            tree[node] = min(tree[2 * node], tree[2 * node + 1])
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def put(place: int, value: int) -> None:
+            node = size + place
+            tree[node] = value
+            while node > 1:
+                node >>= 1
+                a, b = tree[2 * node], tree[2 * node + 1]
+                least = a if a < b else b
+                if tree[node] == least:
+                    break
+                tree[node] = least
+
+        while tree[1] != NONE:
+            here, new = tree[1] & 0xFFFFFFFF, made[tree[1] >> 32]
+            gone = after[here]
+            following, previous = after[gone], before[here]
+            sym[here], sym[gone], after[here] = new, -1, following
+            put(gone, NONE)
+            rank = None
+            if following < n:
+                before[following] = here
+                rank = ranks.get(new << 20 | sym[following])
+            put(here, NONE if rank is None else rank << 32 | here)
+            if previous >= 0:
+                rank = ranks.get(sym[previous] << 20 | new)
+                put(previous, NONE if rank is None else rank << 32 | previous)
+        return np.array([x for x in sym if x >= 0], dtype=np.int64)
+
     def _merged(self, words: list[bytes], sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         n, wide = len(words), width + 2  # a place before the first symbol and one after the last
         sym = np.full((n, wide), self.none, dtype=np.int64)

@@ -94,6 +94,17 @@ def chunks(batch: pa.RecordBatch, text: str = "text", most: int = CHUNK_CHARS) -
         yield batch.slice(start), texts[start:]
 
 
+def folded(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns of keep, and all others in one struct _rest, where their names clash with nothing."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in keep]
+    return docs.select(*[c for c in docs.columns if c in keep], (F.struct(*rest) if rest else F.lit(0)).alias("_rest"))
+
+
+def unfolded(df: DataFrame, names: list[str], keep: list[str]) -> DataFrame:
+    """The columns `names` of a table that folded() made."""
+    return df.select(*[F.col(c) if c in keep else F.col(f"_rest.`{c}`") for c in names])
+
+
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(f, schema)
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import chunks, written
+from wayfold.llm.common import chunks, folded, unfolded, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring; entities of a kind that a pattern needs; what patterns and candidates must score.
@@ -188,16 +188,17 @@ def redacted(docs: DataFrame) -> DataFrame:
     unless something was discovered in them.
     """
     accepted = discovered(written(mentions(docs), "mentions"))
-    names = [*docs.columns]
+    names, own = docs.columns, ["doc_id", "text", "n_chars"]
     n = accepted.count()
     known: frozenset[str] | None = frozenset(r.entity for r in accepted.select("entity").collect()) if n <= 100_000 else None
+    rows = folded(docs, own)
     if known is None:  # too many to send along: texts with discovered entities are joined with these
-        raise_at = written(found_spans(docs.withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("h")))).filter("size(spans) > size(base)"), "extra-spans")
-        extra = raise_at.select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.h").alias("_h"), "spans").dropDuplicates(["_id", "_h"])
-        docs = docs.withColumn("_x", F.xxhash64("text")).join(extra, F.expr("doc_id <=> _id AND _x = _h"), "left").select(*names, F.col("spans").alias("_spans"))
+        more = written(found_spans(docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text")).filter("size(spans) > size(base)"), "extra-spans")
+        more = more.select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.h").alias("_h"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_h"])
+        rows = rows.withColumn("_x", F.xxhash64("text")).join(more, F.expr("doc_id <=> _id AND _x = _h"), "left").drop("_x", "_id", "_h")
     else:
-        docs = docs.withColumn("_spans", F.lit(None).cast(SPANS))
-    schema = docs.select(*names).schema
+        rows = rows.withColumn("_spans", F.lit(None).cast(SPANS))
+    kept = [c for c in rows.columns if c != "_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +215,7 @@ def redacted(docs: DataFrame) -> DataFrame:
                     t = "".join([*out, t[at:]]) if out else t
                 texts.append(t)
                 sizes.append(None if t is None else len(t))
-            arrays = [pa.array(texts, pa.string()) if c == "text" else pa.array(sizes, pa.int64()) if c == "n_chars" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+            arrays = [pa.array(texts, pa.string()) if c == "text" else pa.array(sizes, pa.int64()) if c == "n_chars" else batch.column(c) for c in kept]
+            yield pa.RecordBatch.from_arrays(arrays, kept)
 
-    return docs.mapInArrow(run, schema)
+    return unfolded(rows.mapInArrow(run, rows.select(*kept).schema), names, own)

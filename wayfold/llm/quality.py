@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import written
+from wayfold.llm.common import folded, unfolded, written
 
 #: A line is boilerplate if over LEAST_DOCS and over SHARE of a host's documents hold it, and at most COPIES of these
 #: between the same neighbours.
@@ -88,16 +88,19 @@ def verdicts(docs: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame) -> DataFrame:
     """Kept documents without boilerplate lines, n_chars counted anew; columns as in docs.
 
-    Rows find their verdicts by doc_id, source and text hash, so repeated rows share one.
+    Rows find their verdicts by doc_id, source and text hash, so repeated rows share one. Other columns pass as they are.
     """
-    verdict, common = judged(docs.withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("th"))))
-    by = verdict.filter("kept").select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.th").alias("_th"), "host", "removed", "row")
-    by = by.groupBy("_id", "_th", "host").agg(F.max("removed").alias("_removed"), F.min("row").alias("_row"))
-    hit = by.filter("_removed > 0")
-    lines = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), F.coalesce("source", F.lit("")).alias("host"), F.explode(F.expr(f"array_distinct(transform(filter(split(text, '\\n'), x -> x rlike '[^ \\\\t-\\\\r]'), x -> xxhash64({_normal('x')})))")).alias("h"))
+    names, own = docs.columns, ["doc_id", "source", "text", "n_chars"]
+    host = F.coalesce("source", F.lit("")).alias("host")
+    verdict, common = judged(docs.select(F.struct("doc_id", F.xxhash64("text").alias("th")).alias("doc_id"), "source", "text"))
+    by = verdict.filter("kept").groupBy(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.th").alias("_th"), "host").agg(F.max("removed").alias("removed"))
+    hit = by.filter("removed > 0").select("_id", "_th", "host")
+    hashes = F.expr(f"array_distinct(transform(filter(split(text, '\\n'), x -> x rlike '[^ \\\\t-\\\\r]'), x -> xxhash64({_normal('x')})))")
+    lines = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), host, F.explode(hashes).alias("h"))
     found = lines.join(common, ["host", "h"], "left_semi").groupBy("_id", "_th", "host").agg(F.collect_set("h").alias("_lines"))
-    by = by.join(found.join(hit.select("_id", "_th", "host"), ["_id", "_th", "host"], "left_semi").withColumnRenamed("_id", "_i").withColumnRenamed("_th", "_t").withColumnRenamed("host", "_h"), F.expr("_id <=> _i AND _th = _t AND host = _h"), "left").select("_id", "_th", "host", "_lines")
-    rows = docs.withColumn("_t", F.xxhash64("text")).withColumn("_s", F.coalesce("source", F.lit("")))
-    rows = rows.join(by, F.expr("doc_id <=> _id AND _t = _th AND _s = host"))
+    found = found.join(hit, ["_id", "_th", "host"], "left_semi").select(F.col("_id").alias("_i"), F.col("_th").alias("_t"), F.col("host").alias("_h"), "_lines")
+    by = by.join(found, F.expr("_id <=> _i AND _th = _t AND host = _h"), "left").select("_id", "_th", F.col("host").alias("_host"), "_lines")
+    rows = folded(docs, own).withColumns({"_x": F.xxhash64("text"), "_s": F.coalesce("source", F.lit(""))})
+    rows = rows.join(by, F.expr("doc_id <=> _id AND _x = _th AND _s = _host"))
     text = F.expr(f"CASE WHEN _lines IS NULL THEN text ELSE array_join(filter(split(text, '\\n'), x -> NOT coalesce(array_contains(_lines, xxhash64({_normal('x')})), false) OR NOT x rlike '[^ \\\\t-\\\\r]'), '\\n') END")
-    return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return unfolded(rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")), names, own)
