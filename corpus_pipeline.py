@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from wayfold.llm import packing, pii, quality, simhash, toxicity
-from wayfold.llm.common import load, written
+from wayfold.llm.common import folded, load, unfolded, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -27,10 +29,17 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest doc_id. Rows without a doc_id are left out."""
+    """One document of each group of near duplicates: that of the smallest doc_id.
+
+    Of rows with the same doc_id one stays, that of the least text hash. Rows without a doc_id can't be told apart and all stay.
+    """
     groups = simhash.near_duplicates(docs)
     stays = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    names, own = docs.columns, ["doc_id", "text"]
+    rows = folded(docs, own).join(stays, "doc_id", "left_semi")
+    first = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    rows = rows.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1")
+    return unfolded(rows, names, own).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
