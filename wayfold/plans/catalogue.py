@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from wayfold.plans import place_queries  # noqa: F401  they register themselves
+from wayfold.plans.registry import ORACLE, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
