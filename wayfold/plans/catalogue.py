@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayfold.plans import place_queries  # noqa: F401  they register themselves
+from wayfold.plans import place_queries, text_queries  # noqa: F401  they register themselves
 from wayfold.plans.registry import ORACLE, QUERIES
 
 
