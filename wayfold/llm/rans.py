@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from wayfold.llm.bpe import BYTE_BPE, encoder
 from wayfold.llm.common import chunks, commit, content, dealt_by_range, running_start, shared_path, written
 
-SCALE_BITS, LANES, BLOCK, FILE_IDS = 20, 256, 1 << 17, 1 << 21
+SCALE_BITS, LANES, BLOCK, FILE_IDS = 20, 1024, 1 << 18, 1 << 21
 #: States stay in [LOW, LOW << 32) between ids.
 LOW = 1 << 31
 MAGIC = b"RANSIDS1"
