@@ -29,7 +29,7 @@ def test_known_scores(spark):
     one = scores(spark, [(5.0, 0, None)])
     assert (one.n_effective, one.final_score, one.reliability) == (3.0, 4.09, "estimated")
     three = scores(spark, [(5.0, 0, None), (1.0, 1, None), (1.0, 0, "clien")])
-    assert (three.n_effective, three.final_score) == (3.9, 4.08)
+    assert (three.n_effective, three.review_score, three.final_score) == (3.9, 4.08, 3.66)
     assert scores(spark, [(5.0, 0, None)], "hell").final_score == 2.9
     none = scores(spark, [])
     assert (none.final_score, none.reliability) == (3.0, "none")
