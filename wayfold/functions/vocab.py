@@ -96,3 +96,45 @@ class Feelings:
 
 #: Regions of summaries and of slugs.
 SUMMARY_REGIONS = "서울 부산 대구 인천 광주 대전 울산 세종 경기 강원 충북 충남 전북 경북 경남 제주".split()
+
+# What names of places not yet in the catalogue are told by.
+MISSED_GENERIC = "지하 주차 주차장 노상 노외 부설 민영 공영 지하주차장 공영주차장 노상공영 노외주차장 민영주차장 공영주차".split()
+MISSED_FRAGMENTS = (
+    "넓은 좁은 유료 무료 직영 민간위탁 위탁 공공 전국 상세 가까운 임시 임시공영 시민행복 행복 개방 무료개방 연휴 추석연휴 설연휴 명절 할인 예매 실시간 상영시간표 자투리 활용 생활 본사 아파트 종합 무인 만차 빈자리 추천 "
+    "근처 주변 인근 일대 입구 출구 정문 후문 바로 전용 간이 임시개방"
+).split()
+MISSED_PAGES = r"(?i)(플레이스뷰|포털|포탈|홈페이지|블로그|카페|채용공고|구인구직|공공근로|게시판|바로가기|예매|상영시간표|실시간|CGV|롯데시네마|메가박스|Instagram|인스타그램|영화)"
+MISSED_ORGANIZATIONS = r"(도시개발공사|도시관리공사|시설관리공단|도시공사|공사|공단|통합관리|운영사|관리사무소)"
+PARKING_NAME = r"(?i)(주차장|파킹|parking)"
+PARKING_NAME_STRONG = r"(?i)(공영주차장|민영주차장|지하주차장|부설주차장|제\s*\d+\s*주차장|파킹|parking)"
+PARKING_KIND = r"(?i)(공영|민영|지하|노상|노외|부설|공공)?\s*(주차장|파킹|parking)"
+ADMIN_TAIL = r"(시|군|구|읍|면|리|동|가|역)$"
+FULL_PROVINCES = "서울특별시 부산광역시 대구광역시 인천광역시 광주광역시 대전광역시 울산광역시 세종특별자치시 경기도 강원특별자치도 강원도 충청북도 충청남도 전라북도 전북특별자치도 전라남도 경상북도 경상남도 제주특별자치도 경기 강원 충북 충남 전북 전남 경북 경남 제주 세종".split()
+MISSED_CONFIDENCE = {"parking_lot_name": 0.7, "facility_name": 0.5, "organization_name": 0.3, "region_name": 0.2, "generic_term": 0.1, "page_or_service": 0.05, "unknown": 0.2}
+
+# Words that a crawled title's match with a name leaves out or counts as common; what names are compared without.
+CRAWL_SUFFIXES = r"주차장|공영|노외|노상|부설|제\d+"
+CRAWL_COMMON = "시장 공원 아파트 역사 학교 병원 마을 센터 회관".split()
+NAME_STRIP = "주차장|공영|민영|노외|노상|부설|유료|무료|임시|기계식"
+
+# What shows that a summary was copied from a page's frame, by name, the first that fits.
+CHROME = {
+    "naver_blog_menu": r"MY메뉴 열기|_My Menu|클립만들기|블로그 앱|내 상품 관리 NEW",
+    "naver_blog_chrome": r"이 블로그의 체크인|이 장소의 다른 글",
+    "naver_blog_font_ctrl": r"본문 폰트 크기 (조정|작게|크게)|본문 기타 기능",
+    "naver_cafe_chrome": r"홈 로그인하기|로그인이 필요합니다|useCafeId=false",
+    "markdown_residue": r"(?i)\]\(https?://m\. com/",
+    "markdown_image": r"!\[[^\]]*\]\(https?:",
+    "markdown_header": r"(?:^|\n)#{1,6} [^\n]+\n",
+    "markdown_link_dump": r"(?:\]\(https?:[^)]+\)[^.]{0,30}){3,}",
+    "llm_injection": r"OpenAI GPT|이 텍스트를 자동으로 처리|저작권 보호를 받습니다",
+    "network_error": r"로딩중입니다|네트워크 문제",
+    "coupang_partners": r"쿠팡 파트너스",
+    "meta_only": r"(정보를?\s*제공합니다|정보를?\s*확인할 수 있습니다|상세\s*정보를?\s*포함합니다|정책 변경 여부를?\s*확인)",
+    "ai_disclosure": r"(AI[가]? 분석|데이터에 따르면|본 페이지는 자동|AI 생성 콘텐츠)",
+    "qa_template": r"(Q\.\s*[^A]+A\.\s*)",
+}
+
+# Expressions that generated texts must not use, and sentences that show a template.
+BANNED = ["무조건", "반드시 비어 있", "100%", "완전 무료", "항상 여유", "절대", "최고의", "가장 저렴", "가장 가까운", "확실히", "걱정 없이", "주말에도 넉넉", "피크타임에도 문제없"]
+TEMPLATES = ["방문 목적에 맞게 이용하면 좋습니다", "미리 확인하시는 것을 권장합니다", "사용자 리뷰를 참고하시기 바랍니다", "실제 이용 전 확인해 보시기 바랍니다", "다양한 이용객들의 후기가 있습니다"]

@@ -33,6 +33,9 @@ VIEWS = {
     "p_messages": "SELECT event_id, ts, concat('KA-', CAST((user_id*3) % 1500 AS STRING)) AS lot_id, CASE event_type WHEN 'signup' THEN 'review_created' ELSE 'review_deleted' END AS reason FROM {events} WHERE event_type IN ('signup','purchase')",
     "p_progress": "SELECT concat('naver_blogs_lot:KA-', CAST((user_id*3) % 1500 AS STRING)) AS crawler_id, max(ts) AS last_run_at, count(*) AS completed_count FROM {events} GROUP BY 1",
     "p_missed": "SELECT conv_id*100+turn AS id, split_part(text,' ',1) AS missed_lot_name, role AS source, text AS content FROM {conversations}",
+    "p_results": """SELECT s_suppkey AS id, concat('c', CAST(s_nationkey AS STRING)) AS candidate, s_name AS name, CASE WHEN s_suppkey % 4 = 0 THEN '음식점' ELSE '주차장' END AS category, concat(r_name,' ',n_name) AS address,
+        33 + CAST((s_suppkey*37) % 6000 AS DOUBLE)/1000 + CASE WHEN s_suppkey % 3 = 0 THEN 0.0001e0 ELSE 0.0015e0 END AS lat, 124 + CAST((s_suppkey*53) % 8000 AS DOUBLE)/1000 AS lng
+        FROM {supplier} JOIN {nation} ON n_nationkey=s_nationkey JOIN {region} ON r_regionkey=n_regionkey WHERE s_nationkey % 7 <> 6""",
     "p_media": "SELECT event_id AS id, concat('KA-', CAST((event_id*3) % 1500 AS STRING)) AS parking_lot_id, 'youtube' AS media_type, props AS url, ts AS created_at FROM {events} WHERE event_type='view'",
 }
 
