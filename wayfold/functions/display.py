@@ -134,11 +134,16 @@ def topic_context(text: Column, topic: str = "주차", around: int = 200, most:
     """Stretches of `around` characters before and after each start of topic, those that touch as one, joined by ' … ' and cut at most."""
     after = around - len(topic)
     parts = F.split(trimmed(F.regexp_replace(strip_links(text), r"(?U)\s+", " ")), topic)
-    last = F.size(parts) - 1
     between = lambda p: F.when(F.length(p) <= around + after, p).otherwise(F.concat(F.left(p, F.lit(after)), F.lit(" … "), F.right(p, F.lit(around))))
-    shown = F.transform(parts, lambda p, i: F.when(i == 0, F.right(p, F.lit(around))).when(i == last, F.left(p, F.lit(after))).otherwise(between(p)))
-    out = F.when(last > 0, F.array_join(shown, topic)).otherwise("")
-    return F.when(F.length(out) > most, F.concat(F.left(out, F.lit(most)), F.lit("..."))).otherwise(out)
+    bound = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))  # noqa: E731  c is computed once, however often f names it
+
+    def joined(own: Column) -> Column:
+        last = F.size(own) - 1
+        shown = F.transform(own, lambda p, i: F.when(i == 0, F.right(p, F.lit(around))).when(i == last, F.left(p, F.lit(after))).otherwise(between(p)))
+        return F.when(last > 0, F.array_join(shown, topic)).otherwise("")
+
+    cut = lambda t: F.when(F.length(t) > most, F.concat(F.left(t, F.lit(most)), F.lit("..."))).otherwise(t)
+    return bound(bound(parts, joined), cut)
 
 
 def chrome(text: Column) -> Column:
