@@ -1,4 +1,4 @@
-"""A corpus pipeline of five stages, each one operator of wayfold.llm applied to what the stage before it kept.
+"""A corpus pipeline of five stages, each one module of wayfold.llm applied to what the stage before it kept.
 
 Stages give the columns of documents (the last one packed pieces). Rejected documents go at the quality and toxicity
 stages; of near duplicates one document stays, the one of the smallest doc_id; personal data is replaced by its kind.
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from wayfold.llm import packing, pii, quality, simhash, toxicity
+from wayfold.llm import jaccard, packing, pii, quality, toxicity
 from wayfold.llm.common import folded, load, unfolded, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -31,9 +31,10 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest doc_id.
 
+    Near duplicates share 80 % of their five-word shingles or more, counted exactly (op6's SimHash radius would miss most of them).
     Of rows with the same doc_id one stays, that of the least text hash. Rows without a doc_id can't be told apart and all stay.
     """
-    groups = simhash.near_duplicates(docs)
+    groups = jaccard.near_duplicates(docs)
     stays = groups.filter("doc_id = component_id").select("doc_id").distinct()
     names, own = docs.columns, ["doc_id", "text"]
     rows = folded(docs, own).join(stays, "doc_id", "left_semi")
