@@ -2,9 +2,8 @@
 
 A line (white space collapsed, A-Z and the like lower-cased) is hashed; per host (the source) the distinct documents that
 hold it are counted. A line that too many documents of a host share is boilerplate and removed; a document of which too
-little is left is rejected. Copies of one document are not boilerplate: lines of copies stand between the same
-neighbours, so documents are counted once per pair of neighbouring lines, and a line most of whose documents show the same
-neighbours is left alone.
+little is left is rejected. Copies of one document are not boilerplate: documents of a host with the same set of lines
+count once, for a line and for the host alike.
 
 Base measures come from the text itself: words, their code points, symbols, repeated lines, and words in windows of five
 that occur twice or more. Null and empty texts have no words and fail. A null source is a host of its own. Repeated rows
@@ -18,9 +17,8 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.common import folded, unfolded, written
 
-#: A line is boilerplate if over LEAST_DOCS and over SHARE of a host's documents hold it, and at most COPIES of these
-#: between the same neighbours.
-LEAST_DOCS, SHARE, COPIES = 20, 0.01, 0.2
+#: A line is boilerplate if over LEAST_DOCS and over SHARE of a host's distinct documents hold it.
+LEAST_DOCS, SHARE = 20, 0.01
 #: A document is depleted if fewer words are left, or less than this part of its words.
 LEAST_WORDS, LEAST_LEFT = 10, 0.2
 #: Base rules.
@@ -34,7 +32,7 @@ def _normal(line: str) -> str:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """Row number, doc_id, host, base measures, and the document's distinct lines: hash, neighbours' hash and words."""
+    """Row number, doc_id, host, base measures, the hashes of the document's distinct lines, their hash, and all lines with words."""
     t = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("host"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.withColumn("row", F.monotonically_increasing_id())
     t = t.withColumn("words", F.expr(f"filter(split(text, '{SPACE}'), w -> w <> '')"))
@@ -51,21 +49,18 @@ def measured(docs: DataFrame) -> DataFrame:
     t = t.withColumn("n_repeat_words", F.expr(f"aggregate(repeats, struct(0L AS n, -{WINDOW} AS last), (a, i) -> struct(a.n + least({WINDOW}, i - a.last) AS n, i AS last), a -> a.n)"))
     t = t.withColumn("hashes", F.expr(f"transform(lines, x -> xxhash64({_normal('x')}))"))
     t = t.withColumn("sizes", F.expr(f"transform(lines, x -> size(split({_normal('x')}, ' ')))"))
-    t = t.withColumn("met", F.expr("sort_array(transform(hashes, (h, i) -> struct(h, i)))"))
-    t = t.withColumn("first", F.expr("filter(met, (x, i) -> i = 0 OR x.h <> met[greatest(i - 1, 0)].h)"))
-    kept = "struct(x.h AS h, xxhash64(get(hashes, x.i - 1), get(hashes, x.i + 1)) AS near)"
-    t = t.withColumn("line_set", F.expr(f"transform(first, x -> {kept})"))
+    t = t.withColumn("line_set", F.expr("sort_array(array_distinct(hashes))"))
+    t = t.withColumn("set_hash", F.xxhash64("line_set"))
     t = t.withColumn("line_list", F.expr("arrays_zip(hashes, sizes)"))
-    return t.select("row", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_set", "line_list")
+    return t.select("row", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_set", "set_hash", "line_list")
 
 
 def frequent_lines(marked: DataFrame) -> DataFrame:
     """host and h of boilerplate lines."""
-    one = marked.select("host", F.explode("line_set").alias("x")).groupBy("host", "x.h", "x.near").agg(F.count("*").alias("n"))
-    per_line = one.groupBy("host", "h").agg(F.count("*").alias("docs"), F.max("n").alias("most"), F.sum("n").alias("all"))
-    per_host = marked.groupBy("host").agg(F.count("*").alias("host_docs"))
-    common = per_line.filter((F.col("docs") > LEAST_DOCS) & (F.col("most") <= COPIES * F.col("all")))
-    return common.join(per_host, "host").filter(F.col("docs") > SHARE * F.col("host_docs")).select("host", "h")
+    one = marked.select("host", "set_hash", F.explode("line_set").alias("h")).distinct()
+    per_line = one.groupBy("host", "h").agg(F.count("*").alias("docs")).filter(F.col("docs") > LEAST_DOCS)
+    per_host = marked.select("host", "set_hash").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    return per_line.join(per_host, "host").filter(F.col("docs") > SHARE * F.col("host_docs")).select("host", "h")
 
 
 def judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -74,7 +69,7 @@ def judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     common = written(frequent_lines(marked), "common-lines")
     lines = marked.select("row", "host", F.explode("line_list").alias("x")).select("row", "host", F.col("x.hashes").alias("h"), F.col("x.sizes").alias("words"))
     removed = lines.join(common, ["host", "h"], "left_semi").groupBy("row").agg(F.sum("words").alias("removed"))
-    out = marked.drop("line_set", "line_list").join(removed, "row", "left").withColumn("removed", F.coalesce("removed", F.lit(0)).cast("long"))
+    out = marked.drop("line_set", "set_hash", "line_list").join(removed, "row", "left").withColumn("removed", F.coalesce("removed", F.lit(0)).cast("long"))
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     left = F.col("n_words") - F.col("removed")
     depleted = (left < LEAST_WORDS) | (left < LEAST_LEFT * F.col("n_words"))
