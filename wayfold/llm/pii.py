@@ -184,6 +184,7 @@ def span_digests(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with each span replaced by its kind in angle brackets, n_chars counted anew; columns as in docs.
 
+    Overlapping spans are replaced as one, by the kind of the first.
     Discovered entities come from all of docs; base spans are found anew in each text, so the texts are not shuffled
     unless something was discovered in them.
     """
@@ -211,7 +212,7 @@ def redacted(docs: DataFrame) -> DataFrame:
                     for k, a, b in sorted({*base, *more}, key=lambda s: (s[1], -s[2])):
                         if a >= at:
                             out += [t[at:a], f"<{k}>"]
-                            at = b
+                        at = max(at, b)
                     t = "".join([*out, t[at:]]) if out else t
                 texts.append(t)
                 sizes.append(None if t is None else len(t))
