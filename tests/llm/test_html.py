@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import collections
+
+from pyspark.sql import functions as F
+
 from wayfold.llm import html_extract
+from wayfold.llm.common import load
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{{}}</style></head><body><nav><a href=/>Home</a></nav>
 <header class=site><h1>Site</h1></header><div class="cookie-notice">Accept?</div>
@@ -30,6 +35,50 @@ def test_template_of_a_host_is_removed(spark):
     assert got == {**{i: f"Page number {i} is here" for i in range(12)}, 99: "Our shop sells shoes. Call us. Alone"}
 
 
+def test_repeated_parts_of_articles_and_pages(spark):
+    """On a host with enough pages what recurs goes, within articles too; names are not needed, copies and rare blocks stay."""
+    menu, notice = "<div><a href=/>Start</a> <a href=/b>Shop</a></div>", "<div><p>Read our terms.</p><p>They bind you.</p><p>Thank you.</p></div>"
+    body = lambda i, text: f"<body>{menu}<div class=x{i}>Buy thing {i}</div><main><h1>News</h1>{text}{notice}</main></body>"
+    own = [f"<p>First {i} of the day.</p><p>Second {i}, which is longer.</p>" for i in range(20)]
+    copied = "<p>A wire story.</p><p>It is printed again and again.</p>"
+    rows = [(i, f"http://n.example/{i}", body(i, t), None, None) for i, t in enumerate(own)]
+    rows += [(100 + i, f"http://n.example/c{i}", body(i, copied), None, None) for i in range(30)]
+    rows += [(200 + i, f"http://n.example/p{i}", body(i, f"<p>Shared passage.</p><p>Around it {i} stand words that no other page has at all.</p>"), None, None) for i in range(8)]
+    expected = {i: f"News First {i} of the day. Second {i}, which is longer." for i in range(20)}
+    expected |= {100 + i: "News A wire story. It is printed again and again." for i in range(30)} | {200 + i: f"News Shared passage. Around it {i} stand words that no other page has at all." for i in range(8)}
+    for sent in (html_extract.SENT, 0):  # sent along, or joined with the pages
+        assert {r.page_id: r.text for r in html_extract.extracted(pages(spark, rows), sent).collect()} == expected
+
+
+def test_whole_table_against_brute_force(spark, sf_dir):
+    """Counts and deletions over the whole table; most pages need the template, and the names of classes hardly matter."""
+    table = load(spark, sf_dir, "pages")
+    rows = table.collect()
+    bodies = collections.defaultdict(set)
+    for r in rows:
+        host = html_extract.host_of(r.url)
+        found, body = html_extract.hashed(html_extract.parsed(r.html or ""), host)
+        for h, inner in found.items():
+            bodies[host, h, inner].add(body)
+    every = {host: len(own) for (host, h, _), own in bodies.items() if h == html_extract.digest(host, "host")}
+    template = {h for (host, h, inner), own in bodies.items() if len(own) >= 5 and len(own) >= (0.5 if inner else 0.005) * every[host]}
+    hashes = html_extract.page_hashes(table.withColumn("row", F.xxhash64("url", "html")))
+    assert {r.h for r in html_extract.template_of(hashes).collect()} == template
+    expected, without, changed = [], 0, 0
+    for r in rows:
+        texts = []
+        for known in (template, {h for h in template if h in {html_extract.digest(host, "host") for host in every}}):
+            root = html_extract.parsed(r.html or "")
+            html_extract.hashed(root, html_extract.host_of(r.url))
+            texts.append(html_extract.text_of(root, known))
+        expected.append((r.page_id, texts[0]))
+        changed += texts[0] != texts[1]
+    for sent in (html_extract.SENT, 0):
+        assert sorted((r.page_id, r.text) for r in html_extract.extracted(table, sent).collect()) == sorted(expected)
+    counted = sum(every[html_extract.host_of(r.url)] >= 5 for r in rows)
+    assert changed >= 0.95 * counted
+
+
 def test_long_and_broken_pages(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 10
     rows = [(1, "u", deep, None, None), (2, "u", "<p>a<p>b</div></p>c" + " word" * 100_000, None, None), (3, "u", "<div <p x='1>broken", None, None)]

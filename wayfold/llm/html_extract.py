@@ -1,13 +1,20 @@
 """Operator 4: main text of web pages by site template removal.
 
-A page is cut into elements in one pass. Each element subtree outside the main content has a hash of its tags and text;
-Spark counts the pages of each host that hold it. Subtrees that recur across many pages of a host are template and are
-deleted, with all elements that never hold main text (navigation, headers and footers of the page, forms, scripts,
-adverts, comments and the like, by tag, role or class). What is left of the article or main element, or of the whole body
-where a page has none, is the text: blocks in page order, white space collapsed, joined by one space.
-
-Within an article or main element nothing is deleted for recurring: articles may be copies and share passages.
-Null and empty pages have an empty text. Repeated rows each give a row; a null url is a host of its own.
+A page is cut into elements in one pass. Each element subtree has a hash of its tags and text, and each element outside
+the main content (the outermost article or main elements) one of its place: the tags and names on the way to it. Spark
+counts the distinct page bodies of each host that hold a hash; copies of an article are one body, so they are no template.
+What recurs is deleted, and the rest of the page is its text: blocks in page order, white space collapsed, joined by one space.
+
+* Outside main content a subtree goes if it, or its place, is on LEAST_PAGES bodies of the host and on SHARE of them.
+* In main content, and on pages that have none, only subtrees count. In main content these are whole blocks (paragraphs,
+  lists, divisions; never words or headings) on INNER_SHARE of the bodies, for articles share passages; and a page of
+  whose main content more than half recurs is a near copy of others and keeps it.
+* Of pages with main content on hosts of fewer than LEAST_PAGES bodies, where nothing can be counted, only that is taken.
+* Markup that says of itself that it is no main text (nav, footer, aside, form, script, hidden parts, roles) goes everywhere.
+  A list of class names (ads, comments and so on) serves in main content and on pages without it.
+
+Null and empty pages have an empty text. Repeated rows each give a row; a null url is a host of its own. Other columns of
+pages do not matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,10 +31,10 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.common import chunks, written
 
-#: A subtree is template if it is on so many pages of a host and on this share of them.
-LEAST_PAGES, SHARE = 5, 0.005
-#: Hashes of template subtrees that are sent to all tasks at most (8 bytes each); beyond, pages are joined with theirs.
-SENT = 2_000_000
+#: Outside main content, a hash is template if so many bodies of a host hold it and this share of them; in main content, this share.
+LEAST_PAGES, SHARE, INNER_SHARE = 5, 0.005, 0.5
+#: Hashes of template that are sent to all tasks at most (8 bytes each); beyond, pages are joined with theirs. Both give the same.
+SENT = 200_000
 
 #: Elements of HTML by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,8 +45,11 @@ ENDS_P = BLOCKS - frozenset("body html caption dd dt tbody td tfoot th thead tr
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPES = frozenset("ul ol dl table body html article main section div nav aside footer header form td th".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar toolbar".split())
+#: Blocks that may be template within main content.
+GROUPS = frozenset("address aside blockquote center details div dl figure fieldset footer form header hgroup menu nav ol p pre section table ul".split())
 #: Parts of class and id names that mark what is not main text.
 NAMED = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|notification|popup|modal|overlay|newsletter|subscribe|sidebar|side|breadcrumbs?|nav\w*|menu|footer|masthead|comments?|replies|respond|disqus|related|recommended|share|sharing|social|widget|toolbar|pagination|pager|login|signup|skip)(?:$|[-_ ])", re.I)
+DIGITS = re.compile(r"[0-9]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
@@ -47,33 +57,34 @@ ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+
 
 
 class Node:
-    __slots__ = ("tag", "drop", "main", "parts", "hash")
+    __slots__ = ("tag", "drop", "named", "main", "within", "mark", "parts", "keys")
 
-    def __init__(self, tag: str, drop: bool = False, main: bool = False):
-        self.tag, self.drop, self.main, self.parts, self.hash = tag, drop, main, [], 0
+    def __init__(self, tag: str, drop: bool = False, named: bool = False, main: bool = False, within: bool = False, mark: str = ""):
+        self.tag, self.drop, self.named, self.main, self.within, self.mark = tag, drop, named, main, within, mark
+        self.parts: list[str | Node] = []
+        self.keys: tuple[int, ...] = ()
 
 
-def dropped(tag: str, attributes: str, within_main: bool) -> bool:
+def judged(tag: str, attributes: str, within_main: bool) -> tuple[bool, bool, str]:
+    """Whether the markup says that an element is no main text, whether its names do, and its class and id."""
     if tag in DROPPED or tag == "header" and not within_main:
-        return True
+        return True, False, ""
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
+        return False, False, ""
     own = {k.lower(): html.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(attributes)}
+    mark = f"{own.get('class', '')}#{own.get('id', '')}"
     if "hidden" in own or own.get("aria-hidden") == "true" or own.get("role", "").lower() in ROLES or HIDDEN.search(own.get("style", "")):
-        return True
-    if tag in ("html", "body", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "b", "i", "em", "strong"):
-        return False
-    if tag == "article" and not within_main:
-        return False
-    return bool(NAMED.search(own.get("class", "")) or NAMED.search(own.get("id", "")))
+        return True, False, mark
+    if tag in ("html", "body", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "b", "i", "em", "strong") or tag == "article" and not within_main:
+        return False, False, mark
+    return False, bool(NAMED.search(own.get("class", "")) or NAMED.search(own.get("id", ""))), mark
 
 
 def parsed(page: str) -> Node:
     """The tree of a page: nodes whose parts are texts and nodes. Elements left open end with their parents."""
     root = Node("html")
     stack = [root]
-    at, raw = 0, None
-    mains = 0
+    at = mains = 0
     for m in TOKEN.finditer(page):
         if m.start() < at:
             continue
@@ -112,7 +123,8 @@ def parsed(page: str) -> Node:
             elif stack[k].tag in SCOPES:
                 break
         attributes = m[3] or m[6] or ""
-        node = Node(tag, dropped(tag, attributes, mains > 0), tag in ("article", "main") or 'role="main"' in attributes)
+        drop, named, mark = judged(tag, attributes, mains > 0)
+        node = Node(tag, drop, named, tag in ("article", "main") or 'role="main"' in attributes, mains > 0, mark)
         stack[-1].parts.append(node)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS and tag not in RAW:
             continue
@@ -128,49 +140,112 @@ def parsed(page: str) -> Node:
     return root
 
 
-def hashed(node: Node, host: str, out: set[int]) -> int:
-    """Hashes of the subtrees outside main content, each with its host; deepest first, without recursion."""
-    order, todo = [], [node]
+def digest(*parts: object) -> int:
+    return xxhash.xxh64_intdigest("\x00".join(map(str, parts))) >> 1
+
+
+def around_main(order: list[Node]) -> set[int]:
+    """Of all nodes, parents first: the main elements and those around them, by id()."""
+    holds: set[int] = set()
+    for n in reversed(order):
+        if n.main and not n.within or any(isinstance(p, Node) and id(p) in holds for p in n.parts):
+            holds.add(id(n))
+    return holds
+
+
+def hashed(root: Node, host: str) -> tuple[dict[int, bool], int]:
+    """The page's hashes (each with its host; true for those in main content) and that of its body. Without recursion.
+
+    Sets the keys of nodes: that of the subtree, and outside main content that of the place. The first of the root is that
+    of the host itself, which all its pages hold.
+    """
+    order, todo, whole, places = [], [(root, 0)], {}, {}
     while todo:
-        n = todo.pop()
+        n, above = todo.pop()
         order.append(n)
-        todo += [p for p in n.parts if isinstance(p, Node) and not p.main]
+        if not (n.within or n.main):
+            places[id(n)] = above = digest(host, above, n.tag, DIGITS.sub("0", n.mark))
+        todo += [(p, above) for p in n.parts if isinstance(p, Node)]
+    holds = around_main(order)
+    has_main = bool(holds)
+    found: dict[int, bool] = {}
     for n in reversed(order):
-        text = "\x00".join(str(p.hash) if isinstance(p, Node) else " ".join(p.split()) for p in n.parts)
-        n.hash = xxhash.xxh64_intdigest(f"{host}\x00{n.tag}\x00{text}") >> 1
-        if n is not node:
-            out.add(n.hash)
-    return node.hash
+        parts = [str(whole[id(p)]) if isinstance(p, Node) else " ".join(p.split()) for p in n.parts]
+        inner = n.within or n.main
+        whole[id(n)] = digest(host, inner, n.tag, *parts)
+        if id(n) in holds:  # never template as a whole
+            continue
+        if not inner:
+            n.keys = (whole[id(n)], places[id(n)]) if has_main else (whole[id(n)],)
+        elif n.tag in GROUPS:
+            n.keys = (whole[id(n)],)
+        found |= dict.fromkeys(n.keys, inner)
+    root.keys = (digest(host, "host"),)
+    found[root.keys[0]] = False
+    body = digest(*sorted(whole[id(n)] for n in order if n.main and not n.within)) if has_main else whole[id(root)]
+    return found, body
+
+
+def blocks_of(root: Node, cut: set[int]) -> list[tuple[str, bool]]:
+    """Blocks of text of the nodes that are not cut (by id()), in page order, and whether they are in main content."""
+    blocks: list[tuple[str, bool]] = []
+    line: list[str] = []
+    inner = False
+    done: list = [root]
 
+    def end() -> None:
+        text = " ".join(html.unescape("".join(line)).split())
+        line.clear()
+        if text:
+            blocks.append((text, inner))
 
-def text_of(root: Node, template: set[int] | frozenset[int]) -> str:
-    """Blocks of main text in page order, joined by one space."""
-    mains, todo = [], [root]
-    while todo:  # the outermost main elements that are not dropped
-        n = todo.pop()
-        if n.main:
-            mains.append(n)
-        else:
-            todo += [p for p in reversed(n.parts) if isinstance(p, Node) and not p.drop and not (p.hash and p.hash in template)]
-    blocks: list[str] = []
-    line: list[str] = []
-    done: list = list(reversed(mains or [root]))
     while done:
         part = done.pop()
         if part is None:
-            text = " ".join(html.unescape("".join(line)).split())
-            line.clear()
-            if text:
-                blocks.append(text)
+            end()
+        elif isinstance(part, bool):
+            end()
+            inner = part
         elif isinstance(part, str):
             line.append(part)
-        elif not part.drop and not (part.hash and part.hash in template and not part.main):
-            inner = reversed(part.parts)
-            done += [None, *inner, None] if part.tag in BLOCKS else list(inner)
-        else:
+        elif id(part) in cut:
             done.append(" " if part.tag not in BLOCKS else None)
-    text = " ".join(html.unescape("".join(line)).split())
-    return " ".join([*blocks, text] if text else blocks)
+        else:
+            own: list = list(reversed(part.parts))
+            if part.main and not part.within:
+                own = [False, *own, True]
+            done += [None, *own, None] if part.tag in BLOCKS else own
+    end()
+    return blocks
+
+
+def text_of(root: Node, template: set[int] | frozenset[int]) -> str:
+    """Blocks of main text in page order, joined by one space; root is hashed, template holds its recurring hashes."""
+    outer, inner = set(), set()
+    counted = root.keys[0] in template
+    nodes, todo = [], [root]
+    while todo:
+        nodes.append(n := todo.pop())
+        todo += [p for p in n.parts if isinstance(p, Node)]
+    holds = around_main(nodes)
+    for n in nodes:
+        within = n.within or n.main
+        if id(n) in holds:
+            if n.drop and n.tag != "form":
+                outer.add(id(n))
+            if not within:  # loose text beside main content is none
+                n.parts = [p for p in n.parts if isinstance(p, Node)]
+        elif n.drop or n.named and (within or not holds) or holds and not within and not counted:
+            outer.add(id(n))
+        elif n is not root and any(k in template for k in n.keys):
+            (inner if within else outer).add(id(n))
+    blocks = blocks_of(root, outer)
+    if inner:
+        less = blocks_of(root, outer | inner)
+        size = lambda found: sum(len(t) for t, main in found if main)
+        if 2 * size(less) >= size(blocks):
+            blocks = less
+    return " ".join(t for t, _ in blocks)
 
 
 def host_of(url: str | None) -> str:
@@ -178,61 +253,58 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def subtree_counts(pages: DataFrame) -> DataFrame:
-    """h (a hash of host and subtree) and how many pages hold it, for subtrees on enough pages of their host."""
+def page_hashes(rows: DataFrame) -> DataFrame:
+    """host, body and hashes of each page of rows, and its row, a hash of url and html: equal rows have equal hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in chunks(batch, "html"):
-                hosts, found = [], []
+                hosts, bodies, outer, inner = [], [], [], []
                 for url, t in zip(part.column("url").to_pylist(), texts, strict=True):
-                    own: set[int] = set()
                     host = host_of(url)
-                    hashed(parsed(t), host, own)
-                    hosts += [xxhash.xxh64_intdigest(host) >> 1] * (len(own) + 1)
-                    found += [*own, -1]
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(found, pa.int64())], ["host", "h"])
-
-    counts = pages.select("url", "html").mapInArrow(run, "host long, h long").groupBy("host", "h").agg(F.count("*").alias("n"))
-    counts = written(counts.filter(F.col("n") >= LEAST_PAGES), "subtrees")
-    per_host = counts.filter("h = -1").select("host", F.col("n").alias("all"))
-    return counts.filter("h <> -1").join(per_host, "host").filter(F.col("n") >= SHARE * F.col("all")).select("h", "n")
-
-
-def extracted(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of each page."""
-    template = written(subtree_counts(pages).select("h").distinct(), "template")
+                    found, body = hashed(parsed(t), host)
+                    hosts.append(digest(host, "host"))
+                    bodies.append(body)
+                    outer.append([h for h, within in found.items() if not within])
+                    inner.append([h for h, within in found.items() if within])
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(hosts, pa.int64()), pa.array(bodies, pa.int64()), pa.array(outer, longs), pa.array(inner, longs)], ["row", "host", "body", "outer", "inner"])
+
+    return rows.select("row", "url", "html").mapInArrow(run, "row long, host long, body long, `outer` array<long>, `inner` array<long>")
+
+
+def template_of(hashes: DataFrame) -> DataFrame:
+    """h and n: the recurring hashes of all hosts, and on how many distinct bodies of the host they are."""
+    each = hashes.select("host", "body", F.explode(F.concat(F.transform("outer", lambda h: F.struct(h.alias("h"), F.lit(False).alias("inner"))), F.transform("inner", lambda h: F.struct(h.alias("h"), F.lit(True).alias("inner"))))).alias("x"))
+    each = each.select("host", "body", "x.h", "x.inner").distinct()
+    counts = written(each.groupBy("host", "h", "inner").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_PAGES), "subtrees")
+    per_host = counts.filter("h = host").select("host", F.col("n").alias("all"))
+    share = F.when(F.col("inner"), F.lit(INNER_SHARE)).otherwise(F.lit(SHARE))
+    return counts.join(per_host, "host").filter(F.col("n") >= share * F.col("all")).select("h", "n")
+
+
+def extracted(pages: DataFrame, sent: int = SENT) -> DataFrame:
+    """page_id, url, text and n_chars of each page. sent: template hashes that go to all tasks at most."""
+    rows = pages.select("page_id", "url", "html").withColumn("row", F.xxhash64("url", "html"))
+    hashes = written(page_hashes(rows), "page-hashes")
+    template = written(template_of(hashes).select("h").distinct(), "template")
     kind = pages.schema["page_id"].dataType.simpleString()
-    few = template.count() <= SENT
-    sent = np.array(sorted(r.h for r in template.collect()), dtype=np.int64) if few else None
-    rows = pages.select("page_id", "url", "html")
+    few = template.count() <= sent
+    known = np.array([r.h for r in template.collect()], dtype=np.int64) if few else None
     if not few:
-        rows = rows.withColumn("row", F.monotonically_increasing_id())
-        rows = written(rows, "pages")
-
-        def list_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, texts in chunks(batch, "html"):
-                    pairs = []
-                    for row, url, t in zip(part.column("row").to_pylist(), part.column("url").to_pylist(), texts, strict=True):
-                        own: set[int] = set()
-                        hashed(parsed(t), host_of(url), own)
-                        pairs += [(row, h) for h in own]
-                    yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["row", "h"])
-
-        own = rows.mapInArrow(list_subtrees, "row long, h long").join(template, "h", "left_semi").groupBy("row").agg(F.collect_set("h").alias("_template"))
+        own = hashes.select("row", F.explode(F.concat("outer", "inner")).alias("h")).join(template, "h").groupBy("row").agg(F.collect_set("h").alias("_template"))
         rows = rows.join(own, "row", "left").select("page_id", "url", "html", "_template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        everywhere = frozenset(sent.tolist()) if few else frozenset()
+        everywhere = frozenset(known.tolist()) if few else frozenset()
         for batch in batches:
             for part, texts in chunks(batch, "html"):
                 given = [None] * len(texts) if few else part.column("_template").to_pylist()
                 out = []
                 for url, t, own in zip(part.column("url").to_pylist(), texts, given, strict=True):
                     root = parsed(t)
-                    hashed(root, host_of(url), set())
-                    out.append(text_of(root, everywhere if own is None else frozenset(own)))
+                    hashed(root, host_of(url))
+                    out.append(text_of(root, everywhere if few else frozenset(own or ())))
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
