@@ -2,15 +2,19 @@
 
 Documents become pieces of at most `capacity` tokens. Only the histogram of piece lengths (at most `capacity` numbers)
 reaches the driver. There the configuration LP (fewest patterns of lengths that cover all pieces) is solved by
-multiplicative weights: each length has a price; a knapsack dynamic program finds the pattern of the highest price; the
-pattern is used for a part of what its scarcest length needs; the prices of the lengths it covers fall. The fractional
-counts are rounded down, and patterns that are seldom used dropped where that helps; what is left is packed by whole
-patterns, each the largest piece left and the best fill for it, or by best fit decreasing: whichever rounding takes the
-fewest sequences.
+multiplicative weights: each length has a price; a knapsack dynamic program finds the dearest fill of every room, and so the
+dearest pattern that holds each length; patterns within SLACK of the dearest of all are used until the scarcest of their
+lengths is covered, and the prices of what they cover fall. An epoch ends when the whole need is covered. Prices, over the
+price of the dearest pattern, are a dual solution and bound the number of sequences from below. While the cover is not
+within GAP of the best bound, further rounds of weights move the prices (what the dearest patterns cover falls, the rest
+rises), which raises the bound, and another epoch covers the need with them.
+The fractional counts are rounded down; only the rest that rounding leaves is packed by whole patterns, each the largest
+piece left and the best fill for it, or by best fit decreasing, whichever takes fewer.
 The plan says for each length which ranks go to which sequences, so pieces find their places by a rank within their
 length, which is counted in two levels (within a task, and over tasks) and needs no shuffle of a length into one task.
 
-Null texts count as empty: one end token. Empty tables give no rows. Repeated rows are packed one by one.
+Null texts count as empty: one end token. Empty tables give no rows. Repeated rows are packed one by one. Other columns do
+not matter.
 """
 
 from __future__ import annotations
@@ -29,12 +33,14 @@ from wayfold.llm.bpe import WORD_BPE, encoder
 from wayfold.llm.common import chunks, written
 
 CAPACITY = 2048
-#: Of multiplicative weights: rounds at most, the part of a length's need that a round covers, and how fast prices fall.
-ROUNDS, PART, FALL = 400, 0.5, 0.25
-#: Prices start at this power of the length, so that long pieces are placed first.
+#: The fractional cover is within GAP of the lower bound, or the best of so many epochs after the first.
+GAP, EPOCHS = 0.005, 2
+#: Rounds of weights between epochs, and how far a round moves prices at first.
+ROUNDS, STEP = 120, 0.1
+#: Patterns of one knapsack table at most, how far they may be from the dearest, and how fast prices fall.
+BATCH, SLACK, FALL = 24, 0.001, 0.05
+#: Prices of the first epoch are this power of the length, so that long pieces are placed first.
 BEND = 1.05
-#: Rounding keeps patterns that are used so often at least; the best of these is taken.
-LEAST_USES = (1, 2, 8)
 
 
 def pieces(docs: DataFrame, tokenizer: str = WORD_BPE, capacity: int = CAPACITY, end: int = 0) -> DataFrame:
@@ -74,8 +80,8 @@ def ranks(lengths: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_pattern(price: np.ndarray, capacity: int) -> np.ndarray:
-    """Unbounded knapsack over lengths 1..capacity (price[0] unused, minus infinity: not for use): the lengths of the best pattern."""
+def knapsack(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack over lengths 1..capacity (price 0 unused, minus infinity: not for use): the best worth of each room, and a length to take (0: leave one token)."""
     worth = np.zeros(capacity + 1)
     take = np.zeros(capacity + 1, dtype=np.int64)
     back = np.zeros(capacity + 1)  # worth, from the far end: back[capacity - c] = worth[c]
@@ -87,34 +93,89 @@ def best_pattern(price: np.ndarray, capacity: int) -> np.ndarray:
         else:
             worth[c] = worth[c - 1]
         back[capacity - c] = worth[c]
-    out, c = [], capacity
+    return worth, take
+
+
+def filled(first: int, take: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best pattern that holds a length: its lengths, and times each."""
+    out, c = [first], capacity - first
     while c > 0:
         if take[c]:
-            out.append(take[c])
-            c -= take[c]
+            out.append(int(take[c]))
+            c -= int(take[c])
         else:
             c -= 1
-    return np.array(out, dtype=np.int64)
-
-
-def fractional(need: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """Multiplicative weights: patterns as (lengths, times each), and how often each is used; covers at most the need."""
-    left = need.astype(float)
-    price = np.where(need > 0, (np.arange(capacity + 1) / capacity) ** BEND, -np.inf)
-    price[0] = -np.inf
-    out = []
-    for _ in range(rounds):
-        open_ = left >= 1
-        if not open_.any():
+    return np.unique(np.array(out, dtype=np.int64), return_counts=True)
+
+
+Cover = list[tuple[np.ndarray, np.ndarray, float]]
+
+
+def epoch(need: np.ndarray, start: np.ndarray, capacity: int) -> Cover:
+    """Patterns (lengths, times each, uses) that cover the whole need."""
+    left, price = need.astype(float), np.where(need > 0, start, -np.inf)
+    out: Cover = []
+    while (open_ := left > 0).any():
+        now = np.where(open_, price, -np.inf)
+        worth, take = knapsack(now, capacity)
+        value = now[1:] + worth[capacity - 1 :: -1]
+        good = np.flatnonzero(value >= (1 - SLACK) * value.max()) + 1
+        done = 0
+        for k in [int(value.argmax()) + 1, *good[::-1].tolist()]:
+            if done == BATCH:
+                break
+            lengths, times = filled(k, take, capacity)
+            if not (left[lengths] > 0).all():
+                continue
+            use = float((left[lengths] / times).min())
+            left[lengths] -= use * times
+            left[lengths[left[lengths] < 1e-9]] = 0
+            price[lengths] *= np.exp(-FALL * use * times / need[lengths])
+            out.append((lengths, times, use))
+            done += 1
+    return out
+
+
+def priced(need: np.ndarray, price: np.ndarray, capacity: int, goal: float, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """Multiplicative weights on the prices alone, until they prove `goal` sequences: the prices of the best bound, and the bound.
+
+    Each round `goal` sequences are dealt to the dearest patterns; prices fall where they hold more than the need, and rise where less.
+    """
+    best, bound = price, 0.0
+    for i in range(rounds):
+        now = np.where(need > 0, price, -np.inf)
+        worth, take = knapsack(now, capacity)
+        if (proven := float(need[need > 0] @ price[need > 0]) / float(worth[capacity])) > bound:
+            best, bound = price, proven
+        if bound >= goal:
             break
-        lengths, times = np.unique(best_pattern(np.where(open_, price, -np.inf), capacity), return_counts=True)
-        if not len(lengths):
+        value = now[1:] + worth[capacity - 1 :: -1]
+        step, total, held = STEP / (1 + i / 8), 0.0, np.zeros(capacity + 1)
+        for k in (np.flatnonzero(value >= (1 - step / 2) * value.max()) + 1).tolist():
+            lengths, times = filled(k, take, capacity)
+            use = float(need[k]) / float(times[np.searchsorted(lengths, k)])
+            held[lengths] += use * times
+            total += use
+        met = np.divide(held * goal / total, need, out=np.zeros(capacity + 1), where=need > 0)
+        price = price * np.exp(step * np.clip(1 - met, -8, 1))
+        price = np.minimum(price / worth[capacity], 1.0)
+    return best, bound
+
+
+def fractional(need: np.ndarray, capacity: int, gap: float = GAP, epochs: int = EPOCHS) -> tuple[Cover, float]:
+    """The best fractional cover of the whole need, and a lower bound for all covers."""
+    if not need.any():
+        return [], 0.0
+    price = np.arange(capacity + 1) / capacity
+    best, bound = epoch(need, price**BEND, capacity), float(need @ price)  # these prices are a dual solution as they stand
+    for _ in range(epochs):
+        size = sum(u for _, _, u in best)
+        if size <= (1 + gap) * bound:
             break
-        use = float(np.min(np.minimum(left[lengths], np.maximum(1.0, PART * need[lengths])) / times))
-        left[lengths] -= use * times
-        price[lengths] *= np.exp(-FALL * use * times / need[lengths])
-        out.append((lengths, times, use))
-    return out
+        price, proven = priced(need, price, capacity, size / (1 + gap))
+        bound = max(bound, proven)
+        best = min(best, epoch(need, price, capacity), key=lambda c: sum(u for _, _, u in c))
+    return best, bound
 
 
 def whole_fill(left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
@@ -176,21 +237,22 @@ def best_fit_decreasing(left: np.ndarray, capacity: int) -> list[tuple[np.ndarra
     return [(np.array(held, dtype=np.int64), count) for own in groups.values() for held, count in own]
 
 
-def solve(need: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
-    """Whole patterns (their lengths, repeats included) and how often each is used; together they hold exactly the need."""
-    found, best = fractional(need, capacity, rounds), None
-    for least in LEAST_USES:
-        left, out = need.copy(), []
-        for lengths, times, use in found:
-            n = int(min(int(use + 1e-9), np.min(left[lengths] // times)))
-            if n >= least:
-                left[lengths] -= n * times
-                out.append((np.repeat(lengths, times), n))
-        for end in (whole_fill, best_fit_decreasing):
-            whole = out + end(left, capacity)
-            if best is None or sum(n for _, n in whole) < sum(n for _, n in best):
-                best = whole
-    return best or []
+def solve(need: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[np.ndarray, int]], dict[str, float]]:
+    """Whole patterns (their lengths, repeats included) and how often each is used; together they hold exactly the need.
+
+    And what was measured: the fractional cover's size, the lower bound, and the share of tokens that rounding left over.
+    """
+    cover, bound = fractional(need, capacity)
+    left, out = need.copy(), []
+    for lengths, times, use in cover:
+        n = int(use + 1e-6)
+        if n:
+            left[lengths] -= n * times
+            out.append((np.repeat(lengths, times), n))
+    ends = [end(left, capacity) for end in (whole_fill, best_fit_decreasing)]
+    size = np.arange(capacity + 1)
+    told = {"cover": sum(u for _, _, u in cover), "bound": bound, "rest": float(left @ size) / max(1.0, float(need @ size))}
+    return out + min(ends, key=lambda e: sum(n for _, n in e)), told
 
 
 def plan_of(patterns: list[tuple[np.ndarray, int]]) -> dict[str, np.ndarray]:
@@ -209,14 +271,14 @@ def plan_of(patterns: list[tuple[np.ndarray, int]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "low", "first", "times", "at"), cols.T, strict=True))
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """cut (pieces with length, task and rank, unique within length and task) with sequence_id and offset."""
     per_task = cut.groupBy("length", "task").agg(F.count("*").alias("n"))
     base = per_task.withColumn("base", F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     need = np.zeros(capacity + 1, dtype=np.int64)
     for row in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `capacity` rows
         need[row.length] = row.n
-    plan = plan_of(solve(need, capacity, rounds))
+    plan = plan_of(solve(need, capacity)[0])
     key = plan["length"] << 48 | plan["low"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

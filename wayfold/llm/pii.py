@@ -148,13 +148,15 @@ def candidates(text: str, known: list[tuple[str, int, int]]) -> list[tuple[str,
     return apart(found, known)
 
 
-def token_hash(token: str, memory: dict[str, int]) -> int:
-    h = memory.get(token)
-    if h is None:
-        if len(memory) > 400_000:
-            memory.clear()
-        h = memory[token] = xxhash.xxh64_intdigest(DIGITS.sub("0", token)) if len(token) < 64 else 1
-    return h
+class Tokens(dict):
+    """Hashes of tokens, kept; the lowest bit is set for plain words (letters only)."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        h = xxhash.xxh64_intdigest(DIGITS.sub("0", token)) if len(token) < 64 else 0
+        h = self[token] = h | 1 if token.isalpha() else h & ~1
+        return h
 
 
 def mixed(way: int, a, b):
@@ -166,10 +168,10 @@ def mixed(way: int, a, b):
 FULL = (1 << 64) - 1
 
 
-def contexts(text: str, start: int, end: int, memory: dict[str, int]) -> list[int]:
+def contexts(text: str, start: int, end: int, memory: Tokens) -> list[int]:
     """Lexical patterns of a span."""
-    before = [token_hash(t, memory) for t in TOKEN.findall(text[max(0, start - BESIDE) : start].lower())[-2:]]
-    after = [token_hash(t, memory) for t in TOKEN.findall(text[end : end + BESIDE].lower())[:2]]
+    before = [memory[t] for t in TOKEN.findall(text[max(0, start - BESIDE) : start].lower())[-2:]]
+    after = [memory[t] for t in TOKEN.findall(text[end : end + BESIDE].lower())[:2]]
     out = []
     if len(before) == 2:
         out.append(mixed(1, before[0], before[1]))
@@ -180,15 +182,15 @@ def contexts(text: str, start: int, end: int, memory: dict[str, int]) -> list[in
     return [x - (1 << 64) if x >> 63 else x for x in out]
 
 
-def plain_places(text: str, spans: list[tuple[str, int, int]], memory: dict[str, int]) -> np.ndarray:
+def plain_places(text: str, spans: list[tuple[str, int, int]], memory: Tokens) -> np.ndarray:
     """Patterns around the plain words of a text: words without digits that lie in no span."""
     if len(text) < 2:
         return np.zeros(0, dtype=np.int64)
-    found = [(m.start(), m[0]) for m in TOKEN.finditer(text.lower())]
-    t = np.array([token_hash(w, memory) for _, w in found], dtype=np.uint64)
-    plain = np.array([w.isalpha() for _, w in found], dtype=bool)
+    found = TOKEN.findall(text.lower())
+    t = np.fromiter(map(memory.__getitem__, found), np.uint64, len(found))
+    plain = (t & 1).astype(bool)
     if spans and len(found):
-        starts = np.array([a for a, _ in found])
+        starts = np.array([m.start() for m in TOKEN.finditer(text.lower())])
         ordered = sorted((a, b) for _, a, b in spans)
         at = np.searchsorted(np.array([a for a, _ in ordered]), starts, side="right") - 1
         plain &= (at < 0) | (starts >= np.maximum.accumulate(np.array([b for _, b in ordered]))[at])
@@ -212,7 +214,7 @@ def mentions(docs: DataFrame) -> DataFrame:
     arrow_found = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("entity", pa.int64()), ("kinds", pa.list_(pa.string())), ("patterns", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, memory = TaskContext.get().partitionId() << 40, {}
+        row, memory = TaskContext.get().partitionId() << 40, Tokens()
         for batch in batches:
             for part, texts in chunks(batch):
                 base, found = [], []
@@ -237,7 +239,7 @@ def plain_counts(docs: DataFrame, patterns: DataFrame, sent: int = SENT) -> Data
         known = np.sort(own.toArrow().column("pattern").to_numpy())
 
         def run(batches: Iterator[pa.RecordBatch], known: np.ndarray = known) -> Iterator[pa.RecordBatch]:
-            memory: dict[str, int] = {}
+            memory = Tokens()
             for batch in batches:
                 for _, texts in chunks(batch):
                     hits = [np.zeros(0, dtype=np.int64)]
