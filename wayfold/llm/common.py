@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a Python task works on at a time.
@@ -58,6 +58,38 @@ def boundaries(df: DataFrame, key: str, n: int) -> list[int]:
     return sorted({int(b) for b in (row.b or [])})
 
 
+def byte_cuts(df: DataFrame, key: str, size: Column, most: int, bins: int = 4096) -> list[int]:
+    """Ascending values of the whole-number column key that cut its rows into ranges of about `most` of the summed size.
+
+    They depend on the rows only, not on how these are split: sizes are summed in ranges of equal width, ranges of more than
+    `most` again in narrower ones. The driver gets one number for each range. Null keys are left out; one key is never cut.
+    """
+    rows = df.select(F.col(key).cast("long").alias("k"), size.cast("long").alias("s")).filter("k IS NOT NULL")
+    low, high, total = rows.agg(F.min("k"), F.max("k"), F.sum("s")).first()
+    if low is None or total <= most:
+        return []
+    cuts: list[int] = []
+
+    def cut(low: int, high: int, total: int) -> None:
+        width = max(1, -(-(high - low + 1) // max(bins, 4 * total // most)))
+        nth = F.floor((F.col("k").cast("double") - float(low)) / float(width)).cast("long")
+        own = rows.filter(F.col("k").between(low, high)).groupBy(nth.alias("i")).agg(F.sum("s").alias("s")).orderBy("i").toArrow()
+        held = 0
+        for i, s in zip(own.column("i").to_pylist(), own.column("s").to_pylist(), strict=True):
+            a = max(low, low + i * width)
+            if held and held + s > most:
+                cuts.append(a)
+                held = 0
+            if s > most and width > 1:
+                cut(a, min(high, a + width - 1), s)
+                held = most
+            else:
+                held += s
+
+    cut(low, high, total)
+    return sorted(set(cuts))
+
+
 def bucket_of(key: str, cuts: list[int]):
     """Column: 0 for null keys and those below cuts[0], i for keys from cuts[i - 1] on."""
     edges = np.array(cuts, dtype=np.int64)
