@@ -35,3 +35,11 @@ def test_copies_do_not_raise_the_limit_nor_lose_lines(spark):
     got = removed(spark, rows)
     assert not any(line in t for t in got.values())
     assert all(got[100 + i] == f"{own(7000)}\n{own(8000)}" for i in range(2600))
+
+
+def test_rows_without_an_id_are_cleaned_too(spark):
+    line = "Subscribe to our newsletter"
+    docs = spark.createDataFrame([(None, f"{own(i)}\n{line}", None, 1, "x", "y") for i in range(60)], "doc_id long, text string, source string, n_chars long, host string, removed string")
+    got = quality.cleaned(docs)
+    assert got.columns == docs.columns
+    assert sorted(r.text for r in got.collect()) == sorted(own(i) for i in range(60))

@@ -7,7 +7,8 @@ count once, for a line and for the host alike.
 
 Base measures come from the text itself: words, their code points, symbols, repeated lines, and words in windows of five
 that occur twice or more. Null and empty texts have no words and fail. A null source is a host of its own. Repeated rows
-each give a row; they count once for a line.
+each give a row; they count once for a line. An empty table gives no rows. verdicts() takes no notice of other columns;
+cleaned() passes them on as they are.
 """
 
 from __future__ import annotations
@@ -93,7 +94,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     hashes = F.expr(f"array_distinct(transform(filter(split(text, '\\n'), x -> x rlike '[^ \\\\t-\\\\r]'), x -> xxhash64({_normal('x')})))")
     lines = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), host, F.explode(hashes).alias("h"))
     found = lines.join(common, ["host", "h"], "left_semi").groupBy("_id", "_th", "host").agg(F.collect_set("h").alias("_lines"))
-    found = found.join(hit, ["_id", "_th", "host"], "left_semi").select(F.col("_id").alias("_i"), F.col("_th").alias("_t"), F.col("host").alias("_h"), "_lines")
+    found = found.select(F.col("_id").alias("_i"), F.col("_th").alias("_t"), F.col("host").alias("_h"), "_lines").join(hit, F.expr("_i <=> _id AND _t = _th AND _h = host"), "left_semi")
     by = by.join(found, F.expr("_id <=> _i AND _th = _t AND host = _h"), "left").select("_id", "_th", F.col("host").alias("_host"), "_lines")
     rows = folded(docs, own).withColumns({"_x": F.xxhash64("text"), "_s": F.coalesce("source", F.lit(""))})
     rows = rows.join(by, F.expr("doc_id <=> _id AND _x = _th AND _s = _host"))

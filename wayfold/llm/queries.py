@@ -52,5 +52,42 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_packing, op2_pii, op3_toxicity, op4_html, op5_bpe, op6_simhash, op7_quality, op8_lzprint, op9_warc, op10_rans)}
 
 
+#: Operator 7 by lists and joins of the lines themselves instead of their hashes.
+QUALITY_SQL = """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, host, text, list_filter(regexp_split_to_array(text, '[ \\t-\\r]+'), lambda x: x <> '') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t-\\r]')) AS lines FROM t),
+o AS (SELECT r, unnest(words) AS x, generate_subscripts(words, 1) AS i FROM w),
+p AS (SELECT r, i, x || ' ' || lead(x, 1) OVER z || ' ' || lead(x, 2) OVER z || ' ' || lead(x, 3) OVER z || ' ' || lead(x, 4) OVER z AS five FROM o WINDOW z AS (PARTITION BY r ORDER BY i)),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, five) AS n FROM p WHERE five IS NOT NULL),
+rep AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM g, (SELECT unnest(range(0, 5)) AS k) WHERE n > 1 GROUP BY r),
+l AS (SELECT r, host, lower(trim(regexp_replace(unnest(lines), '[ \\t-\\r]+', ' ', 'g'))) AS h FROM w),
+s AS (SELECT r, host, array_to_string(list_sort(list(DISTINCT h)), chr(10)) AS own FROM l GROUP BY r, host),
+e AS (SELECT r, host, '' AS own FROM w WHERE len(lines) = 0),
+sizes AS (SELECT host, count(DISTINCT own) AS docs FROM (SELECT * FROM s UNION ALL SELECT * FROM e) GROUP BY host),
+held AS (SELECT l.host, l.h, count(DISTINCT s.own) AS docs FROM l JOIN s USING (r) GROUP BY l.host, l.h),
+common AS (SELECT host, h FROM held JOIN sizes USING (host) WHERE held.docs > 20 AND held.docs > 0.01 * sizes.docs),
+gone AS (SELECT r, sum(len(string_split(h, ' '))) AS removed FROM l JOIN common USING (host, h) GROUP BY r),
+m AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(removed, 0)::BIGINT AS removed
+  FROM w LEFT JOIN rep USING (r) LEFT JOIN gone USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_words - removed < 10 OR n_words - removed < 0.2 * n_words) AS kept, removed
+FROM m
+"""
+
+#: Operator 9 without files.
+WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS payload_digest FROM p),
+x AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS target FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> target THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> target THEN target END AS refers_to
+FROM x
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that it expresses whole; tests hold the others against brute force, round trips or labels."""
+    return {"op7_quality": QUALITY_SQL, "op9_warc": WARC_SQL}

@@ -3,11 +3,13 @@
 A lexicon is learnt: words whose share of toxic documents is well above their share of others. Features of a text are
 densities of such words by strength, how near second persons they stand, capitals, punctuation, and obfuscation (digits
 and signs for letters, letters drawn apart). Trees are boosted on one fold of the labelled rows, and their scores
-calibrated on another; a word's strength in a labelled row leaves that row out, so features mean the same everywhere.
+calibrated on another. Features that teach come from the lexicon of the other fold, so no row's features know its label;
+documents are scored with the lexicon of both.
 
-Learning takes at most FIT_ROWS labelled rows, chosen by a hash of doc_id; scoring takes all documents. Null texts count as
-empty and get a score. Rows whose label is null teach nothing. Without labels of both kinds every score is the share of
-toxic labels (0 if there are none). Repeated rows each give a row.
+Learning takes at most FIT_ROWS labelled rows, chosen by a hash of doc_id, and this bounds lexicon and calibration too;
+scoring takes all documents. Null texts count as empty and get a score. Rows whose label is null teach nothing. Without
+labels of both kinds nothing can be told apart: every score is UNKNOWN, and no document is rejected. An empty table gives no
+rows. Repeated rows each give a row. Other columns do not matter; kept() passes them on as they are.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.common import chunks, written
 
-#: The bound on labelled rows that the classifier is fitted on, and on words in the lexicon (the strongest are kept).
-FIT_ROWS, LEXICON_WORDS = 40_000, 20_000
+#: The bound on labelled rows that the classifier is fitted on, and the score where nothing could be learnt.
+FIT_ROWS, UNKNOWN = 40_000, 0.5
 #: Toxic documents that a word of the lexicon is in at least; log odds from which a word counts, counts as strong.
 LEAST_TOXIC, WEAK, STRONG = 3, 1.0, 2.0
 #: Words between a strong word and a second person that still counts as near.
@@ -48,33 +50,24 @@ FEATURES = ("strong_density", "strong_count", "weak_density", "strength_sum", "s
 
 
 class Lexicon:
-    """Words with numbers of toxic and other documents, and their log odds; `but` leaves one document out."""
+    """Words and their log odds."""
 
     def __init__(self, words: dict[str, tuple[int, int]], toxic: int, other: int):
         self.toxic, self.other = toxic, other
-        self.counts = words
-        self.odds = {w: self.of(k, c) for w, (k, c) in words.items()}
-
-    def of(self, k: int, c: int) -> float:
-        return math.log((k + 0.2) / (self.toxic + 1)) - math.log((c + 0.5) / (self.other + 1))
-
-    def but(self, word: str, label: int) -> float:
-        k, c = self.counts[word]
-        k, c = (k - 1, c) if label else (k, c - 1)
-        return self.of(max(k, 0), max(c, 0)) if k >= LEAST_TOXIC - 1 else 0.0
+        self.odds = {w: math.log((k + 0.2) / (toxic + 1)) - math.log((c + 0.5) / (other + 1)) for w, (k, c) in words.items()}
 
 
 def plain_words(text: str) -> list[str]:
     return [w.strip(EDGES) for w in text.lower().split()]
 
 
-def features(text: str, lexicon: Lexicon, label: int | None = None) -> list[float]:
+def features(text: str, lexicon: Lexicon) -> list[float]:
     words = plain_words(text)
     n, odds = max(1, len(words)), lexicon.odds
     hits = [(i, w) for i, w in enumerate(words) if w in odds]
     strange = [(i, w) for i, w in enumerate(words) if w and not w.isalpha() and ODD.search(w)] if ODD.search(text) else []
     hidden = [(i, v) for i, w in strange for v in {w.translate(STANDS_FOR), re.sub(r"[^\w]|_", "", w)} if v in odds]
-    worth = [(i, odds[w] if label is None else lexicon.but(w, label)) for i, w in hits + hidden]
+    worth = [(i, odds[w]) for i, w in hits + hidden]
     strong = [i for i, s in worth if s >= STRONG]
     weak = sum(WEAK <= s < STRONG for _, s in worth)
     total, most = sum(s for _, s in worth if s >= WEAK), max((s for _, s in worth), default=0.0)
@@ -82,7 +75,8 @@ def features(text: str, lexicon: Lexicon, label: int | None = None) -> list[floa
     if strong:
         persons = np.array([i for i, w in enumerate(words) if w in SECOND_PERSONS])
         if len(persons):
-            gaps = np.abs(np.array(strong)[:, None] - persons[None, :]).min(axis=1)
+            at, own = np.searchsorted(persons, strong), np.array(strong)
+            gaps = np.minimum(np.abs(own - persons[np.maximum(at - 1, 0)]), np.abs(persons[np.minimum(at, len(persons) - 1)] - own))
             near, nearest = int((gaps <= NEAR).sum()), float(min(gaps.min(), NEAR + 1))
     letters = max(1, len(text))
     capitals = letters - 1 - sum(map(len, re.findall(r"[^A-ZÀ-ÖØ-Þ]+", text))) + 1 if text else 0
@@ -120,20 +114,20 @@ def learnt_words(texts: DataFrame) -> Lexicon:
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
     each = texts.select("text", "label").mapInArrow(run, "word string, k long, c long").groupBy("word").agg(F.sum("k").alias("k"), F.sum("c").alias("c"))
     odds = F.log((F.col("k") + 0.2) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (other + 1))
-    best = each.filter(F.col("k") >= LEAST_TOXIC).withColumn("s", odds).filter(F.col("s") >= WEAK).orderBy(F.desc("s"), "word").limit(LEXICON_WORDS)
+    best = each.filter(F.col("k") >= LEAST_TOXIC).withColumn("s", odds).filter(F.col("s") >= WEAK)  # words of FIT_ROWS rows at most
     return Lexicon({r.word: (r.k, r.c) for r in best.collect()}, toxic, other)
 
 
-def with_features(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """doc_id, label and fold where docs have them, and the features of each text."""
+def with_features(docs: DataFrame, lexicon: Lexicon | dict[int, Lexicon]) -> DataFrame:
+    """doc_id, label and fold where docs have them, and the features of each text, by one lexicon or one for each fold."""
     kept = [c for c in ("doc_id", "label", "fold") if c in docs.columns]
     schema = ", ".join([f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept] + [f"{c} double" for c in FEATURES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in chunks(batch):
-                own = part.column("label").to_pylist() if "label" in kept else [None] * len(texts)
-                x = np.array([features(t, lexicon, y) for t, y in zip(texts, own, strict=True)], dtype=np.float64)
+                own = [lexicon[f] for f in part.column("fold").to_pylist()] if isinstance(lexicon, dict) else [lexicon] * len(texts)
+                x = np.array([features(t, known) for t, known in zip(texts, own, strict=True)], dtype=np.float64)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *[pa.array(x[:, i]) for i in range(len(FEATURES))]], [*kept, *FEATURES])
 
     return docs.select(*kept, "text").mapInArrow(run, schema)
@@ -142,8 +136,8 @@ def with_features(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 class Model:
     """Lexicon, trees and calibration; score() gives columns of with_features() a score."""
 
-    def __init__(self, lexicon: Lexicon, trees=None, calibration=None, share: float = 0.0):
-        self.lexicon, self.trees, self.calibration, self.share = lexicon, trees, calibration, share
+    def __init__(self, lexicon: Lexicon, trees=None, calibration=None):
+        self.lexicon, self.trees, self.calibration = lexicon, trees, calibration
         self.assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="x")
 
     def margin(self, rows: DataFrame) -> DataFrame:
@@ -151,48 +145,36 @@ class Model:
 
     def score(self, rows: DataFrame) -> DataFrame:
         if self.trees is None:
-            return rows.withColumn("score", F.lit(self.share))
+            return rows.withColumn("score", F.lit(UNKNOWN))
         scored = self.margin(rows)
         if self.calibration is None:
             return scored.withColumn("score", F.col("margin"))
         bounds, values = self.calibration
-        # between the points of the step function, as isotonic regression predicts, linearly
-        x = F.col("margin")
-        out = F.when(x <= bounds[0], F.lit(values[0]))
-        for (a, u), (b, v) in zip(zip(bounds, values, strict=True), list(zip(bounds, values, strict=True))[1:], strict=False):
-            out = out.when(x <= b, F.lit(u) + (x - a) * ((v - u) / (b - a)) if b > a else F.lit(v))
-        return scored.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), out.otherwise(F.lit(values[-1])))))
+
+        @F.arrow_udf("double")
+        def calibrated(margins: pa.Array) -> pa.Array:  # between the points of the step function, as isotonic regression predicts, linearly
+            return pa.array(np.clip(np.interp(margins.to_numpy(zero_copy_only=False), bounds, values), 0.0, 1.0))
+
+        return scored.withColumn("score", calibrated("margin"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     teach = F.broadcast(written(labelled(docs, labels, rows), "teach"))  # at most about FIT_ROWS small rows
     texts = docs.select("doc_id", "text").join(teach, "doc_id")
-    lexicon = learnt_words(texts)
-    seen = lexicon.toxic + lexicon.other
-    share = lexicon.toxic / seen if seen else 0.0
-    if not lexicon.toxic or not lexicon.other:
-        return Model(lexicon, share=share)
-    table = written(with_features(texts, lexicon), "features")
-    model = Model(lexicon, share=share)
-    boosted = table.filter("fold = 0").withColumn("label", F.col("label").cast("double"))
-    if boosted.select("label").distinct().count() < 2:
+    model = Model(learnt_words(texts))
+    folds = {f: learnt_words(texts.filter(F.col("fold") == 2 - f)) for f in (0, 2)}
+    if any(not x.toxic or not x.other for x in folds.values()):
         return model
+    table = written(with_features(texts, folds), "features")
+    boosted = table.filter("fold = 0").withColumn("label", F.col("label").cast("double"))
     model.trees = GBTClassifier(featuresCol="x", labelCol="label", maxIter=TREES, maxDepth=DEPTH, minInstancesPerNode=3, seed=7).fit(model.assembler.transform(boosted))
-    held = model.margin(table.filter("fold = 2")).select(F.col("label").cast("double").alias("label"), "margin")
-    if held.select("label").distinct().count() == 2:
-        steps = IsotonicRegression(featuresCol="margin", labelCol="label").fit(held)
-        bounds, values = steps.boundaries.toArray().tolist(), steps.predictions.toArray().tolist()
-        model.calibration = thinned(bounds, values)
+    # equal margins are one weighted point, so none of them meet in one task
+    held = model.margin(table.filter("fold = 2")).groupBy("margin").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight"))
+    steps = IsotonicRegression(featuresCol="margin", labelCol="label", weightCol="weight").fit(held)
+    model.calibration = steps.boundaries.toArray(), steps.predictions.toArray()
     return model
 
 
-def thinned(bounds: list[float], values: list[float], most: int = 200) -> tuple[list[float], list[float]]:
-    """At most about `most` points of the step function, its ends included; it stays monotone."""
-    step = max(1, -(-len(bounds) // most))
-    keep = sorted({*range(0, len(bounds), step), len(bounds) - 1})
-    return [bounds[i] for i in keep], [values[i] for i in keep]
-
-
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of docs."""
     model = fit(docs, labels)
