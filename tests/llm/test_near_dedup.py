@@ -65,3 +65,26 @@ def test_near_dedup_of_documents(spark, sf_dir):
     df = corpus_pipeline.load(spark, sf_dir, "documents")
     docs = [(r.doc_id, r.text) for r in df.collect()]
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, sf_dir).collect()} == stays(docs)
+
+
+def test_rows_are_told_apart_by_id_and_text(spark, sf_dir):
+    """Other texts of an id stay, repeated rows and copies without an id go, other columns pass."""
+    a, b, c = ("first text of six words here", "second text has six words too", "third text has no id at all")
+    rows = [(1, a, "x", 1), (1, b, "x", 2), (1, b, "x", 3), (2, a, "x", 4), (None, a, "x", 5), (None, c, "x", 6), (None, c, "x", 7), (3, None, "x", 8), (4, "", "x", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component string, th long")
+    out = corpus_pipeline.near_dedup(spark, df, sf_dir)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) in (sorted([(1, a), (1, b), (0, c), (3, "")]),)
+
+
+def test_pairs_beyond_the_radius_are_found(spark, sf_dir):
+    """SimHash alone would lose pairs of similarity 0.8: here both ways are needed, and bits decide nothing."""
+    from wayfold.llm import jaccard, simhash
+
+    docs = made()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    fps = {r.doc_id: r.fp for r in simhash.fingerprints(df, 5).collect()}
+    sets = {d: shingles(t) for d, t in docs}
+    got = {r.doc_id: r.component for r in jaccard.near_duplicates(df).collect()}
+    far = [(a, b) for a in sets for b in sets if a < b and sets[a] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) and (fps[a] ^ fps[b] & (1 << 64) - 1).bit_count() > jaccard.RADIUS]
+    assert len(far) > 20 and all(got[a] == got[b] for a, b in far)

@@ -1,13 +1,21 @@
-"""Near duplicates by the exact Jaccard similarity of word shingles, for the pipeline.
+"""SimHash near-duplicates with an exact check, for the pipeline: texts link if their shingle sets are alike enough.
 
-The set of a text holds the hashes of its shingles (those of SimHash, by default of five words). Two texts link if their sets
-share at least LEAST percent of what they hold together. No pair is missed: whatever order all hashes are put in, two such
-sets meet in the first n - ceil(LEAST % of n) + 1 hashes of each (prefix filter). The order puts hashes that many texts hold
-last, so that passages that texts share rarely stand in these; a wrong guess of what is common costs time, never a pair.
+The set of a text holds the hashes of its shingles (by default of five words). Two texts link if their sets share at least
+LEAST percent of what they hold together. Equal sets are one node. Candidates come in two ways:
 
-Equal sets are one node. Buckets of one hash are first compared with single members, drawn anew in each round, which joins
-large groups of copies; then members that are still apart are all compared with each other. Null and blank texts have an
-empty set and are one node. Rows without a doc_id get a component like others; the smallest doc_id leaves nulls out.
+* SimHash with covering tables (operator 6, here over the shingles of the sets' width): every pair within RADIUS bits. This
+  joins most copies, and what it joined is not compared again.
+* Sets may be alike enough and still lie farther apart in bits (up to 13 of 64 were seen at 80 percent; covering tables for
+  that need keys of a few bits, whose buckets grow with the square of the corpus). The rest is found by a prefix filter:
+  whatever order all hashes are put in, two such sets meet in the first n - ceil(LEAST % of n) + 1 hashes of each. The order
+  puts hashes that many texts hold last, as one text in GUESS shows; a wrong guess costs time, never a pair.
+
+Buckets are first compared with single members, drawn anew in each round, which joins groups of copies; then members that
+are still apart are all compared. Each candidate pair passes two exact tests: parities of the sets' hashes in BITS places
+differ in no more places than the sets may; then the sets themselves, made anew from the texts of these pairs only.
+
+Null and blank texts have an empty set and are one node. Rows without a doc_id get a component like others; the smallest
+doc_id leaves nulls out. Repeated rows each give a row, an empty table none; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -16,70 +24,116 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import chunks, written
-from wayfold.llm.simhash import components, shingle_hashes
+from wayfold.llm import simhash
+from wayfold.llm.common import chunks, folded, unfolded, written
+from wayfold.llm.simhash import components, fingerprint, shingle_hashes
 
-#: Words of a shingle, and percent that sets share.
-WIDTH, LEAST = 5, 80
-#: A hash is common if so many prefixes hold it; so many of the most common ones are sent to all tasks (8 bytes each).
-COMMON, SENT = 16, 1_000_000
-#: Rounds of comparing with single members.
-ROUNDS = 3
+#: Words of a shingle, percent that sets share, and bits of the SimHash that candidates of the first way differ in.
+WIDTH, LEAST, RADIUS = 5, 80, 4
+#: A hash is common if so many of the texts that are looked at for it hold it in their prefix; so many are sent to all tasks at most (8 bytes each).
+GUESS, COMMON, SENT = 8, 3, 1_000_000
+#: Places of the parities; rounds of comparing with single members.
+BITS, ROUNDS = 1024, 2
 
 
 def prefix_size(n: int, least: int = LEAST) -> int:
     return n - -(-n * least // 100) + 1 if n else 0
 
 
-def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, key (a hash of the set), n and own, the set in ascending order."""
+def shingle_set(text: str, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, width).view(np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
 
-        for batch in batches:
-            for part, texts in chunks(batch):
-                own = [np.unique(shingle_hashes(t, width).view(np.int64)) for t in texts]
-                keys = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in own], dtype=np.uint64).view(np.int64)
-                sizes = np.array([len(s) for s in own], dtype=np.int32)
-                sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *own])))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys), pa.array(sizes), sets], ["doc_id", "key", "n", "own"])
+def key_of(own: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63)
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, n int, own array<long>")
+def parities(own: np.ndarray) -> np.ndarray:
+    """For each of BITS places, whether an odd number of hashes fall there, as longs."""
+    odd = np.bincount((own.view(np.uint64) >> np.uint64(7)) % np.uint64(BITS), minlength=BITS).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
 
 
-def prefixes(marked: DataFrame, common: np.ndarray, least: int = LEAST) -> DataFrame:
+def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, th (a hash of the text), key (a hash of the set), n (its size), fp (the SimHash) and its parities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in chunks(batch):
+                keys, sizes, prints, bits = [], [], [], []
+                for t in texts:
+                    hashes = shingle_hashes(t, width)
+                    own = np.unique(hashes.view(np.int64))
+                    keys.append(key_of(own))
+                    sizes.append(len(own))
+                    prints.append(fingerprint(hashes))
+                    bits.append(parities(own))
+                flat = pa.array(np.concatenate(bits))
+                places = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * (BITS // 64)), flat)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), places], ["doc_id", "th", "key", "n", "fp", "bits"])
+
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, key long, n int, fp long, bits array<long>")
+
+
+def prefixes(texts: DataFrame, common: np.ndarray, width: int = WIDTH, least: int = LEAST) -> DataFrame:
     """key, n and h for each hash of a set's prefix; common: common hashes, the most common last."""
     by_value = np.argsort(common)
     values = common[by_value]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, hashes = [], [], []
-            own = batch.column("own")
-            flat, ends = own.values.to_numpy(), own.offsets.to_numpy()
-            for key, n, a, b in zip(batch.column("key").to_pylist(), batch.column("n").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                s = flat[a:b]
-                if len(values) and n:
-                    at = np.minimum(np.searchsorted(values, s), len(values) - 1)
-                    s = s[np.argsort(np.where(values[at] == s, by_value[at], -1), kind="stable")]
-                first = s[: prefix_size(n, least)]
-                keys += [key] * len(first)
-                sizes += [n] * len(first)
-                hashes.append(first)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *hashes]))], ["key", "n", "h"])
-
-    return marked.select("key", "n", "own").mapInArrow(run, "key long, n int, h long").distinct()
-
-
-def alike(pairs: DataFrame, sets: DataFrame, least: int = LEAST) -> DataFrame:
-    """The pairs (a, b) of keys whose whole sets share enough."""
-    each = pairs.join(sets.select(F.col("key").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("own").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return each.filter(100 * both >= least * (F.size("x") + F.size("y") - both)).select("a", "b")
+            for _, own in chunks(batch):
+                keys, sizes, hashes = [], [], []
+                for t in own:
+                    s = shingle_set(t, width)
+                    key, n = key_of(s), len(s)
+                    if len(values) and n:
+                        at = np.minimum(np.searchsorted(values, s), len(values) - 1)
+                        s = s[np.argsort(np.where(values[at] == s, by_value[at], -1), kind="stable")]
+                    first = s[: prefix_size(n, least)]
+                    keys.append(np.full(len(first), key, dtype=np.int64))
+                    sizes.append(np.full(len(first), n, dtype=np.int32))
+                    hashes.append(first)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(hashes))], ["key", "n", "h"])
+
+    return texts.select("text").mapInArrow(run, "key long, n int, h long")
+
+
+def sets_of(texts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """key and own, the set, of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, own in chunks(batch):
+                sets = [shingle_set(t, width) for t in own]
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([key_of(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["key", "own"])
+
+    return texts.select("text").mapInArrow(run, "key long, own array<long>")
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
+    """The pairs (a, b) of keys whose whole sets share enough. docs: the texts, nodes: one row for each key."""
+    for end in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("key").alias(end), F.col("n").alias(f"n_{end}"), F.col("th").alias(f"th_{end}"), F.col("bits").alias(f"bits_{end}")), end)
+    both = F.col("n_a") + F.col("n_b")
+    differ = F.expr("aggregate(zip_with(bits_a, bits_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    # least <= 100 * shared / (both - shared), so at least shared = ceil(least * both / (100 + least)), and the rest differs
+    close = pairs.filter(differ <= both - 2 * F.ceil(least * both / (100 + least)))
+    close = written(close.select("a", "b", "th_a", "th_b").withColumn("pair", F.monotonically_increasing_id()), "close-pairs")
+    asked = close.select(F.explode(F.array("th_a", "th_b")).alias("th")).distinct()
+    texts = docs.select("text", F.xxhash64("text").alias("th")).join(asked, "th", "left_semi").dropDuplicates(["th"])
+    ends = close.select("pair", F.explode(F.array("a", "b")).alias("key"))
+    met = ends.join(sets_of(texts, width), "key").groupBy("pair").agg(F.collect_list("own").alias("sets")).filter("size(sets) = 2")
+    shared = F.size(F.array_intersect(F.col("sets")[0], F.col("sets")[1]))
+    met = met.filter(100 * shared >= least * (F.size(F.col("sets")[0]) + F.size(F.col("sets")[1]) - shared)).select("pair")
+    return written(close.join(met, "pair", "left_semi").select("a", "b"), "alike")
 
 
 def fit(n: str | Column, m: str | Column, least: int = LEAST) -> Column:
@@ -87,14 +141,12 @@ def fit(n: str | Column, m: str | Column, least: int = LEAST) -> Column:
     return 100 * F.least(n, m) >= least * F.greatest(n, m)
 
 
-def rooted(members: DataFrame, links: DataFrame | None) -> DataFrame:
+def rooted(members: DataFrame, links: DataFrame) -> DataFrame:
     """members of buckets that hold more than one component by links, with the root of theirs."""
-    if links is None:
-        return members.withColumn("root", F.col("key"))
     roots = components(links).withColumnRenamed("node", "key")
     rows = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     apart = rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("h")
-    return rows.join(apart, "h", "left_semi")
+    return written(rows.join(apart, "h", "left_semi"), "apart")
 
 
 def most_common(counted: DataFrame) -> np.ndarray:
@@ -112,36 +164,64 @@ def most_common(counted: DataFrame) -> np.ndarray:
     return h[np.lexsort((h, c))]
 
 
-def links(marked: DataFrame, least: int = LEAST) -> DataFrame:
+def simhash_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b) of keys that connect what lies within the radius: by the links of operator 6, and those of one fingerprint with the first of them."""
+    one = nodes.groupBy("fp").agg(F.min("key").alias("own"))
+    same = nodes.join(one, "fp").filter("key <> own").select(F.col("own").alias("a"), F.col("key").alias("b"))
+    near = simhash.links(one.select("fp"), radius)
+    for end in ("a", "b"):
+        near = near.join(one.select(F.col("fp").alias(end), F.col("own").alias(f"key_{end}")), end)
+    return same.unionByName(near.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
+
+
+def links(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
     """Links (a, b) of keys that connect exactly what pairs that share enough connect."""
-    first = F.explode(F.slice("own", 1, F.col("n") - F.ceil(F.col("n") * least / 100).cast("int") + 1)).alias("h")
-    counted = written(marked.filter("n > 0").select(first).groupBy("h").agg(F.count("*").alias("c")).filter(F.col("c") >= COMMON), "common")
-    rows = prefixes(marked, most_common(counted), least)
+    full = nodes.filter("n > 0")
+    found = alike(simhash_pairs(full), nodes, docs, width, least)
+    seen = docs.filter(F.pmod(F.xxhash64("text"), F.lit(GUESS)) == 0)
+    counted = written(prefixes(seen, np.zeros(0, dtype=np.int64), width, least).distinct().groupBy("h").agg(F.count("*").alias("c")).filter(F.col("c") >= COMMON), "common")
+    rows = prefixes(docs, most_common(counted), width, least).repartition("h").distinct()
     shared = rows.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
-    members = written(rows.join(shared, "h", "left_semi"), "members")
-    asked = members.select("key").distinct()
-    rows = marked.join(asked, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
-    sets = written(marked.join(rows.select("row"), "row", "left_semi").select("key", "own"), "sets")
-    found = None
+    now = written(rows.join(shared, "h", "left_semi"), "members")
     for i in range(ROUNDS):
-        now = rooted(members, found)
+        now = rooted(now.select("h", "key", "n"), found)
         one = now.groupBy("h").agg(F.min(F.struct(F.xxhash64("key", F.lit(i)), "key", "n", "root")).alias("one"))
         pairs = now.join(one, "h").filter((F.col("root") != F.col("one.root")) & fit("n", F.col("one.n"), least))
         pairs = pairs.select(F.least("key", "one.key").alias("a"), F.greatest("key", "one.key").alias("b")).distinct()
-        new = written(alike(pairs, sets, least), "alike")
-        found = new if found is None else found.unionByName(new)
-    now = written(rooted(members, found), "apart")
+        found = found.unionByName(alike(pairs, nodes, docs, width, least))
+    now = rooted(now.select("h", "key", "n"), found)
     other = now.select("h", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
     pairs = now.join(other, "h").filter((F.col("key") < F.col("b")) & (F.col("root") != F.col("other")) & fit("n", "m", least)).select(F.col("key").alias("a"), "b").distinct()
-    return found.unionByName(alike(pairs, sets, least))
+    return found.unionByName(alike(pairs, nodes, docs, width, least))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
-    """doc_id and component_id, the smallest doc_id reachable by links."""
-    marked = written(shingle_sets(docs, width).withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
-    nodes = written(marked.groupBy("key").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(links(marked, least))
+    """doc_id, th (xxhash64 of the text), component_id, the smallest doc_id reachable by links, and component, a number of it that is never null."""
+    marked = written(signatures(docs, width), "signatures")
+    nodes = written(marked.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("bits").alias("bits")), "nodes")
+    roots = components(links(docs, nodes, width, least))
     named = nodes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = named.select("key", "root").join(smallest, "root").select("key", "component_id")
-    return marked.select("doc_id", "key").join(classes, "key").select("doc_id", "component_id")
+    classes = named.select("key", "root").join(smallest, "root").select("key", F.col("root").alias("component"), "component_id")
+    return marked.select("doc_id", "th", "key").join(classes, "key").select("doc_id", "th", "component_id", "component")
+
+
+def deduplicated(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
+    """One row of each group of near duplicates: that of the smallest doc_id, then of the least text hash; columns as in docs.
+
+    Rows are told apart by doc_id and text, so different texts of one doc_id stay, and rows without a doc_id, which come
+    last, are deduplicated too. Texts are not shuffled but for repeated rows: the others only drop out by a join with what goes.
+    """
+    names, own = docs.columns, ["doc_id", "text"]
+    each = near_duplicates(docs, width, least).groupBy("doc_id", "th", "component").agg(F.count("*").alias("n"))
+    each = written(each, "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
+    best = each.groupBy("component").agg(F.min(order).alias("best"))
+    marked = each.join(best, "component").withColumn("stays", F.expr("doc_id <=> best.doc_id AND th = best.th"))
+    goes = written(marked.filter("NOT stays OR n > 1").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("stays").alias("_once")), "goes")
+    rows = folded(docs, own).withColumn("_x", F.xxhash64("text"))
+    same = F.expr("doc_id <=> _id AND _x = _th")
+    once = rows.join(goes.filter("_once"), same, "left_semi")
+    first = W.partitionBy("doc_id", "_x").orderBy(F.lit(0))
+    once = once.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
+    return unfolded(rows.join(goes, same, "left_anti").unionByName(once), names, own)
