@@ -9,11 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from wayfold.llm import jaccard, packing, pii, quality, toxicity
-from wayfold.llm.common import folded, load, unfolded, written
+from wayfold.llm.common import load, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -31,16 +29,10 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest doc_id.
 
-    Near duplicates share 80 % of their five-word shingles or more, counted exactly (op6's SimHash radius would miss most of them).
-    Of rows with the same doc_id one stays, that of the least text hash. Rows without a doc_id can't be told apart and all stay.
+    Near duplicates share 80 % of their five-word shingles or more, counted exactly. Candidates come from SimHash covering
+    tables, and from a prefix filter for pairs that lie beyond their radius.
     """
-    groups = jaccard.near_duplicates(docs)
-    stays = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    names, own = docs.columns, ["doc_id", "text"]
-    rows = folded(docs, own).join(stays, "doc_id", "left_semi")
-    first = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = rows.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1")
-    return unfolded(rows, names, own).unionByName(docs.filter("doc_id IS NULL"))
+    return jaccard.deduplicated(docs)
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
