@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from wayfold.llm.common import arrow_map, chunks
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
-#: Words that an encoder keeps; beyond it starts anew, so memory stays bounded.
-MEMORY = 700_000
+#: Words that an encoder keeps, and characters of them; beyond it starts anew, so memory stays bounded.
+MEMORY, MEMORY_CHARS = 500_000, 16_000_000
 #: Symbols that are merged side by side.
 SIDE_BY_SIDE = 1 << 17
 #: Words of so many bytes are merged one by one, with plain lists: there are too few of them to fill arrays.
@@ -249,7 +249,7 @@ class Known:
 
     def __init__(self) -> None:
         self.index: collections.defaultdict[str, int] = collections.defaultdict(itertools.count().__next__)
-        self.learnt = self.size = 0
+        self.learnt = self.size = self.chars = 0
         self.start, self.count = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int64)
         self.pool = np.zeros(1 << 14, dtype=np.int32)
 
@@ -322,6 +322,7 @@ class Encoder:
                     cut.append((k, pieces))
             known.add([k for k, _ in pure], *self.merger.encode([(lead + s).encode("utf-8") for _, s in pure]))
             known.learnt += len(new)
+            known.chars += sum(map(len, new))
             if cut:
                 flat = [p for _, pieces in cut for p in pieces]
                 ids, counts = self._of_pieces(flat)
@@ -352,7 +353,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text. Special tokens within a text count as such."""
-        if len(self.plain.index) + len(self.spaced.index) > MEMORY:
+        if len(self.plain.index) + len(self.spaced.index) > MEMORY or self.plain.chars + self.spaced.chars > MEMORY_CHARS:
             self.plain, self.spaced = Known(), Known()
         if not self.split_special or not any("<|" in t for t in texts):
             return self._encode(texts)

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,16 +115,18 @@ def dealt_by_range(df: DataFrame, key: str, sort: list, like: DataFrame | None =
 
 
 def chunks(batch: pa.RecordBatch, text: str = "text", most: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of a batch of at most about `most` characters (one text at least), with their texts; null texts are empty."""
-    texts = [t if t is not None else "" for t in batch.column(text).to_pylist()]
-    start, held = 0, 0
-    for i, t in enumerate(texts):
-        if i > start and held + len(t) > most:
-            yield batch.slice(start, i - start), texts[start:i]
-            start, held = i, 0
-        held += len(t)
-    if start < len(texts):
-        yield batch.slice(start), texts[start:]
+    """Slices of a batch of at most about `most` bytes of text (one text at least), with their texts; null texts are empty.
+
+    Only the texts of one slice at a time become Python strings.
+    """
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    start = 0
+    while start < len(sizes):
+        stop = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), most, side="right")))
+        part = batch.slice(start, stop - start)
+        yield part, [t if t is not None else "" for t in part.column(text).to_pylist()]
+        start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def folded(docs: DataFrame, keep: list[str]) -> DataFrame:

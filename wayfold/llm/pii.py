@@ -152,7 +152,7 @@ class Tokens(dict):
     """Hashes of tokens, kept; the lowest bit is set for plain words (letters only)."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 60_000:
             self.clear()
         h = xxhash.xxh64_intdigest(DIGITS.sub("0", token)) if len(token) < 64 else 0
         h = self[token] = h | 1 if token.isalpha() else h & ~1
@@ -335,9 +335,10 @@ def redacted(docs: DataFrame, sent: int = SENT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, sizes = [], []
-            for t, given in zip(batch.column("text").to_pylist(), batch.column("_found").to_pylist(), strict=True):
-                if t is not None:
+            for part, given_texts in chunks(batch):
+                texts, sizes = [], []
+                blank = part.column("text").is_null().to_pylist()
+                for t, none, given in zip(given_texts, blank, part.column("_found").to_pylist(), strict=True):
                     base = base_spans(t)
                     spans = base + secrets(t, base)
                     entities = known or dict(given or ())
@@ -349,9 +350,9 @@ def redacted(docs: DataFrame, sent: int = SENT) -> DataFrame:
                             out += [t[at:a], f"<{k}>"]
                         at = max(at, b)
                     t = "".join([*out, t[at:]]) if out else t
-                texts.append(t)
-                sizes.append(None if t is None else len(t))
-            arrays = [pa.array(texts, pa.string()) if c == "text" else pa.array(sizes, pa.int64()) if c == "n_chars" else batch.column(c) for c in kept]
-            yield pa.RecordBatch.from_arrays(arrays, kept)
+                    texts.append(None if none else t)
+                    sizes.append(None if none else len(t))
+                arrays = [pa.array(texts, pa.string()) if c == "text" else pa.array(sizes, pa.int64()) if c == "n_chars" else part.column(c) for c in kept]
+                yield pa.RecordBatch.from_arrays(arrays, kept)
 
     return unfolded(rows.mapInArrow(run, rows.select(*kept).schema), names, own)

@@ -114,7 +114,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST, file_bytes: int = F
             return pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "bucket": [bucket[0]], "part": [bucket[1]], "number": [number], "records": [count], "first": [first], "last": [last], "bytes": [len(data)], "sha1": [hashlib.sha1(data).hexdigest()]}, schema=MANIFEST)
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for k in range(0, batch.num_rows, 256) for r in batch.slice(k, 256).to_pylist()):
                 if key != (row["_range"], row["_part"], row["page_id"], row["digest"]):
                     key, target, nth = (row["_range"], row["_part"], row["page_id"], row["digest"]), None, 0
                 if row["mark"]:  # before the records of its page and digest
