@@ -88,3 +88,25 @@ def test_pairs_beyond_the_radius_are_found(spark, sf_dir):
     got = {r.doc_id: r.component for r in jaccard.near_duplicates(df).collect()}
     far = [(a, b) for a in sets for b in sets if a < b and sets[a] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) and (fps[a] ^ fps[b] & (1 << 64) - 1).bit_count() > jaccard.RADIUS]
     assert len(far) > 20 and all(got[a] == got[b] for a, b in far)
+
+
+def test_blocks_and_parities_lose_nothing(spark):
+    """Members of a bucket compared in small blocks give the pairs that all pairs by hand give."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from wayfold.llm import jaccard
+
+    docs = spark.createDataFrame([d for d in made() if d[1] and d[1].strip()], "doc_id long, text string")
+    nodes = jaccard.signatures(docs).dropDuplicates(["key"]).cache()
+    members = nodes.select(F.lit(1).cast("long").alias("h"), "key", "n", F.when(F.col("doc_id") % 3 == 0, F.lit(0)).otherwise(F.col("key")).cast("long").alias("root"))
+    rows = {r.key: (r.n, 0 if r.doc_id % 3 == 0 else r.key, np.array(r.bits)) for r in nodes.collect()}
+    expected = set()
+    for a, (n, u, x) in rows.items():
+        for b, (m, v, y) in rows.items():
+            if a < b and u != v and 10 * min(n, m) >= 8 * max(n, m) and np.bitwise_count((x ^ y).view(np.uint64)).sum() <= n + m - 2 * -(-80 * (n + m) // 180):
+                expected.add((a, b))
+    for block in (100, 5000):
+        assert {(r.a, r.b) for r in jaccard.compared(members, nodes, False, block=block).collect()} == expected
+        best = {(r.a, r.b) for r in jaccard.compared(members, nodes, True, block=block).collect()}
+        assert best <= expected and {k for p in best for k in p} == {k for p in expected for k in p}

@@ -10,9 +10,11 @@ LEAST percent of what they hold together. Equal sets are one node. Candidates co
   whatever order all hashes are put in, two such sets meet in the first n - ceil(LEAST % of n) + 1 hashes of each. The order
   puts hashes that many texts hold last, as one text in GUESS shows; a wrong guess costs time, never a pair.
 
-Buckets are first compared with single members, drawn anew in each round, which joins groups of copies; then members that
-are still apart are all compared. Each candidate pair passes two exact tests: parities of the sets' hashes in BITS places
-differ in no more places than the sets may; then the sets themselves, made anew from the texts of these pairs only.
+Each candidate pair passes two exact tests: parities of the sets' hashes in BITS places differ in no more places than the
+sets may; then the sets themselves, made anew from the texts of these pairs only. Buckets are first compared with one member,
+which joins most of a group of copies. Then members that are still apart are compared by their parities, in blocks of bounded
+size, each member outside the bucket's largest component with all others: first each is paired with the likeliest member of
+each other component, and of those that are apart after that, with all that the parities allow.
 
 Null and blank texts have an empty set and are one node. Rows without a doc_id get a component like others; the smallest
 doc_id leaves nulls out. Repeated rows each give a row, an empty table none; other columns do not matter.
@@ -20,6 +22,7 @@ doc_id leaves nulls out. Repeated rows each give a row, an empty table none; oth
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +40,8 @@ from wayfold.llm.simhash import components, fingerprint, shingle_hashes
 WIDTH, LEAST, RADIUS = 5, 80, 4
 #: A hash is common if so many of the texts that are looked at for it hold it in their prefix; so many are sent to all tasks at most (8 bytes each).
 GUESS, COMMON, SENT = 8, 3, 1_000_000
-#: Places of the parities; rounds of comparing with single members.
-BITS, ROUNDS = 1024, 2
+#: Places of the parities; members of a bucket in a block.
+BITS, BLOCK = 1024, 2048
 
 
 def prefix_size(n: int, least: int = LEAST) -> int:
@@ -149,6 +152,58 @@ def rooted(members: DataFrame, links: DataFrame) -> DataFrame:
     return written(rows.join(apart, "h", "left_semi"), "apart")
 
 
+def group_pairs(keys: np.ndarray, sizes: np.ndarray, roots: np.ndarray, bits: np.ndarray, likeliest: bool, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one group's members of different components that the parities allow; likeliest: for each member and component the closest."""
+    _, which, counts = np.unique(roots, return_inverse=True, return_counts=True)
+    own = np.flatnonzero(which != counts.argmax())
+    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    sizes = sizes.astype(np.int64)
+    strip = max(1, (1 << 18) // len(keys))
+    for i in range(0, len(own), strip):
+        x = own[i : i + strip]
+        n, m = sizes[x, None], sizes[None, :]
+        differ = np.bitwise_count(bits[x, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
+        open_ = (which[x, None] != which[None, :]) & (100 * np.minimum(n, m) >= least * np.maximum(n, m)) & (differ <= n + m - 2 * -(-least * (n + m) // (100 + least)))
+        at, to = np.nonzero(open_)
+        if likeliest and len(at):
+            order = np.lexsort((differ[at, to], which[to], at))
+            at, to = at[order], to[order]
+            first = np.concatenate([[True], (at[1:] != at[:-1]) | (which[to][1:] != which[to][:-1])])
+            at, to = at[first], to[first]
+        left.append(np.minimum(keys[x[at]], keys[to]))
+        right.append(np.maximum(keys[x[at]], keys[to]))
+    return np.concatenate(left), np.concatenate(right)
+
+
+def compared(members: DataFrame, nodes: DataFrame, likeliest: bool, least: int = LEAST, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of keys in a bucket that may be alike and are not connected; members: h, key, n, root."""
+    blocks = members.groupBy("h").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = members.join(blocks, "h").join(nodes.select("key", "bits"), "key")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")).alias("g")
+    rows = rows.select(group, "key", "n", "root", "bits").repartition("g").sortWithinPartitions("g")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            now = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if now is None or not now.num_rows:
+                continue
+            now = now.combine_chunks()
+            g, keys, sizes, roots = (now.column(c).to_numpy() for c in ("g", "key", "n", "root"))
+            bits = now.column("bits").chunk(0).flatten().to_numpy().view(np.uint64).reshape(len(g), -1)
+            starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])).tolist()
+            ends = [*starts[1:], len(g)]
+            if batch is not None:  # the last group may go on
+                held = now.slice(starts[-1])
+                starts, ends = starts[:-1], ends[:-1]
+            pairs = [group_pairs(keys[a:b], sizes[a:b], roots[a:b], bits[a:b], likeliest, least) for a, b in zip(starts, ends, strict=True)]
+            empty = np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *[p[i] for p in pairs]])) for i in (0, 1)], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
 def most_common(counted: DataFrame) -> np.ndarray:
     """At most SENT hashes of the greatest counts, in ascending order of count."""
     left, least = SENT, None
@@ -183,16 +238,15 @@ def links(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, least: int = LE
     rows = prefixes(docs, most_common(counted), width, least).repartition("h").distinct()
     shared = rows.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
     now = written(rows.join(shared, "h", "left_semi"), "members")
-    for i in range(ROUNDS):
+    now = rooted(now, found)
+    one = now.groupBy("h").agg(F.min(F.struct(F.xxhash64("key"), "key", "n", "root")).alias("one"))
+    pairs = now.join(one, "h").filter((F.col("root") != F.col("one.root")) & fit("n", F.col("one.n"), least))
+    pairs = pairs.select(F.least("key", "one.key").alias("a"), F.greatest("key", "one.key").alias("b")).distinct()
+    found = found.unionByName(alike(pairs, nodes, docs, width, least))
+    for likeliest in (True, False):
         now = rooted(now.select("h", "key", "n"), found)
-        one = now.groupBy("h").agg(F.min(F.struct(F.xxhash64("key", F.lit(i)), "key", "n", "root")).alias("one"))
-        pairs = now.join(one, "h").filter((F.col("root") != F.col("one.root")) & fit("n", F.col("one.n"), least))
-        pairs = pairs.select(F.least("key", "one.key").alias("a"), F.greatest("key", "one.key").alias("b")).distinct()
-        found = found.unionByName(alike(pairs, nodes, docs, width, least))
-    now = rooted(now.select("h", "key", "n"), found)
-    other = now.select("h", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    pairs = now.join(other, "h").filter((F.col("key") < F.col("b")) & (F.col("root") != F.col("other")) & fit("n", "m", least)).select(F.col("key").alias("a"), "b").distinct()
-    return found.unionByName(alike(pairs, nodes, docs, width, least))
+        found = found.unionByName(alike(compared(now, nodes, likeliest, least), nodes, docs, width, least))
+    return found
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
