@@ -56,12 +56,30 @@ def phone_display(phone: Column) -> Column:
 
 
 def distance_display(km: Column) -> Column:
-    return F.when(km < 1, F.concat(F.floor(km * 1000 + 0.5).cast("string"), F.lit("m"))).otherwise(F.concat(F.format_string("%.1f", km), F.lit("km")))
+    return F.when(km < 1, F.concat(F.floor(km * 1000 + 0.5).cast("string"), F.lit("m"))).otherwise(F.concat(one_decimal(km), F.lit("km")))
+
+
+#: One digit after the point in SQL, of a number x that is not negative: the nearest tenth by the exact binary value, ties up.
+#: 16x + 4x and what its sum rounds away are 20x exactly, and a tenth is reached from the odd numbers of twentieths on.
+ONE_DECIMAL = "CAST(floor((floor(16*({x})+4*({x})) + 1) / 2) - CASE WHEN 16*({x})+4*({x}) = floor(16*({x})+4*({x})) AND floor(16*({x})+4*({x})) % 2 = 1 AND (16*({x}) - ((16*({x})+4*({x})) - ((16*({x})+4*({x})) - 16*({x})))) + (4*({x}) - ((16*({x})+4*({x})) - 16*({x}))) < 0 THEN 1 ELSE 0 END AS BIGINT)"
+
+
+def one_decimal_sql(x: str) -> str:
+    tenths = ONE_DECIMAL.replace("{x}", x)
+    return f"(({tenths}) // 10 || '.' || ({tenths}) % 10)"
 
 
 def one_decimal(c: Column) -> Column:
-    """One digit after the point; halves of the decimal digits go up."""
-    return F.format_string("%.1f", c.cast("double"))
+    """One digit after the point: the nearest tenth by the exact binary value, ties up; the sign stands before it."""
+    x = F.abs(c.cast("double"))
+    a, b = 16 * x, 4 * x
+    s = a + b
+    lost = (a - (s - (s - a))) + (b - (s - a))
+    whole = F.floor(s)
+    below = (s == whole) & (whole % 2 == 1) & (lost < 0)
+    tenths = F.floor((whole + 1) / 2) - below.cast("long")
+    text = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    return F.concat(F.when(c < 0, F.lit("-")).otherwise(F.lit("")), text)
 
 
 def faq(name: Column, pricing: Column, hours: Column, is_free: Column, score: Column, spaces: Column, nearby: Column, tip_pricing: Column, tip_alternative: Column) -> Column:

@@ -19,7 +19,7 @@ IN_BOX = "lat BETWEEN 34 AND 37 AND lng BETWEEN 125 AND 130"
 
 @query("score_recompute", "SELECT * FROM p_stats")
 def _(c):
-    return c.stats
+    return recompute(c.lots, c.reviews, c.web, c.ai_matches, NOW)
 
 
 @query("score_recompute_changed", "SELECT * FROM p_stats WHERE parking_lot_id IN (SELECT parking_lot_id FROM p_web WHERE published_at >= TIMESTAMP '1998-06-01')")

@@ -9,6 +9,7 @@ from wayfold.functions.vocab import Feelings, Rules
 from wayfold.operators import evaluation, matching, merge, places, rankings, relevance, sentiment
 from wayfold.operators.scoring import recompute
 from wayfold.plans.registry import query
+from wayfold.sources.shared import shared_path
 from wayfold.sources import files
 from wayfold.sources.views import NOW
 from wayfold.streaming import rescoring
@@ -56,7 +57,9 @@ def _(c):
 
 @query("blog_relevance", None)
 def _(c):
-    rows = c.docs.join(F.broadcast(c.lots.orderBy("id").limit(3).select(F.col("id").alias("lot"), "name", "address")))  # three rows
+    # each text with the place it was crawled for: here the one of its number
+    lots = c.lots.select(F.col("id").alias("lot"), "name", "address", F.substring("id", 4, 18).cast("long").alias("number"))
+    rows = c.docs.join(lots, F.col("id") == F.col("number"))
     return rows.select("id", "lot", relevance.blog_relevance(F.col("title"), F.col("full_text"), F.col("name"), F.col("address")).alias("score"))
 
 
@@ -228,8 +231,8 @@ def _(c):
     events = spark.readStream.schema(c.events.schema).option("pathGlobFilter", "events.parquet").parquet(c.sf_dir)
     kinds = F.when(F.col("event_type") == "signup", "review_created").otherwise("review_deleted")
     messages = events.filter(F.col("event_type").isin("signup", "purchase")).select(F.concat(F.lit("KA-"), ((F.col("user_id") * 3) % 1500).cast("string")).alias("lot_id"), kinds.alias("reason"))
-    out = rescoring.shared_path(spark, "scores")
-    rescoring.rescore_stream(messages, lambda lots: recompute(c.lots, c.reviews, c.web, c.ai_matches, NOW, only=lots), out, rescoring.shared_path(spark, "checkpoint"))
+    out = shared_path(spark, "scores")
+    rescoring.rescore_stream(messages, lambda lots: recompute(c.lots, c.reviews, c.web, c.ai_matches, NOW, only=lots), out, shared_path(spark, "checkpoint"))
     return rescoring.latest(spark.read.option("basePath", out).parquet(f"{out}/batch=*")).drop("batch")
 
 

@@ -49,6 +49,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS[name], **frames)
 
 
+#: Stored scores by application and input files.
+STORED: dict[tuple, DataFrame] = {}
+
+
 class Catalogue:
     """The tables of one folder: catalogue.lots, .reviews, .web, .stats and so on, each read when asked for."""
 
@@ -62,9 +66,18 @@ class Catalogue:
 
     @cached_property
     def stats(self) -> DataFrame:
+        """The stored scores of all places, as the batch job leaves them: reads do not run the score model.
+
+        Made once for a folder and application; the file names of its inputs tell one input from another.
+        """
         from wayfold.operators.scoring import recompute
+        from wayfold.sources.shared import stored
 
-        return recompute(self.lots, self.reviews, self.web, self.ai_matches, NOW)
+        inputs = [self.lots, self.reviews, self.web, self.ai_matches]
+        key = (self.spark.sparkContext.applicationId, *sorted({f for df in inputs for f in df.inputFiles()}))
+        if key not in STORED:
+            STORED[key] = stored(recompute(*inputs, NOW), "stats")
+        return STORED[key]
 
 
 #: The time that stands for now in all queries over the driver's tables.

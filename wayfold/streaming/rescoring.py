@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    return f"{root.rstrip('/')}/wayfold-stream/{name}-{uuid.uuid4().hex}"
-
-
 def named_lots(messages: DataFrame) -> DataFrame:
     """Places to score again: distinct within a batch (a later batch may name one again), empty ids left out."""
     return messages.filter(F.coalesce("lot_id", F.lit("")) != "").select(F.col("lot_id").alias("parking_lot_id")).distinct()
@@ -50,7 +42,9 @@ def ingest_stream(rows: DataFrame, keys: list[str], out: str, checkpoint: str) -
 
         try:
             old = spark.read.option("basePath", out).schema(batch.schema).parquet(f"{out}/batch=*").filter(F.col("batch") < number) if number else None
-        except Exception:  # nothing was written so far
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # else nothing was written so far
+                raise
             old = None
         new = insert_ignore(old, batch, keys) if old is not None else batch.dropDuplicates(keys)
         new.write.mode("overwrite").parquet(f"{out}/batch={number}")
