@@ -5,7 +5,7 @@ the main content (the outermost article or main elements) one of its place: the
 counts the distinct page bodies of each host that hold a hash; copies of an article are one body, so they are no template.
 What recurs is deleted, and the rest of the page is its text: blocks in page order, white space collapsed, joined by one space.
 
-* Outside main content a subtree goes if it, or its place, is on LEAST_PAGES bodies of the host and on SHARE of them.
+* Outside main content a block goes if its subtree, or its place, is on LEAST_PAGES bodies of the host and on SHARE of them.
 * In main content, and on pages that have none, only subtrees count. In main content these are whole blocks (paragraphs,
   lists, divisions; never words or headings) on INNER_SHARE of the bodies, for articles share passages; and a page of
   whose main content more than half recurs is a near copy of others and keeps it.
@@ -159,13 +159,17 @@ def hashed(root: Node, host: str) -> tuple[dict[int, bool], int]:
     Sets the keys of nodes: that of the subtree, and outside main content that of the place. The first of the root is that
     of the host itself, which all its pages hold.
     """
-    order, todo, whole, places = [], [(root, 0)], {}, {}
+    order, todo, whole, places, inline = [], [(root, 0)], {}, {}, set()
     while todo:
         n, above = todo.pop()
         order.append(n)
         if not (n.within or n.main):
             places[id(n)] = above = digest(host, above, n.tag, DIGITS.sub("0", n.mark))
-        todo += [(p, above) for p in n.parts if isinstance(p, Node)]
+        for p in n.parts:
+            if isinstance(p, Node):
+                todo.append((p, above))
+                if p.tag not in BLOCKS and n is not root:
+                    inline.add(id(p))
     holds = around_main(order)
     has_main = bool(holds)
     found: dict[int, bool] = {}
@@ -175,6 +179,8 @@ def hashed(root: Node, host: str) -> tuple[dict[int, bool], int]:
         whole[id(n)] = digest(host, inner, n.tag, *parts)
         if id(n) in holds:  # never template as a whole
             continue
+        if not inner and id(n) in inline:  # goes with the block that it is in
+            continue
         if not inner:
             n.keys = (whole[id(n)], places[id(n)]) if has_main else (whole[id(n)],)
         elif n.tag in GROUPS:
