@@ -38,7 +38,7 @@ def test_template_of_a_host_is_removed(spark):
 def test_repeated_parts_of_articles_and_pages(spark):
     """On a host with enough pages what recurs goes, within articles too; names are not needed, copies and rare blocks stay."""
     menu, notice = "<div><a href=/>Start</a> <a href=/b>Shop</a></div>", "<div><p>Read our terms.</p><p>They bind you.</p><p>Thank you.</p></div>"
-    body = lambda i, text: f"<body>{menu}<div class=x{i}>Buy thing {i}</div><main><h1>News</h1>{text}{notice}</main></body>"
+    body = lambda i, text: f"<body><div><a href=#m>Go on</a>{menu}<div class=x{i}>Buy thing {i}</div><main><h1>News</h1>{text}{notice}</main></div></body>"
     own = [f"<p>First {i} of the day.</p><p>Second {i}, which is longer.</p>" for i in range(20)]
     copied = "<p>A wire story.</p><p>It is printed again and again.</p>"
     rows = [(i, f"http://n.example/{i}", body(i, t), None, None) for i, t in enumerate(own)]

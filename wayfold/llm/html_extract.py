@@ -159,7 +159,7 @@ def hashed(root: Node, host: str) -> tuple[dict[int, bool], int]:
     Sets the keys of nodes: that of the subtree, and outside main content that of the place. The first of the root is that
     of the host itself, which all its pages hold.
     """
-    order, todo, whole, places, inline = [], [(root, 0)], {}, {}, set()
+    order, todo, whole, places, inline = [], [(root, 0)], {}, {}, {}
     while todo:
         n, above = todo.pop()
         order.append(n)
@@ -169,7 +169,7 @@ def hashed(root: Node, host: str) -> tuple[dict[int, bool], int]:
             if isinstance(p, Node):
                 todo.append((p, above))
                 if p.tag not in BLOCKS and n is not root:
-                    inline.add(id(p))
+                    inline[id(p)] = id(n)
     holds = around_main(order)
     has_main = bool(holds)
     found: dict[int, bool] = {}
@@ -179,7 +179,7 @@ def hashed(root: Node, host: str) -> tuple[dict[int, bool], int]:
         whole[id(n)] = digest(host, inner, n.tag, *parts)
         if id(n) in holds:  # never template as a whole
             continue
-        if not inner and id(n) in inline:  # goes with the block that it is in
+        if not inner and id(n) in inline and inline[id(n)] not in holds:  # goes with the block that it is in
             continue
         if not inner:
             n.keys = (whole[id(n)], places[id(n)]) if has_main else (whole[id(n)],)
