@@ -36,6 +36,9 @@ VIEWS = {
     "p_results": """SELECT s_suppkey AS id, concat('c', CAST(s_nationkey AS STRING)) AS candidate, s_name AS name, CASE WHEN s_suppkey % 4 = 0 THEN '음식점' ELSE '주차장' END AS category, concat(r_name,' ',n_name) AS address,
         33 + CAST((s_suppkey*37) % 6000 AS DOUBLE)/1000 + CASE WHEN s_suppkey % 3 = 0 THEN 0.0001e0 ELSE 0.0015e0 END AS lat, 124 + CAST((s_suppkey*53) % 8000 AS DOUBLE)/1000 AS lng
         FROM {supplier} JOIN {nation} ON n_nationkey=s_nationkey JOIN {region} ON r_regionkey=n_regionkey WHERE s_nationkey % 7 <> 6""",
+    "p_reports": """SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'review' WHEN 1 THEN 'web_source' ELSE 'media' END AS target_type,
+        CASE event_id % 3 WHEN 1 THEN (event_id % 5000)*10+1 ELSE event_id % 5000 END AS target_id, concat('10.0.0.', CAST(user_id % 20 AS STRING)) AS ip, ts AS created_at,
+        CASE event_id % 4 WHEN 0 THEN 'resolved' WHEN 1 THEN 'dismissed' ELSE 'open' END AS status FROM {events} WHERE event_type IN ('error','signup')""",
     "p_media": "SELECT event_id AS id, concat('KA-', CAST((event_id*3) % 1500 AS STRING)) AS parking_lot_id, 'youtube' AS media_type, props AS url, ts AS created_at FROM {events} WHERE event_type='view'",
 }
 
