@@ -81,9 +81,9 @@ def _(c):
     return moderation.last_changes(rows, "parking_lot_id", "published_at", "seen_at")
 
 
-@query("lots_of_few_matches", "SELECT parking_lot_id, count(*) AS n FROM p_ai_matches GROUP BY 1 HAVING count(*) <= 61")
+@query("lots_of_few_matches", "SELECT parking_lot_id, count(*) AS n FROM p_ai_matches GROUP BY 1 HAVING count(*) <= 64")
 def _(c):
-    return moderation.shared_by_few(c.ai_matches, "parking_lot_id", 61)
+    return moderation.shared_by_few(c.ai_matches, "parking_lot_id", 64)
 
 
 @query("pending_texts", "SELECT id FROM p_docs WHERE full_text_status = 'ok' AND source <> 'web' AND id % 3 = 0")
