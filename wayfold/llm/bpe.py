@@ -30,7 +30,7 @@ from wayfold.llm.common import arrow_map, chunks
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 #: Words that an encoder keeps, and characters of them; beyond it starts anew, so memory stays bounded.
-MEMORY, MEMORY_CHARS = 500_000, 16_000_000
+MEMORY, MEMORY_CHARS = 700_000, 24_000_000
 #: Symbols that are merged side by side.
 SIDE_BY_SIDE = 1 << 17
 #: Words of so many bytes are merged one by one, with plain lists: there are too few of them to fill arrays.
