@@ -183,7 +183,11 @@ def commit(path: str, content: bytes) -> None:
         files.move(tmp, own)
 
 
-def content(path: str) -> bytes:
+def content(path: str, at: int = 0, size: int | None = None) -> bytes:
+    """A file's bytes, or `size` of them from `at` on without the rest."""
     files, own = file_system(path)
-    with files.open_input_stream(own, compression=None) as f:
-        return f.read()
+    if size is None:
+        with files.open_input_stream(own, compression=None) as f:
+            return f.read()
+    with files.open_input_file(own) as f:
+        return f.read_at(size, at)

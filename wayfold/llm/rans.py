@@ -2,12 +2,13 @@
 
 A file holds whole documents in ascending doc_id order. Its ids share one static frequency table (counted over the file,
 scaled to 2^SCALE_BITS, every id that occurs at least 1). They are coded in blocks of at most BLOCK ids, each by
-LANES interleaved states, so numpy codes all lanes of a block at once. The index holds a checkpoint for each block (where it
-starts in the file, the first id's number, ids, final states' place) and a CRC-32, so blocks are decoded
-independently, in parallel and from any place. Files are committed under temporary names and named by a manifest.
+LANES interleaved states, so numpy codes all lanes of a block at once. A block holds whole documents; only a document longer
+than a block takes several. Such a run of blocks is a unit: its checkpoint (place in the file, first document, first id) and
+the CRC-32 of each block are in the header, and the manifest lists the units, so tasks read and decode units, not files,
+in parallel and from any place. Files are committed under temporary names and named by the manifest.
 
-Layout, all little-endian: magic, header length, JSON header (table, documents, blocks), then the blocks. A block: states
-(LANES uint64), then 32-bit words in the order the decoder takes them.
+Layout, all little-endian: magic, header length, CRC-32 of the header, compressed JSON header (table, documents, units), then
+the blocks. A block: states (LANES uint64), then 32-bit words in the order the decoder takes them.
 
 Null texts are empty: the end id only. Rows without a doc_id come first. Repeated rows each get their ids.
 """
@@ -26,10 +27,11 @@ from pyspark.sql import functions as F
 from wayfold.llm.bpe import BYTE_BPE, encoder
 from wayfold.llm.common import chunks, commit, content, dealt_by_range, running_start, shared_path, written
 
-SCALE_BITS, LANES, BLOCK, FILE_IDS = 20, 1024, 1 << 18, 1 << 21
+SCALE_BITS, LANES, BLOCK, FILE_IDS, READ_IDS = 20, 1024, 1 << 18, 1 << 21, 1 << 23
 #: States stay in [LOW, LOW << 32) between ids.
 LOW = 1 << 31
-MAGIC = b"RANSIDS1"
+MAGIC = b"RANSIDS2"
+MANIFEST = pa.schema({"file": pa.string(), "bucket": pa.int32(), "number": pa.int32(), "ids": pa.int64(), "crc32": pa.int64(), "base": pa.int64(), "units": pa.list_(pa.struct({"unit": pa.int32(), "at": pa.int64(), "bytes": pa.int64()}))})
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -98,47 +100,65 @@ class Table:
         return self.symbols[out]
 
 
-def file_bytes(docs: list, ids: np.ndarray, sizes: list[int]) -> bytes:
-    """A file of documents (their keys as text or None) with so many ids each."""
+def runs(sizes: list[int], block: int) -> list[tuple[int, int, int]]:
+    """First document, documents and ids of each unit: whole documents of at most `block` ids together, or one longer document."""
+    out, first, n = [], 0, 0
+    for k, size in enumerate(sizes):
+        if k > first and n + size > block:
+            out.append((first, k - first, n))
+            first, n = k, 0
+        n += size
+    return [*out, (first, len(sizes) - first, n)] if sizes else out
+
+
+def file_bytes(docs: list, ids: np.ndarray, sizes: list[int], block: int = BLOCK) -> tuple[bytes, int, list[dict]]:
+    """A file of documents (their keys as text or None) with so many ids each, where its blocks start, and its units' places."""
     symbols, index, counts = np.unique(ids, return_inverse=True, return_counts=True)
     table = Table(symbols, scaled(counts))
-    blocks, parts, at = [], [], 0
-    for first in range(0, len(ids), BLOCK):
-        own = index[first : first + BLOCK]
-        data = table.encode(own)
-        blocks.append([at, len(data), first, len(own), zlib.crc32(data)])
-        parts.append(data)
-        at += len(data)
-    header = json.dumps({"symbols": np.diff(symbols, prepend=0).tolist(), "freq": table.freq.tolist(), "docs": docs, "sizes": sizes, "blocks": blocks}, separators=(",", ":")).encode()
+    units, parts, at, first_id = [], [], 0, 0
+    for first, n_docs, n in runs(sizes, block):
+        own, begin = [], at
+        for a in range(first_id, first_id + n, block):
+            data = table.encode(index[a : min(a + block, first_id + n)])
+            own.append([len(data), min(block, first_id + n - a), zlib.crc32(data)])
+            parts.append(data)
+            at += len(data)
+        units.append({"at": begin, "first": first, "docs": n_docs, "first_id": first_id, "blocks": own})
+        first_id += n
+    header = json.dumps({"symbols": np.diff(symbols, prepend=0).tolist(), "freq": table.freq.tolist(), "docs": docs, "sizes": sizes, "units": units}, separators=(",", ":")).encode()
     header = zlib.compress(header, 6)
-    return MAGIC + len(header).to_bytes(8, "little") + zlib.crc32(header).to_bytes(4, "little") + header + b"".join(parts)
+    start = MAGIC + len(header).to_bytes(8, "little") + zlib.crc32(header).to_bytes(4, "little") + header
+    places = [{"unit": k, "at": len(start) + u["at"], "bytes": sum(b[0] for b in u["blocks"])} for k, u in enumerate(units)]
+    return start + b"".join(parts), len(start), places
 
 
-def header_of(data: bytes) -> tuple[dict, Table, int]:
+def header_of(data: bytes) -> tuple[dict, Table]:
+    """The header and table of a file that starts with data."""
     size = int.from_bytes(data[8:16], "little")
     raw = data[20 : 20 + size]
     if data[:8] != MAGIC or zlib.crc32(raw) != int.from_bytes(data[16:20], "little"):
         raise ValueError("not a file of this format, or a damaged one")
     header = json.loads(zlib.decompress(raw))
-    return header, Table(np.cumsum(header["symbols"]), np.array(header["freq"])), 20 + size
-
-
-def block_ids(data: bytes, table: Table, base: int, block: list[int]) -> np.ndarray:
-    own = data[base + block[0] : base + block[0] + block[1]]
-    if zlib.crc32(own) != block[4]:
-        raise ValueError("a block does not have its checksum")
-    return table.decode(own, block[3])
+    return header, Table(np.cumsum(header["symbols"]), np.array(header["freq"]))
 
 
-def file_ids(data: bytes) -> tuple[dict, np.ndarray]:
-    header, table, base = header_of(data)
-    return header, np.concatenate([np.zeros(0, dtype=np.int64), *[block_ids(data, table, base, b) for b in header["blocks"]]])
+def unit_ids(data: bytes, table: Table, blocks: list[list[int]]) -> np.ndarray:
+    """The ids of a unit from its bytes alone; a block that is not what its checksum says raises."""
+    out, at = [], 0
+    for size, n, crc in blocks:
+        own = data[at : at + size]
+        if zlib.crc32(own) != crc:
+            raise ValueError("a block does not have its checksum")
+        out.append(table.decode(own, n))
+        at += size
+    return np.concatenate(out)
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str = BYTE_BPE, end: int = 2, file_ids_limit: int = FILE_IDS) -> str:
+def write(docs: DataFrame, folder: str, tokenizer: str = BYTE_BPE, end: int = 2, file_ids_limit: int = FILE_IDS, block: int = BLOCK) -> str:
     """Tokenizes docs in ascending doc_id order and writes files under folder; returns the manifest's path.
 
-    The manifest has for each file its range, number within the range, ids, and the ids of all files before it.
+    The manifest has for each file its range, number within the range, ids, checksum, where its blocks start, its units'
+    places, and the ids of all files before it.
     """
     dealt = dealt_by_range(docs.select("doc_id", "text"), "doc_id", [F.col("doc_id").asc_nulls_first(), "text"])
 
@@ -147,9 +167,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str = BYTE_BPE, end: int = 2,
         bucket, number, held, keys, sizes, n = None, 0, [], [], [], 0
 
         def rolled() -> pa.RecordBatch:
-            name, data = f"{folder}/part-{bucket:06d}-{number:05d}.rans", file_bytes(keys, np.concatenate(held), sizes)
+            name = f"{folder}/part-{bucket:06d}-{number:05d}.rans"
+            data, base, units = file_bytes(keys, np.concatenate(held), sizes, block)
             commit(name, data)
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([bucket], pa.int32()), pa.array([number], pa.int32()), pa.array([n], pa.int64()), pa.array([zlib.crc32(data)], pa.int64())], ["file", "bucket", "number", "ids", "crc32"])
+            row = {"file": name, "bucket": bucket, "number": number, "ids": n, "crc32": zlib.crc32(data), "base": base, "units": units}
+            return pa.RecordBatch.from_pylist([row], MANIFEST)
 
         for batch in batches:
             for part, texts in chunks(batch):
@@ -166,35 +188,43 @@ def write(docs: DataFrame, folder: str, tokenizer: str = BYTE_BPE, end: int = 2,
         if keys:
             yield rolled()
 
-    files = written(dealt.mapInArrow(run, "file string, bucket int, number int, ids long, crc32 long"), "rans-files")
-    starts = running_start(files.groupBy("bucket").agg(F.sum("ids").alias("ids")), "bucket", "ids").select("bucket", F.col("start").alias("base"))
+    files = written(dealt.mapInArrow(run, "file string, bucket int, number int, ids long, crc32 long, base long, units array<struct<unit: int, at: long, bytes: long>>"), "rans-files")
+    starts = running_start(files.groupBy("bucket").agg(F.sum("ids").alias("ids")), "bucket", "ids").select("bucket", F.col("start").alias("_before"))
     from pyspark.sql import Window as W
 
     inner = F.coalesce(F.sum("ids").over(W.partitionBy("bucket").orderBy("number").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     manifest = f"{folder}/manifest"
-    files.join(starts, "bucket").withColumn("start", (F.col("base") + inner).cast("long")).drop("base").write.parquet(manifest)
+    files.join(starts, "bucket").withColumn("start", (F.col("_before") + inner).cast("long")).drop("_before").write.parquet(manifest)
     return manifest
 
 
 def read(spark: SparkSession, manifest: str) -> DataFrame:
-    """doc_id (as text), start, n_tokens and ids_crc32 of each document in the files that a manifest names; files are decoded in parallel."""
+    """doc_id (as text), start, n_tokens and ids_crc32 of each document in the files that a manifest names.
+
+    Tasks take units, neighbours together, about READ_IDS ids each; of a file they read the header and their units' bytes only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = header = table = None
         for batch in batches:
-            for name, crc, start in zip(batch.column("file").to_pylist(), batch.column("crc32").to_pylist(), batch.column("start").to_pylist(), strict=True):
-                data = content(name)
-                if zlib.crc32(data) != crc:
-                    raise ValueError(f"{name} is not what the manifest says")
-                header, ids = file_ids(data)
-                sizes = np.array(header["sizes"], dtype=np.int64)
+            for row in batch.to_pylist():
+                if row["file"] != opened:
+                    opened, (header, table) = row["file"], header_of(content(row["file"], 0, row["base"]))
+                unit = header["units"][row["unit"]]
+                raw = unit_ids(content(row["file"], row["at"], row["bytes"]), table, unit["blocks"]).astype("<u4").tobytes()
+                own = slice(unit["first"], unit["first"] + unit["docs"])
+                sizes = np.array(header["sizes"][own], dtype=np.int64)
                 stops = np.cumsum(sizes)
-                raw = ids.astype("<u4").tobytes()
                 crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((stops - sizes).tolist(), stops.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([None if k is None else str(k) for k in header["docs"]], pa.string()), pa.array(start + stops - sizes), pa.array(sizes), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    files = spark.read.parquet(manifest).select("file", "crc32", "start")
-    files = files.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "file")
-    return files.mapInArrow(run, "doc_id string, start long, n_tokens long, ids_crc32 long")
+                keys = pa.array([None if k is None else str(k) for k in header["docs"][own]], pa.string())
+                yield pa.RecordBatch.from_arrays([keys, pa.array(row["start"] + unit["first_id"] + stops - sizes), pa.array(sizes), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    files = spark.read.parquet(manifest)
+    ids = files.agg(F.sum("ids")).first()[0] or 0
+    units = files.select("file", "base", "start", F.explode("units").alias("u")).select("file", "base", "start", "u.*")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-ids // READ_IDS))
+    units = units.repartitionByRange(max(1, tasks), "file", "unit").sortWithinPartitions("file", "unit")
+    return units.mapInArrow(run, "doc_id string, start long, n_tokens long, ids_crc32 long")
 
 
 def stored(docs: DataFrame, tokenizer: str = BYTE_BPE, end: int = 2) -> DataFrame:
