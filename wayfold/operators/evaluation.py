@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wayfold.sources.files import numbered_pages, running_total
+
 
 def histogram(rows: DataFrame, value: Column, edges: list[float]) -> DataFrame:
     """Rows per bucket: below the first edge, between edges (low included), from the last on, and null."""
@@ -29,14 +31,10 @@ def errors(rows: DataFrame, guess: Column, truth: Column, by: list[Column] | Non
 
 
 def quantiles(rows: DataFrame, value: str, at: list[float]) -> DataFrame:
-    """Exact quantiles: the value of place floor((n-1)q), from 0. Values are counted first, so only distinct ones are put in order.
-
-    For columns of few distinct values, such as rounded scores and lengths.
-    """
+    """Exact quantiles: the value of place floor((n-1)q), from 0. Values are counted first, then the counts summed over ranges of values."""
     counts = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    w = W.orderBy(value)
-    counts = counts.withColumns({"upto": F.sum("c").over(w.rowsBetween(W.unboundedPreceding, 0)), "all": F.sum("c").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
-    each = counts.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in at])))
+    total = counts.agg(F.sum("c").alias("all"))
+    each = running_total(counts, value, F.col("c"), "upto").join(F.broadcast(total)).withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in at])))  # one row
     place = F.floor((F.col("all") - 1) * F.col("q"))
     return each.filter((place < F.col("upto")) & (place >= F.col("upto") - F.col("c"))).select("q", F.col(value).alias("value"))
 
@@ -48,7 +46,5 @@ def stratified(rows: DataFrame, stratum: Column, key: str, n: int) -> DataFrame:
 
 def chunked(rows: DataFrame, key: str, chunks: int) -> DataFrame:
     """Contiguous slices of ascending keys, of ceil(n / chunks) rows each."""
-    from wayfold.sources.files import numbered_pages
-
     size = max(1, -(-rows.count() // chunks))
     return numbered_pages(rows, key, size).withColumnRenamed("page", "chunk")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions.columns import reliability_rank
 from wayfold.operators.places import with_scores
+from wayfold.sources.files import running_total
 
 
 def top_per_group(rows: DataFrame, keys: list[str], order: list, n: int, name: str = "rn") -> DataFrame:
@@ -87,21 +88,14 @@ def home(lots: DataFrame, stats: DataFrame, reviews: DataFrame, n: int) -> DataF
 
 
 def quartiles(stats: DataFrame) -> DataFrame:
-    """The quarter of each place by score. Ranks are exact: rows are counted per score first, so no task sorts them all.
-
-    Scores have two decimals, so there are at most a few hundred of them; ties are split by id within a score.
-    """
-    score = F.coalesce("final_score", F.lit(0.0))
-    rows = stats.withColumn("_s", score)
-    counts = rows.groupBy("_s").agg(F.count("*").alias("_n"))
-    w = W.orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).withColumn("_all", F.sum("_n").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    rows = rows.join(F.broadcast(counts), "_s")
-    at = F.row_number().over(W.partitionBy("_s").orderBy("parking_lot_id")) + F.col("_before") - 1
-    small, more = F.floor(F.col("_all") / 4), F.col("_all") % 4
+    """The quarter of each place by score, ties by id. Ranks are exact and counted over ranges of (score, id), however many places share a score."""
+    rows = stats.withColumn("_key", F.struct(F.coalesce("final_score", F.lit(0.0)).alias("score"), F.col("parking_lot_id").alias("id")))
+    total = rows.agg(F.count("*").alias("_all"))
+    rows = running_total(rows, "_key", F.lit(1), "_upto").join(F.broadcast(total))  # one row
+    at, small, more = F.col("_upto") - 1, F.floor(F.col("_all") / 4), F.col("_all") % 4
     edge = more * (small + 1)
-    tile = F.when(F.col("_at") < edge, F.floor(F.col("_at") / (small + 1))).otherwise(more + F.floor((F.col("_at") - edge) / F.greatest(small, F.lit(1))))
-    return rows.withColumn("_at", at).withColumn("quartile", (tile + 1).cast("int")).drop("_s", "_n", "_before", "_all", "_at")
+    tile = F.when(at < edge, F.floor(at / (small + 1))).otherwise(more + F.floor((at - edge) / F.greatest(small, F.lit(1))))
+    return rows.withColumn("quartile", (tile + 1).cast("int")).drop("_key", "_upto", "_all")
 
 
 def priority(lots: DataFrame, stats: DataFrame, web: DataFrame, n: int) -> DataFrame:

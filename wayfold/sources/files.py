@@ -74,22 +74,28 @@ def write_shards(df: DataFrame, path: str, key: str, shards: int, per_file: int
     df.withColumn("shard", shard).repartition(shards, "shard").write.option("maxRecordsPerFile", per_file).partitionBy("shard").json(path)
 
 
-def numbered_pages(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """rows with their page, `size` rows each in ascending order of the unique key.
+def running_total(rows: DataFrame, key: str, weight: Column, name: str) -> DataFrame:
+    """rows with the sum of weight over all rows up to each in ascending order of key, which may be a struct.
 
-    Numbers are counted in two steps: within ranges of the key, and over ranges, so no task sees all rows.
+    Summed in two steps: within ranges of the key, and over ranges, so no task sees all rows. Rows of equal keys follow each
+    other in any order and stay in one range.
     """
     spark = rows.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartitionByRange(n, key).withColumn("_part", F.spark_partition_id())
-    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"), F.min(key).alias("_low"))
+    dealt = rows.withColumn("_weight", weight).repartitionByRange(n, key)
+    counts = dealt.groupBy(F.spark_partition_id().alias("_part")).agg(F.sum("_weight").alias("_n"), F.min(key).alias("_low"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_low").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("_low", before.alias("_before"))
-    low = F.transform(F.array_sort(F.collect_list(F.struct("_low", "_before"))), lambda x: x)
-    edges = starts.agg(low.alias("_edges"))  # one row of as many entries as there are ranges
+    edges = starts.agg(F.array_sort(F.collect_list(F.struct("_low", "_before"))).alias("_edges"))  # one row of as many entries as there are ranges
     found = dealt.join(F.broadcast(edges)).withColumn("_edge", F.element_at(F.filter("_edges", lambda e: e["_low"] <= F.col(key)), -1)).drop("_edges")
-    nth = F.row_number().over(W.partitionBy("_edge._low").orderBy(key)) + F.col("_edge._before") - 1
-    return found.withColumn("page", F.floor(nth / size).cast("long")).drop("_part", "_edge")
+    upto = F.sum("_weight").over(W.partitionBy("_edge._low").orderBy(key).rowsBetween(W.unboundedPreceding, 0)) + F.col("_edge._before")
+    return found.withColumn(name, upto).drop("_weight", "_edge")
+
+
+def numbered_pages(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """rows with their page, `size` rows each in ascending order of the unique key."""
+    numbered = running_total(rows, key, F.lit(1), "_upto")
+    return numbered.withColumn("page", F.floor((F.col("_upto") - 1) / size).cast("long")).drop("_upto")
 
 
 def sitemap(pages: DataFrame, base: str, key: str = "id", modified: str = "modified") -> DataFrame:
