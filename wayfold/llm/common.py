@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Characters of text that a Python task works on at a time.
 CHUNK_CHARS = 1_000_000
+#: Bits of a filter that goes to all tasks (8 MB).
+SLOTS = 1 << 26
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -141,6 +143,21 @@ def unfolded(df: DataFrame, names: list[str], keep: list[str]) -> DataFrame:
     return df.select(*[F.col(c) if c in keep else F.col(f"_rest.`{c}`") for c in names])
 
 
+def slots_of(df: DataFrame, column: str) -> np.ndarray:
+    """SLOTS bits: those of the values of a long column are set (each by its value modulo SLOTS). The driver gets at most SLOTS / 8 bytes, whatever df holds."""
+    slot = F.col(column).bitwiseAND(F.lit(SLOTS - 1))
+    words = df.select(F.shiftright(slot, 6).alias("i"), F.expr(f"shiftleft(1L, cast({column} & 63 AS int))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(SLOTS >> 6, dtype=np.int64)
+    bits[words.column("i").to_numpy()] = words.column("b").to_numpy()
+    return bits
+
+
+def slotted(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether a value's slot is set: true for all values that slots_of() saw, and for few others as long as these are few."""
+    slot = values & (SLOTS - 1)
+    return (bits[slot >> 6] >> (slot & 63)) & 1 == 1
+
+
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(f, schema)
 

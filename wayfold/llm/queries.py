@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import bpe, html_extract, lzprint, packing, pii, quality, rans, simhash, toxicity, warc
+from wayfold.llm import bpe, collocations, html_extract, lzprint, ngram_join, packing, pii, quality, rans, simhash, sort_means, toxicity, warc
 from wayfold.llm.common import load
 
 
@@ -48,8 +48,20 @@ def op10_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.stored(load(spark, sf_dir, "documents"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(load(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_phrases(load(spark, sf_dir, "documents"))
+
+
+def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_means.clustered(load(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_pii, op3_toxicity, op4_html, op5_bpe, op6_simhash, op7_quality, op8_lzprint, op9_warc, op10_rans)}
+    return {f.__name__: f for f in (op1_packing, op2_pii, op3_toxicity, op4_html, op5_bpe, op6_simhash, op7_quality, op8_lzprint, op9_warc, op10_rans, op11_ngram_join, op12_collocations, op13_sort_means)}
 
 
 #: Operator 7 by lists and joins of the lines themselves instead of their hashes.
@@ -88,6 +100,56 @@ FROM x
 """
 
 
+LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+#: Operator 11 by joining the shingles themselves, and reachability by recursion.
+NGRAM_SQL = f"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {LOWER}), '[ \\t-\\r]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(words) >= 4 THEN list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS own FROM w),
+x AS (SELECT r, len(own) AS n, unnest(own) AS h FROM s),
+pairs AS (SELECT a.r AS a, b.r AS b FROM x AS a JOIN x AS b ON a.h = b.h AND a.r < b.r GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT r AS a, r AS b FROM s UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a AS r, min(doc_id) AS component_id FROM reach JOIN s ON s.r = reach.b GROUP BY a)
+SELECT doc_id, len(own)::BIGINT AS n_shingles, component_id FROM s JOIN least USING (r)
+"""
+
+#: Operator 12 by counting all phrases.
+PHRASE_SQL = f"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, {LOWER}), '[.,;:!?\\n-\\r]')) AS piece FROM documents WHERE text IS NOT NULL),
+p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM t),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM p, (SELECT unnest([1, 2, 3, 4]) AS m)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY lang, m, phrase),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 30),
+k AS (SELECT lang, phrase, a, w, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT k.lang, k.phrase, a, x.f AS l, y.f AS r, k, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score FROM k JOIN f AS x ON x.lang = k.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN f AS y ON y.lang = k.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+b AS (SELECT lang, phrase, a, l, r, score FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+gone AS (SELECT DISTINCT b.lang, b.phrase FROM b JOIN c ON c.lang = b.lang AND c.phrase <> b.phrase AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * c.a >= 80 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b ANTI JOIN gone USING (lang, phrase) JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+#: Operator 13: every distance, round by round.
+MEANS_SQL = (
+    """
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(embedding) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM v WHERE vec_id IS NOT NULL ORDER BY sha256('1:' || vec_id), v LIMIT 16),
+"""
+    + "".join(
+        f"""a{i} AS MATERIALIZED (SELECT r, min([list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, c.c]) AS best FROM v, c{i} AS c GROUP BY r),
+s{i} AS (SELECT best[2] AS c, d, sum(v[d])::HUGEINT AS s, count(*) AS n FROM a{i} JOIN v USING (r), (SELECT unnest(range(1, 65)) AS d) GROUP BY ALL),
+m{i} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY d) AS v FROM s{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m.v, o.v) AS v FROM c{i} AS o LEFT JOIN m{i} AS m USING (c)),
+"""
+        for i in range(3)
+    )
+    + """a3 AS MATERIALIZED (SELECT r, min([list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, c.c]) AS best FROM v, c3 AS c GROUP BY r),
+e AS (SELECT vec_id, best[2]::INTEGER AS cluster, best[1] AS distance FROM a3 JOIN v USING (r))
+SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256 FROM e JOIN c3 ON c3.c = e.cluster
+"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it expresses whole; tests hold the others against brute force, round trips or labels."""
-    return {"op7_quality": QUALITY_SQL, "op9_warc": WARC_SQL}
+    return {"op7_quality": QUALITY_SQL, "op9_warc": WARC_SQL, "op11_ngram_join": NGRAM_SQL, "op12_collocations": PHRASE_SQL, "op13_sort_means": MEANS_SQL}
