@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from wayfold.functions import vocab
 from wayfold.functions.columns import array_of, name_keywords, trimmed, words_of
 from wayfold.operators.relevance import match_confidence
+from wayfold.sources.shared import stored
 
 MOST = 5  # candidates a text
 
@@ -89,35 +90,79 @@ def _rarest(words: DataFrame, word: str, counts: DataFrame) -> DataFrame:
     return each.join(counts, "_two", "left").groupBy(word).agg(F.min_by("_two", F.struct(n, "_two")).alias("_two"))
 
 
-def candidate_places(texts: DataFrame, key: str, words: str, lots: DataFrame, most: int = MOST) -> DataFrame:
-    """Per text the places of the highest scores above zero: key, lot, score and place (from 1; ties by lot).
+def word_places(words: DataFrame, word: str, lots: DataFrame, forms: Column) -> DataFrame:
+    """Each distinct word with the places one of whose forms (an array of lower-case texts) holds it: word and lot.
 
-    lots: id, name, address. Names and words of fewer than two characters, nulls and empty arrays find nothing. A pair is
-    made only where a word lies in a name or address, or a name's core word in the text's words.
+    A word lies within a form only if all its pairs of characters do, so words meet places on their rarest pair. What comes out
+    grows with the distinct words, not with the texts that use them.
     """
-    asked = texts.filter(F.col(key).isNotNull()).select(key, _usable(F.col(words)).alias("_words")).filter(F.size("_words") > 0)
-    asked = asked.withColumn("_joined", F.array_join("_words", ""))
-    low, where = F.lower("name"), F.lower(_text(F.col("address")))
-    own = lots.filter(F.length(_tight(F.col("name"))) >= 2).select(F.col("id").alias("lot"), low.alias("_low"), _tight(low).alias("_tight"), where.alias("_where"), core_words(F.col("name")).alias("_core"))
-    forms = F.concat(F.array("_low", "_tight", "_where"), "_core")
-    twos = own.withColumn("_two", F.explode(F.array_distinct(F.flatten(F.transform(forms, _pairs_of)))))
+    own = lots.select(F.col("id").alias("lot"), forms.alias("_forms"))
+    twos = stored(own.withColumn("_two", F.explode(F.array_distinct(F.flatten(F.transform("_forms", _pairs_of))))), "pairs-of-characters")
+    words = stored(words.select(word).distinct(), "words")
     counts = twos.groupBy("_two").agg(F.count("*").alias("_n"))
+    met = _rarest(words, word, counts).join(twos, "_two")
+    return stored(met.filter(F.exists("_forms", lambda f: F.contains(f, F.col(word)))).select(word, "lot").distinct(), "word-places")
+
+
+def by_address(asked: DataFrame, lots: DataFrame, most: int) -> DataFrame:
+    """For each distinct list of words (_id, _words) the `most` places whose addresses hold most of them: _id, lot and points.
+
+    Of a list's words all but the most frequent are joined to their places; of that one, its first `most` places by lot will do:
+    a place that holds it alone has as many points as each of these, and comes after them. So a district that very many
+    places lie in is not spread over the lists that name it.
+    """
+    said = asked.select("_id", F.explode("_words").alias("_word")).groupBy("_id", "_word").agg(F.count("*").alias("_weight"))
+    held = word_places(said, "_word", lots, F.array(F.lower(_text(F.col("address")))))
+    first = W.partitionBy("_word").orderBy("lot")
+    sizes = held.groupBy("_word").agg(F.count("*").alias("_n"))
+    words = said.join(sizes, "_word")
+    top = W.partitionBy("_id").orderBy(F.desc("_n"), "_word")
+    words = words.withColumn("_frequent", F.row_number().over(top) == 1)
+    few = held.withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") <= most).select("_word", "lot")
+    pairs = words.filter("NOT _frequent").join(held, "_word").select("_id", "lot").unionByName(words.filter("_frequent").join(few, "_word").select("_id", "lot")).distinct()
+    where = lots.select(F.col("id").alias("lot"), F.lower(_text(F.col("address"))).alias("_where"))
+    points = F.aggregate("_words", F.lit(0), lambda a, k: a + F.when(F.contains("_where", k), 1).otherwise(0))
+    rows = pairs.join(asked, "_id").join(where, "lot").select("_id", "lot", points.alias("points"))
+    return rows.withColumn("_nth", F.row_number().over(W.partitionBy("_id").orderBy(F.desc("points"), "lot"))).filter(F.col("_nth") <= most).drop("_nth")
 
-    said = asked.select(key, F.explode(F.array_distinct("_words")).alias("_word"))
-    k = F.col("_word")
-    held = F.contains("_low", k) | F.contains("_tight", k) | F.contains("_where", k) | F.exists("_core", lambda t: F.contains(t, k))
-    of_word = _rarest(said, "_word", counts).join(twos, "_two").filter(held).select("_word", "lot")
-    by_word = said.join(of_word, "_word").select(key, "lot")
 
+def candidate_places(texts: DataFrame, key: str, words: str, lots: DataFrame, most: int = MOST) -> DataFrame:
+    """Per text the places of the highest scores above zero: key, lot, score and place (from 1; ties by lot).
+
+    lots: id, name, address. Names and words of fewer than two characters, nulls and empty arrays find nothing. A score depends
+    on the words alone, so equal lists of words are looked up once. Pairs are made where a word lies in a name, a name's core
+    word in the words, or a word in a core word. A place that shares no more than words of its address gets a point for each:
+    such places are looked up only for lists with fewer than `most` places that have more points than the list has words (none
+    other could be among the first), and `most` of them at most for each list.
+    """
+    rows = texts.filter(F.col(key).isNotNull()).select(key, _usable(F.col(words)).alias("_words")).filter(F.size("_words") > 0)
+    rows = rows.withColumn("_id", F.sha2(F.array_join("_words", "\n"), 256))
+    rows = stored(rows, "word-lists")
+    asked = stored(rows.select("_id", "_words").dropDuplicates(["_id"]).withColumn("_joined", F.array_join("_words", "")), "asked")
+    low = F.lower("name")
+    named = lots.filter(F.length(_tight(F.col("name"))) >= 2)
+    own = named.select(F.col("id").alias("lot"), _tight(low).alias("_tight"), core_words(F.col("name")).alias("_core"))
+    forms = F.concat(F.array(low, _tight(low)), core_words(F.col("name")))
+
+    said = asked.select("_id", F.explode(F.array_distinct("_words")).alias("_word"))
+    by_word = said.join(word_places(said, "_word", named, forms), "_word").select("_id", "lot")
+
+    twos = named.select(F.explode(F.array_distinct(F.flatten(F.transform(forms, _pairs_of)))).alias("_two"))
     part = own.select("lot", F.explode(F.array_distinct(F.concat("_core", F.array("_tight")))).alias("_part"))
-    met = asked.select(key, "_joined", F.explode(_pairs_of(F.col("_joined"))).alias("_two"))
-    of_part = met.join(_rarest(part, "_part", counts), "_two").filter(F.contains("_joined", F.col("_part"))).select(key, "_part")
-    by_part = of_part.join(part, "_part").select(key, "lot")
+    met = asked.select("_id", "_joined", F.explode(_pairs_of(F.col("_joined"))).alias("_two"))
+    of_part = met.join(_rarest(part, "_part", twos.groupBy("_two").agg(F.count("*").alias("_n"))), "_two").filter(F.contains("_joined", F.col("_part"))).select("_id", "_part")
+    by_part = of_part.join(part, "_part").select("_id", "lot")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(asked.select("_id", "_words"), "_id").join(named.select(F.col("id").alias("lot"), "name", "address"), "lot")
+        points = met.select("_id", "lot", F.size("_words").alias("_most"), candidate_score(F.col("_words"), F.col("name"), F.col("address")).alias("score")).filter("score > 0")
+        return points.withColumn("place", F.row_number().over(W.partitionBy("_id").orderBy(F.desc("score"), "lot"))).filter(F.col("place") <= most)
 
-    pairs = by_word.unionByName(by_part).distinct()
-    rows = pairs.join(asked.select(key, "_words"), key).join(lots.select(F.col("id").alias("lot"), "name", "address"), "lot")
-    scored = rows.select(key, "lot", candidate_score(F.col("_words"), F.col("name"), F.col("address")).alias("score")).filter("score > 0")
-    return scored.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "lot"))).filter(F.col("place") <= most)
+    best = stored(scored(by_word.unionByName(by_part).distinct()), "by-name")
+    full = best.filter((F.col("place") == most) & (F.col("score") > F.col("_most"))).select("_id")
+    more = by_address(stored(asked.join(full, "_id", "left_anti").select("_id", "_words"), "open-lists"), named, most)
+    found = scored(best.select("_id", "lot").unionByName(more.select("_id", "lot")).distinct())
+    return rows.select(key, "_id").join(found, "_id").select(key, "lot", "score", "place")
 
 
 def compatible(words: Column, name: Column) -> Column:
@@ -162,7 +207,7 @@ def best_places(texts: DataFrame, key: str, title: str, content: str, full_text:
     """
     rows = texts.select(key, _text(F.col(title)).alias("_title"), _text(F.col(content)).alias("_content"), _text(F.col(full_text)).alias("_text"))
     rows = rows.withColumn("_words", place_keywords(F.col("_title"), F.col("_content")))
-    pairs = candidate_places(rows, key, "_words", lots, most).select(key, "lot", "place")
+    pairs = stored(candidate_places(rows, key, "_words", lots, most).select(key, "lot", "place"), "candidates")
     named = lots.select(F.col("id").alias("lot"), F.col("name").alias("_name"), F.col("address").alias("_address"))
     n = F.col("_name")
     fit = compatible(F.col("_words"), n) & ((F.length("_text") <= 200) | name_in_text(n, F.col("_text"), F.col("_title"))) & core_in_text(n, F.col("_title"), F.col("_text"))

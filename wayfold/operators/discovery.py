@@ -88,13 +88,9 @@ def hints(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(HINT), 1))
 
 
-def resolved_places(results: DataFrame, lots: DataFrame, names: DataFrame, metres: float = SAME_PLACE_M) -> DataFrame:
-    """What search results say of each candidate: resolved_new, ambiguous_new, all_existing or negative, with the best result.
-
-    results: candidate, id (unique), name, category, address, lat, lng; names: candidate, its name (normal) and hints.
-    Results count if they are parking places in the country; those within `metres` of a place of the catalogue exist already.
-    Of several new ones the best has the most hints in its address (ties: the least id) and is sure if alone at the top.
-    """
+def with_evidence(results: DataFrame, lots: DataFrame, names: DataFrame, metres: float = SAME_PLACE_M) -> DataFrame:
+    """resolved_places() with the place of the catalogue that the best result lies at, where all exist (lot), and whether
+    that result is about the candidate (relevant): its address has one of the hints, or its name a word of the candidate's."""
     cores = F.filter(words_of(F.regexp_replace("normal", vocab.PARKING_KIND, " ")), lambda w: F.length(w) >= 2)
     names = names.select("candidate", F.col("name").alias("normal"), "hints").withColumn("cores", cores)
     parking = results.filter((F.contains("category", F.lit("주차")) | F.contains("name", F.lit("주차"))) & in_korea(F.col("lat"), F.col("lng")))
@@ -105,7 +101,7 @@ def resolved_places(results: DataFrame, lots: DataFrame, names: DataFrame, metre
     rows = rows.withColumn("relevant", (F.col("region_score") > 0) | F.exists("cores", lambda t: F.contains(F.col("name"), t)))
     # first by candidate and score, then by candidate
     by_score = rows.groupBy("candidate", "new", "region_score").agg(
-        F.count("*").alias("n"), F.min_by(F.struct("id", "relevant"), "id").alias("first"), F.min(F.struct(F.coalesce("metres", F.lit(1e9)).alias("m"), "id")).alias("closest")
+        F.count("*").alias("n"), F.min_by(F.struct("id", "relevant"), "id").alias("first"), F.min(F.struct(F.coalesce("metres", F.lit(1e9)).alias("m"), "id", "lot", "relevant")).alias("closest")
     )
     new_only = lambda c: F.when(F.col("new"), c)
     out = by_score.groupBy("candidate").agg(
@@ -115,9 +111,21 @@ def resolved_places(results: DataFrame, lots: DataFrame, names: DataFrame, metre
     out = names.select("candidate").join(out, "candidate", "left")
     sure = F.when(F.col("new_count") == 1, F.col("top.first.relevant")).otherwise((F.col("top.region_score") > 0) & (F.col("top.ties") == 1))
     label = F.when(F.col("parking_count").isNull(), "negative").when(F.col("new_count") == 0, "all_existing").when(sure, "resolved_new").otherwise("ambiguous_new")
-    best = F.when(F.col("new_count") == 0, F.col("closest.id")).otherwise(F.col("top.first.id"))
+    existing = F.col("new_count") == 0
+    best = F.when(existing, F.col("closest.id")).otherwise(F.col("top.first.id"))
+    relevant = F.when(existing, F.col("closest.relevant")).otherwise(F.col("top.first.relevant"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return out.select("candidate", label.alias("label"), zero("parking_count"), zero("new_count"), best.alias("best"))
+    return out.select("candidate", label.alias("label"), zero("parking_count"), zero("new_count"), best.alias("best"), F.when(existing, F.col("closest.lot")).alias("lot"), F.coalesce(relevant, F.lit(False)).alias("relevant"))
+
+
+def resolved_places(results: DataFrame, lots: DataFrame, names: DataFrame, metres: float = SAME_PLACE_M) -> DataFrame:
+    """What search results say of each candidate: resolved_new, ambiguous_new, all_existing or negative, with the best result.
+
+    results: candidate, id (unique), name, category, address, lat, lng; names: candidate, its name (normal) and hints.
+    Results count if they are parking places in the country; those within `metres` of a place of the catalogue exist already.
+    Of several new ones the best has the most hints in its address (ties: the least id) and is sure if alone at the top.
+    """
+    return with_evidence(results, lots, names, metres).select("candidate", "label", "parking_count", "new_count", "best")
 
 
 def capped_text(rows: DataFrame, key: str, text: str, order: str, most: int = 4000) -> DataFrame:

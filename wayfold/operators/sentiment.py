@@ -15,6 +15,7 @@ SEPARATORS = re.compile(r"[\s,.!?;:…·~]+")
 LINKS = (re.compile(r"!?\[[^\]\n]*\]\([^)\n]*\)"), re.compile(r"https?://\S+"))
 #: Characters around a token in which the topic must stand; damping by number of matches and by notice-like signs.
 NEAR, DAMPING, NOTICE = 50, {1: 0.4, 2: 0.55, 3: 0.75, 4: 0.9}, (1.0, 0.55, 0.25)
+SLICE = 256  # texts
 RELEVANCE = (0.0, 0.3, 0.7, 1.0)
 EMOTICON_WEIGHT, UNKNOWN_WEIGHT, STRESS = 0.3, 0.5, 1.5
 NOTICES = (re.compile(r"\|\s*---\s*\|"), re.compile(r"자주\s*묻는|Q1\.|Q2\.", re.I), re.compile(r"운영시간|운영\s*요일|주차구획수|관리기관|월정기권"))
@@ -36,8 +37,26 @@ def negates(token: str, v: Feelings) -> bool:
     return len(token) <= 4 and token.startswith(("않", "없")) or len(token) <= 6 and token.startswith("아니") or any(n in token for n in v.negations)
 
 
-def analyze(raw: str, v: Feelings, weights: dict[str, float]) -> tuple[float, float, float, int]:
-    """Relevance, raw sentiment (-1 to 1), score (1 to 5) and number of matches."""
+class Tokens(dict):
+    """What a token says, worked out once: its positive and negative word, whether it negates, whether it stresses the next. Texts share most of their tokens."""
+
+    MOST = 1 << 18
+
+    def __init__(self, v: Feelings):
+        super().__init__()
+        self.v = v
+
+    def __missing__(self, t: str) -> tuple[str | None, str | None, bool, bool]:
+        v = self.v
+        if len(self) >= self.MOST:
+            self.clear()
+        found = self[t] = (next((w for w in v.positive if holds(t, w, v)), None), next((w for w in v.negative if holds(t, w, v)), None), negates(t, v), any(w in t for w in v.intensifiers))
+        return found
+
+
+def analyze(raw: str, v: Feelings, weights: dict[str, float], known: Tokens | None = None) -> tuple[float, float, float, int]:
+    """Relevance, raw sentiment (-1 to 1), score (1 to 5) and number of matches. known: what is known of tokens so far."""
+    known = Tokens(v) if known is None else known
     text = LINKS[1].sub(" ", LINKS[0].sub(" ", raw))
     low = text.lower()
     seen = sum(w.lower() in low for w in v.experience)
@@ -50,13 +69,14 @@ def analyze(raw: str, v: Feelings, weights: dict[str, float]) -> tuple[float, fl
         if end > at:
             tokens.append((text[at:end], at))
         at = m.end() if m else at
-    kinds = [(next((w for w in v.positive if holds(t, w, v)), None), next((w for w in v.negative if holds(t, w, v)), None)) for t, _ in tokens]
+    said = [known[t] for t, _ in tokens]
+    kinds = [k[:2] for k in said]
     turned: set[int] = set()
-    for i, (t, _) in enumerate(tokens):
-        if negates(t, v):
+    for i, k in enumerate(said):
+        if k[2]:
             back = [j for j in range(max(0, i - 2), i) if kinds[j] != (None, None)]
             turned.update(back or range(i + 1, min(i + 3, len(tokens))))
-    stressed = {i + 1 for i, (t, _) in enumerate(tokens) if any(w in t for w in v.intensifiers)}
+    stressed = {i + 1 for i, k in enumerate(said) if k[3]}
     total = weight = 0.0
     n = 0
     for i, (_, at) in enumerate(tokens):
@@ -81,12 +101,16 @@ def analyze(raw: str, v: Feelings, weights: dict[str, float]) -> tuple[float, fl
 def sentiment(text: Column, vocabulary: Feelings | None = None, weights: dict[str, float] | None = None) -> Column:
     """struct(relevance, raw, score, matches); null texts count as empty."""
     v, idf = vocabulary or Feelings(), dict(weights or {})
+    known = Tokens(v)
     kind = pa.struct([("relevance", pa.float64()), ("raw", pa.float64()), ("score", pa.float64()), ("matches", pa.int32())])
 
     @F.arrow_udf("relevance double, raw double, score double, matches int")
     def of(texts: pa.Array) -> pa.Array:
-        rows = [analyze(t or "", v, idf) for t in texts.to_pylist()]
-        return pa.array([dict(zip(("relevance", "raw", "score", "matches"), r, strict=True)) for r in rows], kind)
+        parts = [pa.array([], kind)]
+        for at in range(0, len(texts), SLICE):  # only the texts of a slice are Python strings at a time
+            columns = zip(*[analyze(t or "", v, idf, known) for t in texts.slice(at, SLICE).to_pylist()], strict=True)
+            parts.append(pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind)))
+        return pa.concat_arrays(parts)
 
     return of(text)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions.columns import haversine_m
+from wayfold.sources.shared import stored
 
 
 def _cell(name: str, size: float):
@@ -64,3 +65,96 @@ def grid_clusters(points: DataFrame, zooms: list[int], per_tile: float = 2.56) -
     s = F.col("avg_score")
     out = rows.withColumns({"x": x, "y": y}).groupBy("zoom", "x", "y").agg(F.count("*").alias("points"), F.round(F.sum(F.coalesce(s, F.lit(0.0))), 2).alias("sum_score"), F.count(s).alias("count_score"), F.count_if(s >= 4).alias("easy"), F.count_if(s < 2).alias("hard"), F.avg("lat").alias("lat"), F.avg("lng").alias("lng"))
     return out.withColumn("score", F.when(F.col("count_score") > 0, F.col("sum_score") / F.col("count_score")))
+
+
+def _cells(df: DataFrame, r: float) -> DataFrame:
+    return df.withColumn("_cx", F.floor(F.col("x") / r).cast("long")).withColumn("_cy", F.floor(F.col("y") / r).cast("long"))
+
+
+def _cells_around(df: DataFrame, r: float) -> DataFrame:
+    near = lambda c: F.explode(F.sequence(c - 1, c + 1))
+    cells = _cells(df, r)
+    return cells.withColumn("_cx", near(F.col("_cx"))).withColumn("_cy", near(F.col("_cy")))
+
+
+def greedy_centres(points: DataFrame, r: float) -> DataFrame:
+    """points (id, turn, x, y) with the centre (its turn and id) that a greedy pass in order of turn would put each in.
+
+    The pass: a point that no earlier centre reaches (within r) becomes a centre; a point belongs to the earliest centre that reaches
+    it. Here rounds find many centres at once: a point whose turn is the least of all undecided ones in the nine cells of size
+    r around it has none before it that could matter. Points near the new centres are decided. Turns are unique and should look
+    random, so that few rounds do. Points meet centres only, never all points of a cell.
+    """
+    left, found = stored(points.select("id", "turn", "x", "y"), "undecided"), None
+    while True:
+        least = _cells_around(left, r).groupBy("_cx", "_cy").agg(F.min("turn").alias("_least"))
+        new = stored(_cells(left, r).join(least, ["_cx", "_cy"]).filter("turn = _least").select("id", "turn", "x", "y"), "centres")
+        found = new if found is None else found.unionByName(new)
+        left = stored(left.join(_reached(left, new, r).select("id").distinct(), "id", "left_anti"), "undecided")
+        if left.isEmpty():
+            break
+    first = _reached(points, found, r).groupBy("id").agg(F.min(F.struct(F.col("_turn").alias("turn"), F.col("_centre").alias("centre"))).alias("c"))
+    return points.join(first.select("id", F.col("c.centre").alias("centre")), "id")
+
+
+def _reached(points: DataFrame, centres: DataFrame, r: float) -> DataFrame:
+    own = _cells_around(centres, r).select("_cx", "_cy", F.col("id").alias("_centre"), F.col("turn").alias("_turn"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    dx, dy = F.col("x") - F.col("_x"), F.col("y") - F.col("_y")
+    return _cells(points, r).join(own, ["_cx", "_cy"]).filter(dx * dx + dy * dy <= r * r)
+
+
+def cluster_tree(points: DataFrame, zooms: list[int], pixels: float = 200.0, tile: float = 512.0) -> DataFrame:
+    """Clusters by radius at each zoom from the largest down: zoom, id, parent (the cluster at the next smaller zoom), points, x, y, lat, lng, sum_score, count_score, easy, hard.
+
+    At the largest zoom places within `pixels` of each other on the web map are clustered greedily (greedy_centres), at each
+    smaller zoom the clusters of the zoom before, at their members' mean places. A cluster has the id of its first member in
+    order of a hash of ids, so the result does not depend on the order of rows. Places without coordinates are left out; ids
+    are unique.
+    """
+    rad, s = F.radians("lat"), F.col("avg_score")
+    y = (1 - F.ln(F.tan(rad) + 1 / F.cos(rad)) / math.pi) / 2
+    rows = points.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select(
+        "id", F.xxhash64("id").alias("turn"), ((F.col("lng") + 180) / 360).alias("x"), y.alias("y"), F.lit(1).cast("long").alias("points"), F.coalesce(s, F.lit(0.0)).alias("sum_score"),
+        F.when(s.isNotNull(), 1).otherwise(0).cast("long").alias("count_score"), F.when(s >= 4, 1).otherwise(0).cast("long").alias("easy"), F.when(s < 2, 1).otherwise(0).cast("long").alias("hard"),
+    )
+    out, below = None, None
+    for zoom in sorted(zooms, reverse=True):
+        placed = greedy_centres(rows, pixels / (tile * 2**zoom))
+        weighted = lambda c: (F.sum(F.col(c) * F.col("points")) / F.sum("points")).alias(c)
+        level = placed.groupBy(F.col("centre").alias("id")).agg(F.min_by("turn", F.when(F.col("id") == F.col("centre"), 0)).alias("turn"), weighted("x"), weighted("y"), *[F.sum(c).alias(c) for c in ("points", "sum_score", "count_score", "easy", "hard")])
+        level = stored(level, "level")
+        if below is not None:
+            out = _with_parent(out, below, placed)
+        rows, below = level, zoom
+        shown = level.withColumns({"zoom": F.lit(zoom), "parent": F.lit(None).cast(points.schema["id"].dataType)})
+        out = shown if out is None else out.unionByName(shown)
+    lat = F.degrees(F.atan(F.sinh(F.lit(math.pi) * (1 - 2 * F.col("y")))))
+    return out.withColumns({"lng": F.col("x") * 360 - 180, "lat": lat}).drop("turn")
+
+
+def _with_parent(tree: DataFrame, zoom: int, placed: DataFrame) -> DataFrame:
+    up = placed.select(F.lit(zoom).alias("zoom"), "id", F.col("centre").alias("_up"))
+    return tree.join(up, ["zoom", "id"], "left").withColumn("parent", F.coalesce("parent", "_up")).drop("_up")
+
+
+def clusters_in(tree: DataFrame, zoom: int, west: float, south: float, east: float, north: float) -> DataFrame:
+    """The clusters of a zoom whose places lie in a box."""
+    return tree.filter((F.col("zoom") == zoom) & F.col("lng").between(west, east) & F.col("lat").between(south, north))
+
+
+def expansion_zooms(tree: DataFrame) -> DataFrame:
+    """zoom, id and expansion: the first larger zoom of the tree at which a cluster comes apart (its own zoom + 1 if it never does or is the largest)."""
+    children = tree.filter(F.col("parent").isNotNull()).select(F.col("zoom").alias("_z"), F.col("id").alias("_c"), F.col("parent").alias("_p"))
+    levels = [r.zoom for r in tree.select("zoom").distinct().orderBy("zoom").collect()]
+    out = None
+    after: DataFrame | None = None
+    for k in range(len(levels) - 1, -1, -1):
+        own = tree.filter(F.col("zoom") == levels[k]).select("zoom", "id")
+        if k == len(levels) - 1:
+            now = own.withColumn("expansion", F.lit(levels[k] + 1))
+        else:
+            below = children.filter(F.col("_z") == levels[k + 1]).join(after.select(F.col("id").alias("_c"), F.col("expansion").alias("_e")), "_c")
+            got = below.groupBy(F.col("_p").alias("id")).agg(F.count("*").alias("n"), F.first("_e").alias("_e"))
+            now = own.join(got, "id", "left").select("zoom", "id", F.when(F.col("n") > 1, levels[k + 1]).otherwise(F.col("_e")).alias("expansion"))
+        after, out = now, now if out is None else out.unionByName(now)
+    return out

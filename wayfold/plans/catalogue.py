@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayfold.plans import admin_queries, match_queries, page_queries, place_queries, text_queries  # noqa: F401  they register themselves
+from wayfold.plans import admin_queries, curation_queries, job_queries, match_queries, page_queries, place_queries, text_queries  # noqa: F401  they register themselves
 from wayfold.plans.registry import ORACLE, QUERIES
 
 

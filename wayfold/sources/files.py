@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -110,6 +112,45 @@ def sitemap_urls(xml: DataFrame, column: str = "xml") -> DataFrame:
     return xml.select(F.explode(F.regexp_extract_all(column, F.lit(r"<loc>\s*([^<]*?)\s*</loc>"), F.lit(1))).alias("url"))
 
 
+def sitemap_index(pages: DataFrame, base: str) -> DataFrame:
+    """One XML document that names the document of each page: base followed by its number and .xml."""
+    entry = F.concat(F.lit(f"<sitemap><loc>{base}"), F.col("page").cast("string"), F.lit(".xml</loc></sitemap>"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", entry.alias("x")))), lambda e: e["x"]), "")
+    head = '<?xml version="1.0" encoding="UTF-8"?><sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
+    return pages.select("page").distinct().agg(F.concat(F.lit(head), body, F.lit("</sitemapindex>")).alias("xml"))
+
+
+def write_sitemaps(pages: DataFrame, base: str, folder: str, key: str = "id", modified: str = "modified") -> None:
+    """The documents of all pages in folders by page, and the index that names them."""
+    sitemap(pages, base, key, modified).select("xml", "page").write.mode("overwrite").partitionBy("page").text(f"{folder}/pages")
+    sitemap_index(pages, base).write.mode("overwrite").text(f"{folder}/index")
+
+
+def sitemap_entries(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """loc, lastmod (a date; null where it is missing or no date) and file of the entries of url documents, read by Spark's XML source.
+
+    Entries without an address are left out; references are decoded and white space around addresses goes.
+    """
+    rows = spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string").load(path)
+    rows = rows.select(F.trim("loc").alias("loc"), F.left(F.trim("lastmod"), F.lit(10)).try_cast("date").alias("lastmod"), F.col("_metadata.file_path").alias("file"))
+    return rows.filter(F.coalesce("loc", F.lit("")) != "")
+
+
+def indexed_sitemaps(spark: SparkSession, path: str) -> DataFrame:
+    """The addresses that index documents name."""
+    rows = spark.read.format("xml").option("rowTag", "sitemap").schema("loc string").load(path)
+    return rows.select(F.trim("loc").alias("loc")).filter(F.coalesce("loc", F.lit("")) != "")
+
+
+def expanded_sitemap(spark: SparkSession, index: str, place: Callable[[str], str]) -> DataFrame:
+    """sitemap_entries() of all documents that an index names. place() gives the path at which a document of an address has landed.
+
+    The driver holds the index: at most 50,000 addresses a document, as the format allows.
+    """
+    paths = sorted({place(r.loc) for r in indexed_sitemaps(spark, index).distinct().collect()})
+    return sitemap_entries(spark, paths) if paths else spark.createDataFrame([], "loc string, lastmod date, file string")
+
+
 def fingerprint(df: DataFrame, modified: str) -> DataFrame:
     """count-max(modified): changes as soon as a row is added, taken away or modified; the key of a stored result."""
     return df.agg(F.concat_ws("-", F.count("*").cast("string"), F.coalesce(F.max(modified).cast("string"), F.lit(""))).alias("fingerprint"))

@@ -10,6 +10,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wayfold.sources.cache import ResultCache, files_fingerprint
+
 VIEWS = {
     "p_lots": """SELECT concat(CASE c_custkey % 3 WHEN 0 THEN 'KA-' WHEN 1 THEN 'NV-' ELSE 'PB-' END, CAST(c_custkey AS STRING)) AS id, c_name AS name,
         CASE c_mktsegment WHEN 'BUILDING' THEN '부설' WHEN 'AUTOMOBILE' THEN '노상' ELSE '노외' END AS type, concat(r_name,' ',n_name,' ',c_mktsegment) AS address,
@@ -52,8 +54,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS[name], **frames)
 
 
-#: Stored scores by application and input files.
-STORED: dict[tuple, DataFrame] = {}
+#: Stored scores, by the input's files and age.
+STORED = ResultCache()
 
 
 class Catalogue:
@@ -71,16 +73,12 @@ class Catalogue:
     def stats(self) -> DataFrame:
         """The stored scores of all places, as the batch job leaves them: reads do not run the score model.
 
-        Made once for a folder and application; the file names of its inputs tell one input from another.
+        Made anew when a file of the inputs is another or has changed, or the scores are older than the cache keeps them.
         """
         from wayfold.operators.scoring import recompute
-        from wayfold.sources.shared import stored
 
         inputs = [self.lots, self.reviews, self.web, self.ai_matches]
-        key = (self.spark.sparkContext.applicationId, *sorted({f for df in inputs for f in df.inputFiles()}))
-        if key not in STORED:
-            STORED[key] = stored(recompute(*inputs, NOW), "stats")
-        return STORED[key]
+        return STORED.get(self.spark, f"stats of {self.sf_dir}", files_fingerprint(*inputs), lambda: recompute(*inputs, NOW))
 
 
 #: The time that stands for now in all queries over the driver's tables.
