@@ -87,14 +87,14 @@ def test_alike_sets_share_a_prefix_token_under_every_order():
         b = np.unique(np.concatenate([b, rng.integers(-(1 << 62), 1 << 62, int(0.05 * n))]))
         shared = len(np.intersect1d(a, b))
         if shared and 100 * shared >= 85 * (len(a) + len(b) - shared):
-            for f in ngram_join.ORDERS:
-                assert len(np.intersect1d(ngram_join.prefix(a, f, common, powers, 85), ngram_join.prefix(b, f, common, powers, 85)))
+            for x, y in zip(ngram_join.prefixes_of(a, common, powers, 85), ngram_join.prefixes_of(b, common, powers, 85), strict=True):
+                assert len(np.intersect1d(x, y))
 
 
 def test_orders_differ():
     own = np.unique(np.random.default_rng(2).integers(-(1 << 62), 1 << 62, 400))
     none = np.zeros(0, dtype=np.int64)
-    a, b, c = (set(ngram_join.prefix(own, f, none, none, 85).tolist()) for f in ngram_join.ORDERS)
+    a, b, c = (set(p.tolist()) for p in ngram_join.prefixes_of(own, none, none, 85))
     assert len(a) == len(b) == len(c) == 61 and len(a & b) < 25 and len(b & c) < 25
 
 
@@ -105,9 +105,15 @@ def test_slots_hold_all_values(spark):
 
 
 def test_shingles_are_told_apart_by_order_and_number():
-    hashes = ngram_join.WordHashes()
     texts = [b"a b c d", b"b a c d", b"a b c", b"a b", b"a", b"a a", b"a a a", b"a a a a", b"", b"ab c d e"]
-    assert len({key_of(ngram_join.shingle_set(t, 4, hashes)) for t in texts}) == len(texts)
+    assert len({key_of(ngram_join.shingle_set(t, 4)) for t in texts}) == len(texts)
+
+
+def test_shingles_of_long_texts_are_those_of_their_parts():
+    rng = np.random.default_rng(6)
+    words = [b"w%d" % x for x in rng.integers(0, 10**6, 60_000)] + [b"x" * 70_000, b"y" * 200_000] + [b"w%d" % x for x in rng.integers(0, 10**6, 300)]
+    parts = [ngram_join.shingle_set(b" ".join(words[i : i + 4]), 4) for i in range(len(words) - 3)]
+    assert (ngram_join.shingle_set(b" \n".join(words), 4) == np.unique(np.concatenate(parts))).all()
 
 
 def test_whole_small_table(spark, sf_dir):

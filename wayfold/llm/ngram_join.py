@@ -46,23 +46,16 @@ WIDTH, LEAST = 4, 85
 #: Odd factors: a token's place in an order is its product with the order's factor, modulo 2^64.
 ORDERS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Tokens that are counted together; a token is common if so many sets of a block hold it; so many common tokens are sent to all tasks at most (16 bytes each).
-COUNTED, COMMON, SENT = 1 << 20, 3, 1_000_000
+COUNTED, COMMON, SENT = 1 << 20, 3, 1 << 18
 #: Partners that a node's set is sent to at a time.
 STRIP = 256
-#: Words that a task remembers the hashes of, and set keys that it remembers having written.
-WORDS, SEEN = 1 << 18, 1 << 20
-
-P, Q = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
+#: Set keys that a task remembers having written.
+SEEN = 1 << 20
 
+#: Bytes of a text that are hashed at a time; a shingle of more than half of that is hashed alone.
+BLOCK = 1 << 17
 
-class WordHashes(dict):
-    """Hash by word, made on demand."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 42)
-        return h
+P, Q = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -70,33 +63,70 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingle_set(text: bytes, width: int, hashes: WordHashes) -> np.ndarray:
-    """Ascending distinct hashes (as signed) of the text's shingles."""
+#: A number for each byte, and powers of an odd number and of its inverse: a shingle's hash is the sum of its bytes' numbers times the powers of their places in it.
+BYTES = mixed(mixed(np.arange(1, 257, dtype=np.uint64) * Q))
+BASE = 0x5851F42D4C957F2B
+POWERS = np.concatenate([[np.uint64(1)], np.cumprod(np.full(BLOCK, BASE, dtype=np.uint64))])
+INVERSE = np.concatenate([[np.uint64(1)], np.cumprod(np.full(BLOCK, pow(BASE, -1, 1 << 64), dtype=np.uint64))])
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    """Ascending distinct values, as signed; by sorting, which here is several times as fast as numpy's own unique()."""
+    h = np.sort(h.view(np.int64))
+    first = np.ones(len(h), dtype=bool)
+    np.not_equal(h[1:], h[:-1], out=first[1:])
+    return h[first]
+
+
+def hashed(line: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the parts of at most BLOCK bytes, by differences of running sums."""
+    sums = np.zeros(len(line) + 1, dtype=np.uint64)
+    np.cumsum(BYTES[line] * POWERS[: len(line)], out=sums[1:])
+    return mixed(mixed((sums[ends] - sums[starts]) * INVERSE[starts] + (ends - starts).astype(np.uint64) * Q))
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """Ascending distinct hashes (as signed) of the text's shingles, words joined by one space."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, dtype=np.int64)
-    own = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    wide = min(width, len(own))
-    h = np.full(len(own) - wide + 1, wide, dtype=np.uint64)
-    for i in range(wide):
-        h = mixed(h * Q + own[i : len(own) - wide + 1 + i])
-    return np.unique(h.view(np.int64))
+    joined = b" ".join(words)
+    line = np.frombuffer(joined, dtype=np.uint8)
+    ends = np.append(np.flatnonzero(line == 32), len(line))
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    wide = min(width, len(ends))
+    starts, ends = starts[: len(ends) - wide + 1], ends[wide - 1 :]
+    if len(line) <= BLOCK // 2:
+        return distinct(hashed(line, starts, ends))
+    out = []
+    alone = ends - starts > BLOCK // 2
+    for i in np.flatnonzero(alone).tolist():
+        out.append(np.array([xxhash.xxh64_intdigest(joined[starts[i] : ends[i]], 42)], dtype=np.uint64))
+    starts, ends = starts[~alone], ends[~alone]
+    for at in range(0, len(line), BLOCK // 2):
+        i, j = np.searchsorted(starts, [at, at + BLOCK // 2])
+        if i < j:
+            out.append(hashed(line[at : at + BLOCK], starts[i:j] - at, ends[i:j] - at))
+    return distinct(np.concatenate(out))
 
 
 def places(tokens: np.ndarray, factor: int) -> np.ndarray:
     return tokens.view(np.uint64) * np.uint64(factor)
 
 
-def prefix(own: np.ndarray, factor: int, common: np.ndarray, powers: np.ndarray, least: int) -> np.ndarray:
-    """The first tokens of a set in the order of `factor`; common: ascending common tokens, powers: powers of two of their counts."""
+def prefixes_of(own: np.ndarray, common: np.ndarray, powers: np.ndarray, least: int) -> list[np.ndarray]:
+    """The first tokens of a set under each order; common: ascending common tokens, powers: powers of two of their counts."""
     if not len(own):
-        return own
-    at = places(own, factor) >> np.uint64(6)
+        return [own for _ in ORDERS]
+    late = np.zeros(len(own), dtype=np.uint64)
     if len(common):
         near = np.minimum(np.searchsorted(common, own), len(common) - 1)
-        at |= np.where(common[near] == own, powers[near], 0).astype(np.uint64) << np.uint64(58)
-    last = prefix_size(len(own), least) - 1
-    return own[at <= np.partition(at, last)[last]]
+        late = np.where(common[near] == own, powers[near], 0).astype(np.uint64) << np.uint64(58)
+    last, out = prefix_size(len(own), least) - 1, []
+    for factor in ORDERS:
+        at = late | (places(own, factor) >> np.uint64(6))
+        out.append(own[at <= np.partition(at, last)[last]])
+    return out
 
 
 def texts_in(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -120,19 +150,21 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, block, keys, held = WordHashes(), [], set(), 0
+        block, keys, held = [], set(), 0
         names, ids = ["doc_id", "th", "key", "n", "bits", "firsts", "tokens", "counts"], None
 
         def counted() -> pa.RecordBatch:
-            h, c = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *block]), return_counts=True)
-            h, c = h[c >= COMMON], c[c >= COMMON].astype(np.int64)
+            h = np.sort(np.concatenate([np.zeros(0, dtype=np.int64), *block]))
+            starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), dtype=bool), h[1:] != h[:-1]]))
+            c = np.diff(np.append(starts, len(h)))
+            h, c = h[starts[c >= COMMON]], c[c >= COMMON]
             none = [pa.nulls(1, t) for t in (ids, pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
             return pa.RecordBatch.from_arrays([*none, lists([h], pa.int64()), lists([c], pa.int64())], names)
 
         for batch in batches:
             ids = batch.column("doc_id").type
             for part, texts in texts_in(batch):
-                sets = [shingle_set(t, width, hashes) for t in texts]
+                sets = [shingle_set(t, width) for t in texts]
                 own = [key_of(s) for s in sets]
                 firsts = [np.array([s[places(s, f).argmin()] for f in ORDERS], dtype=np.int64) if len(s) else np.zeros(len(ORDERS), dtype=np.int64) for s in sets]
                 rest = [pa.nulls(len(sets), pa.list_(pa.int64()))] * 2
@@ -171,18 +203,18 @@ def common_tokens(marked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], p[order]
 
 
-def made(docs: DataFrame, wanted: np.ndarray | None, make: Callable[[np.ndarray], np.ndarray], width: int, name: str) -> DataFrame:
-    """key and make(set) for the texts whose hash may be among `wanted`, at most once a key and task."""
+def made(docs: DataFrame, wanted: np.ndarray | None, make: Callable[[np.ndarray], list[np.ndarray]], width: int, names: list[str]) -> DataFrame:
+    """key and make(set), an array for each of the names, for the texts whose hash may be among `wanted`, at most once a key and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        seen: set[int] = set()
         for batch in batches:
             if wanted is not None:
                 batch = batch.filter(pa.array(slotted(wanted, batch.column("th").to_numpy())))
             for _, texts in texts_in(batch):
                 keys, out = [], []
                 for t in texts:
-                    s = shingle_set(t, width, hashes)
+                    s = shingle_set(t, width)
                     k = key_of(s)
                     if k not in seen:
                         if len(seen) >= SEEN:
@@ -190,9 +222,9 @@ def made(docs: DataFrame, wanted: np.ndarray | None, make: Callable[[np.ndarray]
                         seen.add(k)
                         keys.append(k)
                         out.append(make(s))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), lists(out, pa.int64())], ["key", name])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *[lists([o[i] for o in out], pa.int64()) for i in range(len(names))]], ["key", *names])
 
-    return docs.select(F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text")).mapInArrow(run, f"key long, {name} array<long>")
+    return docs.select(F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "key long, " + ", ".join(f"{n} array<long>" for n in names))
 
 
 def with_ends(pairs: DataFrame, nodes: DataFrame, names: list[str]) -> DataFrame:
@@ -221,7 +253,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, le
     centres = rows.select("centre", F.col("centre").alias("key"), "strip").distinct()
     roles = rows.select("centre", "key", "strip", F.lit(1).alias("partner")).unionByName(centres.withColumn("partner", F.lit(0)))
     texts = nodes.join(ends, "key", "left_semi").select("th")
-    sets = made(docs, slots_of(texts, "th"), lambda s: s, width, "own")
+    sets = made(docs, slots_of(texts, "th"), lambda s: [s], width, ["own"])
     sets = sets.groupBy("key").agg(F.first("own").alias("own"))
     met = roles.join(sets, "key").repartition("centre", "strip").sortWithinPartitions("centre", "strip", "partner")
 
@@ -273,7 +305,16 @@ def in_open_buckets(prefixes: DataFrame, roots: DataFrame) -> DataFrame:
 
 def share_prefix(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
     """The pairs (a, b) that share a prefix token."""
-    return with_ends(pairs, prefixes, ["tokens"]).filter(F.arrays_overlap("tokens_a", "tokens_b")).select("a", "b")
+    own = prefixes.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi").dropDuplicates(["key"])
+    return with_ends(pairs, own, ["tokens"]).filter(F.arrays_overlap("tokens_a", "tokens_b")).select("a", "b")
+
+
+def in_buckets(members: DataFrame, nodes: DataFrame, likeliest: bool, least: int) -> DataFrame:
+    """Pairs (a, b) of members of a bucket that are not connected and whose parities allow a link. A bucket of two is its pair; larger ones go to compared()."""
+    sizes = members.groupBy("h").agg(F.count("*").alias("size"), F.min("key").alias("a"), F.max("key").alias("b"))
+    twos = close(sizes.filter("size = 2").select("a", "b").distinct(), nodes, least)
+    larger = members.join(sizes.filter("size > 2").select("h"), "h", "left_semi")
+    return written(twos.unionByName(compared(larger, nodes, likeliest, least)).distinct(), "compared")
 
 
 def links(docs: DataFrame, marked: DataFrame, nodes: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
@@ -282,22 +323,19 @@ def links(docs: DataFrame, marked: DataFrame, nodes: DataFrame, width: int = WID
     common, powers = common_tokens(marked)
     found = verified(close(first_pairs(full), full, least), full, docs, width, least)
     roots = components(found)
-    wanted, filters, now = full.select("key", "th"), [], None
-    for factor in ORDERS:
-        make = functools.partial(prefix, factor=factor, common=common, powers=powers, least=least)
-        own = made(docs, slots_of(wanted, "th"), make, width, "tokens").filter("size(tokens) > 0")
-        own = written(own if now is None else own.join(wanted, "key", "left_semi"), "prefixes")
-        now = in_open_buckets(own, roots)
-        filters.append(own)
-        wanted = written(full.join(now.select("key").distinct(), "key", "left_semi").select("key", "th"), "left")
+    orders = [f"tokens_{i}" for i in range(len(ORDERS))]
+    own = written(made(docs, None, functools.partial(prefixes_of, common=common, powers=powers, least=least), width, orders).filter(F.size(orders[0]) > 0), "prefixes")
+    filters, now = [own.select("key", F.col(o).alias("tokens")) for o in orders], None
+    for f in filters:
+        now = in_open_buckets(f if now is None else f.join(now.select("key").distinct(), "key", "left_semi"), roots)
     now = now.join(full.select("key", "n"), "key")
     for likeliest in (True, False):
         now = rooted(now.select("h", "key", "n"), found)
         if now.isEmpty():
             break
-        pairs = written(compared(now, full, likeliest, least), "compared")
-        for own in filters[:-1]:
-            pairs = share_prefix(pairs, own.dropDuplicates(["key"]))
+        pairs = in_buckets(now, full, likeliest, least)
+        for f in filters[:-1]:
+            pairs = share_prefix(pairs, f)
         found = found.unionByName(verified(pairs, full, docs, width, least))
     return found
 
