@@ -6,10 +6,10 @@ by prefix doubling (by one word, by two, by four, with numpy; no phrase is longe
 neighbours share: an interval of neighbours that share at least m words is a phrase of m words, its width is how often the
 shard has it. Counts of a phrase are summed over shards by the phrase itself.
 
-Most phrases are rare, and a phrase is never more frequent than what it holds. So words are counted first, then phrases of two
-frequent words, then phrases of three and four of which each two neighbours are frequent. What is frequent goes to the tasks as a
-filter of SLOTS bits (one bit a hash): it lets through all that is frequent and, the more there is, some that is not, whose
-count then says so. No phrase is lost by it.
+Most phrases are rare, and a phrase is never more frequent than what it holds. So words are counted first; then pairs of
+frequent words, by hashes alone (two pairs of one hash count together, so that none is missed); then, by their words, the phrases of
+which each two neighbours are a frequent pair. What is frequent goes to the tasks as a filter of SLOTS bits (one bit a hash): it
+lets through all that is frequent and, the more there is, some that is not, whose count then says so. No phrase is lost by it.
 
 A candidate of a occurrences is cut into a first part (l occurrences) and a rest (r): its score is the least of
 floor(2000000 * a / (l + r)) over its cuts, by decimals. Candidates within a longer one that has 80 % of their occurrences go.
@@ -36,6 +36,8 @@ from wayfold.llm.common import slots_of, slotted, written
 LEAST, WORDS, HELD, TOP = 30, 4, 80, 2000
 #: Words of a shard; shards' worth of words that a task holds over all langs; bytes of text that are cut at a time; parts of a lang for the first ranking.
 SHARD, LANGS, SLICE, SPREAD = 1 << 20, 4, 1 << 22, 64
+#: Phrases that are put together at a time, and an odd number that mixes hashes.
+ROWS, MIX = 50_000, np.uint64(0x9FB21C651E98DF25)
 #: What a lang's null stands for.
 UNKNOWN = "und"
 
@@ -132,22 +134,12 @@ def phrases_at(shard: Shard, seq: np.ndarray, at: np.ndarray, m: int) -> list[by
     return [b" ".join([words[i] for i in own]) for own in seq[at[:, None] + np.arange(m)[None, :]].tolist()]
 
 
-Counted = Iterator[tuple[list[bytes], np.ndarray]]
-
-
-def counted(docs: DataFrame, count: Callable[[Shard], Counted]) -> DataFrame:
-    """lang, phrase and c, its occurrences in a shard, for what `count` finds in each."""
+def sharded(docs: DataFrame, count: Callable[[Shard], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """The batches that `count` makes of each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards: dict[str, Shard] = {}
         held = 0
-
-        def out(shard: Shard) -> Iterator[pa.RecordBatch]:
-            for phrases, counts in count(shard):
-                for i in range(0, len(phrases), 100_000):
-                    own = pa.array(phrases[i : i + 100_000], pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array([shard.lang] * len(own), pa.string()), own, pa.array(counts[i : i + 100_000])], ["lang", "phrase", "c"])
-
         for batch in batches:
             for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
                 lang = lang.as_py()
@@ -157,67 +149,85 @@ def counted(docs: DataFrame, count: Callable[[Shard], Counted]) -> DataFrame:
                     if shard.size >= SHARD or held >= LANGS * SHARD:
                         for s in [shard] if shard.size >= SHARD else [*shards.values()]:
                             held -= s.size
-                            yield from out(shards.pop(s.lang))
+                            yield from count(shards.pop(s.lang))
+                        pa.default_memory_pool().release_unused()
         for shard in shards.values():
-            yield from out(shard)
+            yield from count(shard)
 
     rows = docs.filter("text IS NOT NULL").select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "lang string, phrase string, c long")
+    return rows.mapInArrow(run, schema)
+
 
+PHRASES = "lang string, phrase string, c long"
 
-def summed(rows: DataFrame, name: str, least: int) -> DataFrame:
-    return written(rows.groupBy("lang", "phrase").agg(F.sum("c").alias("f")).filter(F.col("f") >= least), name)
 
+def rows_of(shard: Shard, seq: np.ndarray, at: np.ndarray, m: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """lang, phrase and c, ROWS at a time."""
+    for i in range(0, len(at), ROWS):
+        own = pa.array(phrases_at(shard, seq, at[i : i + ROWS], m), pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([shard.lang] * len(own), pa.string()), own, pa.array(counts[i : i + ROWS])], ["lang", "phrase", "c"])
 
-def word_counts(shard: Shard) -> Counted:
+
+def word_counts(shard: Shard) -> Iterator[pa.RecordBatch]:
     counts = np.bincount(shard.sequence(), minlength=len(shard.words))
-    yield shard.words[1:], counts[1:]
+    yield from rows_of(shard, np.arange(len(shard.words)), np.arange(1, len(shard.words)), 1, counts[1:])
 
 
-def frequent_only(shard: Shard, words: np.ndarray) -> np.ndarray:
-    """The shard's sequence with rare words as ends of pieces."""
-    stays = np.concatenate([[False], slotted(words, hashed(shard.lang, shard.words[1:]))])
+def word_hashes(shard: Shard, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shard's words, and its sequence with rare words as ends of pieces."""
+    hashes = np.concatenate([[0], hashed(shard.lang, shard.words[1:])])
+    stays = slotted(words, hashes)
+    stays[0] = False
     seq = shard.sequence()
-    return np.where(stays[seq], seq, 0)
+    return hashes, np.where(stays[seq], seq, 0)
+
+
+def pair_hashes(hashes: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of words, by those of the words."""
+    h = hashes[first].view(np.uint64) * MIX + hashes[second].view(np.uint64)
+    h = (h ^ (h >> np.uint64(31))) * MIX
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
-def pair_counts(words: np.ndarray) -> Callable[[Shard], Counted]:
-    def count(shard: Shard) -> Counted:
-        seq = frequent_only(shard, words)
-        for m, at, counts in intervals(seq, 2):
-            yield phrases_at(shard, seq, at, m), counts
+def pair_counts(words: np.ndarray) -> Callable[[Shard], Iterator[pa.RecordBatch]]:
+    """h and c for each pair of words that may be frequent: numbers only, as most pairs are rare."""
+
+    def count(shard: Shard) -> Iterator[pa.RecordBatch]:
+        hashes, seq = word_hashes(shard, words)
+        for _, at, counts in intervals(seq, 2):
+            yield pa.RecordBatch.from_arrays([pa.array(pair_hashes(hashes, seq[at], seq[at + 1])), pa.array(counts)], ["h", "c"])
 
     return count
 
 
-def longer_counts(words: np.ndarray, pairs: np.ndarray, most: int) -> Callable[[Shard], Counted]:
-    def count(shard: Shard) -> Counted:
-        seq = frequent_only(shard, words)
-        # numbers of the distinct pairs, and which of them may be frequent
-        _, at, which = np.unique(seq[:-1] * (len(shard.words) + 1) + seq[1:], return_index=True, return_inverse=True)
-        sound = (seq[at] > 0) & (seq[at + 1] > 0)
-        sound[sound] = slotted(pairs, hashed(shard.lang, phrases_at(shard, seq, at[sound], 2)))
-        joined = np.concatenate([sound[which], [False]])
-        # words that are in no frequent pair end pieces too; then a pair that is not frequent is left to be checked
+def phrase_counts(words: np.ndarray, pairs: np.ndarray, most: int) -> Callable[[Shard], Iterator[pa.RecordBatch]]:
+    """lang, phrase and c for the phrases of which each two neighbours may be a frequent pair."""
+
+    def count(shard: Shard) -> Iterator[pa.RecordBatch]:
+        hashes, seq = word_hashes(shard, words)
+        joined = (seq[:-1] > 0) & (seq[1:] > 0)
+        joined[joined] = slotted(pairs, pair_hashes(hashes, seq[:-1][joined], seq[1:][joined]))
+        joined = np.concatenate([joined, [False]])
+        # words of no frequent pair end pieces too
         seq = np.where(joined | np.concatenate([[False], joined[:-1]]), seq, 0)
         for m, at, counts in intervals(seq, most):
-            if m > 2:
-                held = joined[at[:, None] + np.arange(m - 1)[None, :]].all(axis=1)
-                yield phrases_at(shard, seq, at[held], m), counts[held]
+            held = joined[at[:, None] + np.arange(m - 1)[None, :]].all(axis=1)
+            yield from rows_of(shard, seq, at[held], m, counts[held])
 
     return count
 
 
 def top_phrases(docs: DataFrame, least: int = LEAST, most: int = WORDS, held: int = HELD, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score."""
-    words = written(counted(docs, word_counts).groupBy("lang", "phrase").agg(F.sum("c").alias("f")), "words")
+    words = written(sharded(docs, word_counts, PHRASES).groupBy("lang", "phrase").agg(F.sum("c").alias("f")), "words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     words = words.filter(F.col("f") >= least)
     frequent = slots_of(words.select(slot_hash().alias("h")), "h")
-    pairs = summed(counted(docs, pair_counts(frequent)), "pairs", least)
-    longer = summed(counted(docs, longer_counts(frequent, slots_of(pairs.select(slot_hash().alias("h")), "h"), most)), "longer", least)
-    candidates = pairs.unionByName(longer).select("lang", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
-    known = words.unionByName(pairs).unionByName(longer)
+    pairs = sharded(docs, pair_counts(frequent), "h long, c long").groupBy("h").agg(F.sum("c").alias("f")).filter(F.col("f") >= least)
+    phrases = sharded(docs, phrase_counts(frequent, slots_of(pairs, "h"), most), PHRASES).groupBy("lang", "phrase").agg(F.sum("c").alias("f"))
+    phrases = written(phrases.filter(F.col("f") >= least), "phrases")
+    candidates = phrases.select("lang", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
+    known = words.unionByName(phrases)
     cuts = candidates.select("lang", "phrase", "a", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k"), "w")
     first, rest = F.array_join(F.slice("w", 1, F.col("k")), " "), F.array_join(F.slice("w", F.col("k") + 1, F.size("w")), " ")
     cuts = cuts.select("lang", "phrase", "a", "k", first.alias("first"), rest.alias("rest"))
