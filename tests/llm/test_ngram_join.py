@@ -119,3 +119,24 @@ def test_shingles_of_long_texts_are_those_of_their_parts():
 def test_whole_small_table(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in load(spark, sf_dir, "documents").select("doc_id", "text").collect()]
     assert collections.Counter(map(tuple, queries.op11_ngram_join(spark, sf_dir).collect())) == brute(docs)
+
+
+def test_forest_connects_what_all_pairs_connect():
+    from wayfold.llm.jaccard import group_pairs, parities
+
+    rng = np.random.default_rng(11)
+    base = [np.unique(rng.integers(-(1 << 62), 1 << 62, 120)) for _ in range(3)]
+    sets = [np.unique(np.concatenate([b[rng.random(len(b)) < 0.95], rng.integers(-(1 << 62), 1 << 62, 4)])) for b in base for _ in range(40)]
+    keys, sizes = np.arange(len(sets)), np.array([len(s) for s in sets])
+    roots = np.where(rng.random(len(sets)) < 0.3, keys // 40 * 40, keys)
+    bits = np.stack([parities(s) for s in sets]).view(np.uint64)
+
+    def components(a, b):
+        root = {int(k): int(r) for k, r in zip(keys, roots, strict=True)}
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            old, new = root[x], root[y]
+            root = {k: new if r == old else r for k, r in root.items()}
+        return {frozenset(k for k in root if root[k] == r) for r in root.values()}
+
+    forest, every = ngram_join.forest_pairs(keys, sizes, roots, bits, True, 85), group_pairs(keys, sizes, roots, bits, False, 85)
+    assert components(*forest) == components(*every) and len(forest[0]) < len(set(roots.tolist())) < len(every[0])

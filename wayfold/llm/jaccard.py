@@ -23,7 +23,7 @@ doc_id leaves nulls out. Repeated rows each give a row, an empty table none; oth
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -175,8 +175,8 @@ def group_pairs(keys: np.ndarray, sizes: np.ndarray, roots: np.ndarray, bits: np
     return np.concatenate(left), np.concatenate(right)
 
 
-def compared(members: DataFrame, nodes: DataFrame, likeliest: bool, least: int = LEAST, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of keys in a bucket that may be alike and are not connected; members: h, key, n, root."""
+def compared(members: DataFrame, nodes: DataFrame, likeliest: bool, least: int = LEAST, block: int = BLOCK, pick: Callable = group_pairs) -> DataFrame:
+    """Pairs (a, b) of keys in a bucket that may be alike and are not connected; members: h, key, n, root. pick: what gives a group's pairs."""
     blocks = members.groupBy("h").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     rows = members.join(blocks, "h").join(nodes.select("key", "bits"), "key")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -197,7 +197,7 @@ def compared(members: DataFrame, nodes: DataFrame, likeliest: bool, least: int =
             if batch is not None:  # the last group may go on
                 held = now.slice(starts[-1])
                 starts, ends = starts[:-1], ends[:-1]
-            pairs = [group_pairs(keys[a:b], sizes[a:b], roots[a:b], bits[a:b], likeliest, least) for a, b in zip(starts, ends, strict=True)]
+            pairs = [pick(keys[a:b], sizes[a:b], roots[a:b], bits[a:b], likeliest, least) for a, b in zip(starts, ends, strict=True)]
             empty = np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *[p[i] for p in pairs]])) for i in (0, 1)], ["a", "b"])
 

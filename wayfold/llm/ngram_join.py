@@ -15,8 +15,9 @@ never a link.
 2. Order by order, the prefixes of the nodes that are left are put in buckets. A bucket of one component says nothing new, and
    a node without a bucket of two has all its links: it is left out of the orders that follow.
 3. In the last order's buckets, members outside the largest component are compared with all by the parities of their sets
-   (blocks of bounded size), first with the likeliest member of each component, then with all that may be alike. A pair must
-   share a prefix token under every other order too. What is left is compared by its whole sets.
+   (blocks of bounded size). Of the pairs that may be alike first only a forest is taken that would connect them all, the
+   closest pairs first; then, where members are still apart, all. A pair must share a prefix token under every other order
+   too. What is left is compared by its whole sets.
 
 Each pair ships one set: the node with more pairs is sent once for each STRIP of its partners. Tokens are 64-bit hashes.
 
@@ -38,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import CHUNK_CHARS, slots_of, slotted, written
-from wayfold.llm.jaccard import compared, fit, key_of, parities, prefix_size, rooted
+from wayfold.llm.jaccard import compared, fit, group_pairs, key_of, parities, prefix_size, rooted
 from wayfold.llm.simhash import components
 
 #: Words of a shingle, and percent of the union that linked sets share.
@@ -309,12 +310,36 @@ def share_prefix(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
     return with_ends(pairs, own, ["tokens"]).filter(F.arrays_overlap("tokens_a", "tokens_b")).select("a", "b")
 
 
+def forest_pairs(keys: np.ndarray, sizes: np.ndarray, roots: np.ndarray, bits: np.ndarray, likeliest: bool, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a group's pairs that the parities allow as many as connect what they all connect, the closest of each member first."""
+    _, which, counts = np.unique(roots, return_inverse=True, return_counts=True)
+    label, n, left, right = which.copy(), sizes.astype(np.int64), [], []
+    for x in np.flatnonzero(which != counts.argmax()).tolist():
+        apart = np.flatnonzero((label != label[x]) & (100 * np.minimum(n, n[x]) >= least * np.maximum(n, n[x])))
+        if not len(apart):
+            continue
+        both = n[apart] + n[x]
+        differ = np.bitwise_count(bits[apart] ^ bits[x]).sum(axis=1, dtype=np.int64)
+        fits = differ <= both - 2 * -(-least * both // (100 + least))
+        apart, slack = apart[fits], differ[fits] / both[fits]
+        for j in apart[np.argsort(slack, kind="stable")].tolist():
+            if label[j] != label[x]:
+                left.append(min(keys[x], keys[j]))
+                right.append(max(keys[x], keys[j]))
+                label[label == label[j]] = label[x]
+    return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
+
+
 def in_buckets(members: DataFrame, nodes: DataFrame, likeliest: bool, least: int) -> DataFrame:
-    """Pairs (a, b) of members of a bucket that are not connected and whose parities allow a link. A bucket of two is its pair; larger ones go to compared()."""
+    """Pairs (a, b) of members of a bucket that are not connected and whose parities allow a link: all, or those that would connect the most likely.
+
+    A bucket of two is its pair; larger ones go to compared().
+    """
     sizes = members.groupBy("h").agg(F.count("*").alias("size"), F.min("key").alias("a"), F.max("key").alias("b"))
     twos = close(sizes.filter("size = 2").select("a", "b").distinct(), nodes, least)
     larger = members.join(sizes.filter("size > 2").select("h"), "h", "left_semi")
-    return written(twos.unionByName(compared(larger, nodes, likeliest, least)).distinct(), "compared")
+    pick = forest_pairs if likeliest else group_pairs
+    return written(twos.unionByName(compared(larger, nodes, likeliest, least, pick=pick)).distinct(), "compared")
 
 
 def links(docs: DataFrame, marked: DataFrame, nodes: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
