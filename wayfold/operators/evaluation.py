@@ -41,7 +41,7 @@ def quantiles(rows: DataFrame, value: str, at: list[float]) -> DataFrame:
 
 def stratified(rows: DataFrame, stratum: Column, key: str, n: int) -> DataFrame:
     """n rows of each stratum, chosen by a hash of the key: the same ones each time."""
-    return rows.withColumn("stratum", stratum).withColumn("_nth", F.row_number().over(W.partitionBy("stratum").orderBy(F.xxhash64(key), key))).filter(F.col("_nth") <= n).drop("_nth")
+    return rows.withColumn("stratum", stratum).withColumn("_nth", F.row_number().over(W.partitionBy("stratum").orderBy(F.md5(F.col(key).cast("string")), key))).filter(F.col("_nth") <= n).drop("_nth")
 
 
 def chunked(rows: DataFrame, key: str, chunks: int) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayfold.operators import curation, postings
+from wayfold.operators import curation, places, postings, spatial
 from wayfold.operators.discovery import missed_candidates
 from wayfold.plans.page_queries import METRES
 from wayfold.plans.registry import ORACLE, query
 from wayfold.sources import files
-from wayfold.sources.shared import shared_path
+from wayfold.sources.shared import shared_path, stored
 from wayfold.streaming import states
 
 NOW_SQL = "TIMESTAMP '2002-01-01'"
@@ -197,3 +197,11 @@ def _(c):
     files.write_sitemaps(files.numbered_pages(rows, "id", 400), "https://example.org/lot/", folder)
     entries = files.expanded_sitemap(c.spark, f"{folder}/index", lambda loc: f"{folder}/pages/page={loc.rsplit('/', 1)[1].removesuffix('.xml')}")
     return entries.select("loc", F.col("lastmod").cast("string").alias("lastmod"))
+
+
+@query("radius_clusters")
+def _(c):
+    """Clusters by radius at three zooms, with the zoom at which each comes apart."""
+    tree = stored(spatial.cluster_tree(places.with_scores(c.lots, c.stats), [4, 8, 11]), "tree")
+    expansion = spatial.expansion_zooms(tree)
+    return tree.join(expansion, ["zoom", "id"]).select("zoom", "id", "parent", "points", "count_score", "easy", "hard", "expansion")

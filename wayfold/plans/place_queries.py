@@ -193,7 +193,9 @@ def _(c):
     return c.web.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("parking_lot_id").alias("lots"), F.count_if(F.col("relevance_score") >= 60).alias("relevant"), F.round(F.avg("sentiment_score"), 4).alias("sentiment"))
 
 
-@query("diverse_sources", None)
+@query("diverse_sources", """WITH k AS (SELECT *, row_number() OVER (PARTITION BY parking_lot_id, source ORDER BY relevance_score DESC, id, published_at) AS a FROM p_web),
+ f AS (SELECT *, row_number() OVER (PARTITION BY parking_lot_id ORDER BY CASE WHEN a = 1 THEN 0 ELSE 1 END, relevance_score DESC, id, published_at) AS b FROM k),
+ g AS (SELECT *, row_number() OVER (PARTITION BY parking_lot_id ORDER BY CASE WHEN a = 1 AND b <= 3 THEN 0 ELSE 1 END, relevance_score DESC, id, published_at) AS c FROM f) SELECT parking_lot_id, id, source, relevance_score FROM g WHERE c <= 6""")
 def _(c):
     """Up to six web rows a place: half of them of different sources, the rest by score."""
     return rankings.diverse(c.web, ["parking_lot_id"], "source", [F.desc("relevance_score"), "id", "published_at"], 6).select("parking_lot_id", "id", "source", "relevance_score")
@@ -217,7 +219,7 @@ def _(c):
     return numbered_pages(c.lots.select("id"), "id", 500).groupBy("page").agg(F.count("*").alias("urls"), F.min("id").alias("first"), F.max("id").alias("last"))
 
 
-@query("row_numbers_by_source", None)
+@query("row_numbers_by_source", "SELECT source, id, n FROM (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY md5(id || ':' || epoch_us(published_at)), id) AS n FROM p_web) WHERE n <= 25")
 def _(c):
-    w = W.partitionBy("source").orderBy(F.xxhash64("id", "published_at"))
+    w = W.partitionBy("source").orderBy(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.unix_micros(F.col("published_at").cast("timestamp")).cast("string"))), "id")
     return c.web.withColumn("n", F.row_number().over(w)).filter("n <= 25").select("source", "id", "n")

@@ -29,6 +29,17 @@ def _(c):
     return c.docs.select("id", F.length(C.trimmed(F.regexp_replace("full_text", r"https?://\S+", " "))).alias("plain_length"), C.token_estimate(F.col("full_text")).alias("tokens"), C.url_hash(F.col("title")).alias("title_hash"))
 
 
+@query("pages_as_text", r"SELECT id, md5(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(content, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&quot;', chr(34)), '&nbsp;', ' '), '&#39;', chr(39)), '^\s+|\s+$', '', 'g')) AS text FROM p_raw")
+def _(c):
+    return c.raw.select("id", F.md5(C.strip_html(F.col("content"))).alias("text"))
+
+
+@query("cleaned_texts", r"SELECT id, md5(trim(regexp_replace(regexp_replace(t, '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), '\s+', ' ', 'g'))) AS text, md5(regexp_replace(regexp_replace(t, '!?\[[^\]\n]*\]\([^)\n]*\)', ' ', 'g'), 'https?://\S+', ' ', 'g')) AS bare FROM (SELECT id, full_text || chr(7) || '  [link](http://a.b/c) ![i](x) ' || chr(9) || 'see https://d.e/f now ' AS t FROM p_docs)")
+def _(c):
+    t = F.concat("full_text", F.lit("\x07  [link](http://a.b/c) ![i](x) \tsee https://d.e/f now "))
+    return c.docs.select("id", F.md5(C.clean_text(t)).alias("text"), F.md5(C.strip_links(t)).alias("bare"))
+
+
 @query("stripped_pages", "SELECT id, length(regexp_replace(content, '<[^>]*>', '', 'g')) AS n FROM p_raw")
 def _(c):
     return c.raw.select("id", F.length(F.regexp_replace("content", "<[^>]*>", "")).alias("n"))
@@ -187,7 +198,7 @@ def _(c):
     return evaluation.quantiles(c.docs, "n_chars", [0.1, 0.5, 0.9])
 
 
-@query("stratified_sample", None)
+@query("stratified_sample", "SELECT floor(final_score * 2) / 2 AS stratum, parking_lot_id FROM p_stats QUALIFY row_number() OVER (PARTITION BY floor(final_score * 2) / 2 ORDER BY md5(parking_lot_id), parking_lot_id) <= 25")
 def _(c):
     return evaluation.stratified(c.stats, F.floor(F.col("final_score") * 2) / 2, "parking_lot_id", 25).select("stratum", "parking_lot_id")
 
@@ -241,6 +252,6 @@ def _(c):
     return places.with_scores(c.lots, c.stats).select("id", C.difficulty_label(F.col("avg_score")).alias("label"))
 
 
-@query("best_web_row", None)
+@query("best_web_row", "SELECT parking_lot_id, id, relevance_score FROM p_web QUALIFY row_number() OVER (PARTITION BY parking_lot_id ORDER BY relevance_score DESC, id DESC, published_at DESC) = 1")
 def _(c):
     return rankings.best_per_group(c.web, ["parking_lot_id"], F.struct("relevance_score", "id", "published_at")).select("parking_lot_id", "id", "relevance_score")
