@@ -16,8 +16,8 @@ never a link.
    a node without a bucket of two has all its links: it is left out of the orders that follow.
 3. In the last order's buckets, members outside the largest component are compared with all by the parities of their sets
    (blocks of bounded size). Of the pairs that may be alike first only a forest is taken that would connect them all, the
-   closest pairs first; then, where members are still apart, all. A pair must share a prefix token under every other order
-   too. What is left is compared by its whole sets.
+   closest pairs first; then, in buckets where one of these turned out not to link, all. A pair must share a prefix token
+   under every other order too. What is left is compared by its whole sets.
 
 Each pair ships one set: the node with more pairs is sent once for each STRIP of its partners. Tokens are 64-bit hashes.
 
@@ -342,6 +342,15 @@ def in_buckets(members: DataFrame, nodes: DataFrame, likeliest: bool, least: int
     return written(twos.unionByName(compared(larger, nodes, likeliest, least, pick=pick)).distinct(), "compared")
 
 
+def in_doubt(members: DataFrame, allowed: DataFrame, linked: DataFrame) -> DataFrame:
+    """members of the buckets that hold both ends of an allowed pair that turned out not to link. In all other buckets what the parities allow is connected now."""
+    true = linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    failed = written(allowed.join(true, ["a", "b"], "left_anti"), "failed")
+    rows = members.select("h", "key")
+    held = failed.join(rows.withColumnRenamed("key", "a"), "a").join(rows.withColumnRenamed("key", "b"), ["h", "b"]).select("h").distinct()
+    return members.join(held, "h", "left_semi")
+
+
 def links(docs: DataFrame, marked: DataFrame, nodes: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
     """Links (a, b) of keys that connect exactly what pairs of alike sets connect."""
     full = nodes.filter("n > 0")
@@ -358,10 +367,12 @@ def links(docs: DataFrame, marked: DataFrame, nodes: DataFrame, width: int = WID
         now = rooted(now.select("h", "key", "n"), found)
         if now.isEmpty():
             break
-        pairs = in_buckets(now, full, likeliest, least)
+        allowed = pairs = in_buckets(now, full, likeliest, least)
         for f in filters[:-1]:
             pairs = share_prefix(pairs, f)
-        found = found.unionByName(verified(pairs, full, docs, width, least))
+        linked = verified(pairs, full, docs, width, least)
+        found = found.unionByName(linked)
+        now = in_doubt(now, allowed, linked)
     return found
 
 
