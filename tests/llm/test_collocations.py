@@ -6,6 +6,7 @@ import collections
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from wayfold.llm import collocations
 
@@ -72,8 +73,14 @@ def test_intervals_count_all_phrases():
 
 def test_hash_is_that_of_spark(spark):
     words = ["a", "été", "x y", "漢字"]
-    df = spark.createDataFrame([("en", w) for w in words], "lang string, phrase string")
-    assert [r[0] for r in df.select(collocations.slot_hash()).collect()] == collocations.hashed("en", [w.encode() for w in words]).tolist()
+    df = spark.createDataFrame([("en\n" + w,) for w in words], "k string")
+    assert [r[0] for r in df.select(F.xxhash64("k")).collect()] == collocations.hashed("en", [w.encode() for w in words]).tolist()
+
+
+def test_keys_come_apart(spark):
+    keys = [("en", "a b"), ("", "x"), ("odd\nlang", "y"), ("fr", "")]
+    df = spark.createDataFrame([(f"{lang}\n{p}",) for lang, p in keys], "k string")
+    assert [tuple(r) for r in df.select(*collocations.parts_of(F.col("k"))).collect()] == keys
 
 
 def test_products_beyond_64_bits(spark):

@@ -89,13 +89,15 @@ class Shard:
 
 
 def hashed(lang: str, phrases: list[bytes]) -> np.ndarray:
-    """As slot_hash() gives in Spark."""
+    """Hashes of keys, as xxhash64() gives in Spark."""
     head = lang.encode() + b"\n"
     return np.array([xxhash.xxh64_intdigest(head + p, 42) for p in phrases], dtype=np.uint64).view(np.int64)
 
 
-def slot_hash() -> Column:
-    return F.xxhash64(F.concat(F.col("lang"), F.lit("\n"), F.col("phrase")))
+def parts_of(k: Column) -> list[Column]:
+    """lang and phrase of a key: lang, a line end, phrase. A phrase holds no line end, so the last one counts."""
+    phrase = F.substring_index(k, "\n", -1)
+    return [F.left(k, F.length(k) - F.length(phrase) - 1).alias("lang"), phrase.alias("phrase")]
 
 
 def doubled(rank: np.ndarray, by: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,19 +160,22 @@ def sharded(docs: DataFrame, count: Callable[[Shard], Iterator[pa.RecordBatch]],
     return rows.mapInArrow(run, schema)
 
 
-PHRASES = "lang string, phrase string, c long"
+PHRASES = "k string, c long"
 
 
 def rows_of(shard: Shard, seq: np.ndarray, at: np.ndarray, m: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """lang, phrase and c, ROWS at a time."""
+    """k (lang, line end, phrase: one column is a smaller shuffle than two) and c, ROWS at a time."""
+    head = shard.lang.encode() + b"\n"
     for i in range(0, len(at), ROWS):
-        own = pa.array(phrases_at(shard, seq, at[i : i + ROWS], m), pa.binary()).cast(pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array([shard.lang] * len(own), pa.string()), own, pa.array(counts[i : i + ROWS])], ["lang", "phrase", "c"])
+        own = pa.array([head + p for p in phrases_at(shard, seq, at[i : i + ROWS], m)], pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([own, pa.array(counts[i : i + ROWS])], ["k", "c"])
 
 
 def word_counts(shard: Shard) -> Iterator[pa.RecordBatch]:
+    """Counts of words, and of all words under the empty one."""
     counts = np.bincount(shard.sequence(), minlength=len(shard.words))
-    yield from rows_of(shard, np.arange(len(shard.words)), np.arange(1, len(shard.words)), 1, counts[1:])
+    counts[0] = counts[1:].sum()
+    yield from rows_of(shard, np.arange(len(shard.words)), np.arange(len(shard.words)), 1, counts)
 
 
 def word_hashes(shard: Shard, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,13 +224,13 @@ def phrase_counts(words: np.ndarray, pairs: np.ndarray, most: int) -> Callable[[
 
 def top_phrases(docs: DataFrame, least: int = LEAST, most: int = WORDS, held: int = HELD, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score."""
-    words = written(sharded(docs, word_counts, PHRASES).groupBy("lang", "phrase").agg(F.sum("c").alias("f")), "words")
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    words = words.filter(F.col("f") >= least)
-    frequent = slots_of(words.select(slot_hash().alias("h")), "h")
+    counted = lambda count: sharded(docs, count, PHRASES).groupBy("k").agg(F.sum("c").alias("f")).select("k", *parts_of(F.col("k")), "f")
+    held_words = written(counted(word_counts).filter((F.col("f") >= least) | (F.col("phrase") == "")), "words")
+    totals = held_words.filter("phrase = ''").select("lang", F.col("f").alias("n"))
+    words = held_words.filter((F.col("f") >= least) & (F.col("phrase") != ""))
+    frequent = slots_of(words.select(F.xxhash64("k").alias("h")), "h")
     pairs = sharded(docs, pair_counts(frequent), "h long, c long").groupBy("h").agg(F.sum("c").alias("f")).filter(F.col("f") >= least)
-    phrases = sharded(docs, phrase_counts(frequent, slots_of(pairs, "h"), most), PHRASES).groupBy("lang", "phrase").agg(F.sum("c").alias("f"))
-    phrases = written(phrases.filter(F.col("f") >= least), "phrases")
+    phrases = written(counted(phrase_counts(frequent, slots_of(pairs, "h"), most)).filter(F.col("f") >= least), "phrases")
     candidates = phrases.select("lang", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
     known = words.unionByName(phrases)
     cuts = candidates.select("lang", "phrase", "a", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k"), "w")
