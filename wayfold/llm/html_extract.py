@@ -1,17 +1,19 @@
 """Operator 4: main text of web pages by site template removal.
 
-A page is cut into elements in one pass. Each element subtree has a hash of its tags and text, and each element outside
-the main content (the outermost article or main elements) one of its place: the tags and names on the way to it. Spark
-counts the distinct page bodies of each host that hold a hash; copies of an article are one body, so they are no template.
-What recurs is deleted, and the rest of the page is its text: blocks in page order, white space collapsed, joined by one space.
-
-* Outside main content a block goes if its subtree, or its place, is on LEAST_PAGES bodies of the host and on SHARE of them.
-* In main content, and on pages that have none, only subtrees count. In main content these are whole blocks (paragraphs,
-  lists, divisions; never words or headings) on INNER_SHARE of the bodies, for articles share passages; and a page of
-  whose main content more than half recurs is a near copy of others and keeps it.
-* Of pages with main content on hosts of fewer than LEAST_PAGES bodies, where nothing can be counted, only that is taken.
-* Markup that says of itself that it is no main text (nav, footer, aside, form, script, hidden parts, roles) goes everywhere.
-  A list of class names (ads, comments and so on) serves in main content and on pages without it.
+A page is cut into elements in one pass and each element subtree has a hash of its tags and text. Spark counts the distinct
+page bodies of each host that hold a hash; copies of an article are one body, so they are no template. What recurs is
+deleted, and the rest of the page is its text: blocks in page order, white space collapsed, joined by one space.
+
+* Outside main content (the outermost article or main elements) a block goes if its subtree is on LEAST_PAGES bodies of the
+  host and on SHARE of them. Subtrees without a heading or paragraph are hashed with every number as 0, so "Page 3 of 9"
+  recurs. Text beside main content that has no element of its own is a subtree together with the inline elements next to it.
+  What does not recur stays, a headline or lead above the main element for instance.
+* On pages without main content subtrees are hashed as they are, whatever they hold.
+* In main content these are whole blocks (paragraphs, lists, divisions; never words or headings) on INNER_SHARE of the
+  bodies, for articles share passages; and a page of whose main content more than half recurs is a near copy of others and
+  keeps it.
+* Markup that says of itself that it is no main text (nav, footer, aside, form, script, hidden parts, roles, a list of names
+  in class and id such as ad or comments) goes everywhere, on hosts with too few pages to count anything too.
 
 Null and empty pages have an empty text. Repeated rows each give a row; a null url is a host of its own. Other columns of
 pages do not matter; an empty table gives no rows.
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.common import chunks, written
 
-#: Outside main content, a hash is template if so many bodies of a host hold it and this share of them; in main content, this share.
+#: Outside main content, a subtree is template if so many bodies of a host hold it and this share of them; in main content, the second share.
 LEAST_PAGES, SHARE, INNER_SHARE = 5, 0.005, 0.5
 #: Hashes of template that are sent to all tasks at most (8 bytes each); beyond, pages are joined with theirs. Both give the same.
 SENT = 200_000
@@ -45,6 +47,7 @@ ENDS_P = BLOCKS - frozenset("body html caption dd dt tbody td tfoot th thead tr
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPES = frozenset("ul ol dl table body html article main section div nav aside footer header form td th".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar toolbar".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 #: Blocks that may be template within main content.
 GROUPS = frozenset("address aside blockquote center details div dl figure fieldset footer form header hgroup menu nav ol p pre section table ul".split())
 #: Parts of class and id names that mark what is not main text.
@@ -57,27 +60,26 @@ ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+
 
 
 class Node:
-    __slots__ = ("tag", "drop", "named", "main", "within", "mark", "parts", "keys")
+    __slots__ = ("tag", "drop", "named", "main", "within", "parts", "key")
 
-    def __init__(self, tag: str, drop: bool = False, named: bool = False, main: bool = False, within: bool = False, mark: str = ""):
-        self.tag, self.drop, self.named, self.main, self.within, self.mark = tag, drop, named, main, within, mark
+    def __init__(self, tag: str, drop: bool = False, named: bool = False, main: bool = False, within: bool = False):
+        self.tag, self.drop, self.named, self.main, self.within = tag, drop, named, main, within
         self.parts: list[str | Node] = []
-        self.keys: tuple[int, ...] = ()
+        self.key: int | None = None
 
 
-def judged(tag: str, attributes: str, within_main: bool) -> tuple[bool, bool, str]:
-    """Whether the markup says that an element is no main text, whether its names do, and its class and id."""
+def judged(tag: str, attributes: str, within_main: bool) -> tuple[bool, bool]:
+    """Whether the markup says that an element is no main text, and whether its names do."""
     if tag in DROPPED or tag == "header" and not within_main:
-        return True, False, ""
+        return True, False
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False, False, ""
+        return False, False
     own = {k.lower(): html.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(attributes)}
-    mark = f"{own.get('class', '')}#{own.get('id', '')}"
     if "hidden" in own or own.get("aria-hidden") == "true" or own.get("role", "").lower() in ROLES or HIDDEN.search(own.get("style", "")):
-        return True, False, mark
+        return True, False
     if tag in ("html", "body", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "b", "i", "em", "strong") or tag == "article" and not within_main:
-        return False, False, mark
-    return False, bool(NAMED.search(own.get("class", "")) or NAMED.search(own.get("id", ""))), mark
+        return False, False
+    return False, bool(NAMED.search(own.get("class", "")) or NAMED.search(own.get("id", "")))
 
 
 def parsed(page: str) -> Node:
@@ -123,8 +125,8 @@ def parsed(page: str) -> Node:
             elif stack[k].tag in SCOPES:
                 break
         attributes = m[3] or m[6] or ""
-        drop, named, mark = judged(tag, attributes, mains > 0)
-        node = Node(tag, drop, named, tag in ("article", "main") or 'role="main"' in attributes, mains > 0, mark)
+        drop, named = judged(tag, attributes, mains > 0)
+        node = Node(tag, drop, named, tag in ("article", "main") or 'role="main"' in attributes, mains > 0)
         stack[-1].parts.append(node)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS and tag not in RAW:
             continue
@@ -144,6 +146,15 @@ def digest(*parts: object) -> int:
     return xxhash.xxh64_intdigest("\x00".join(map(str, parts))) >> 1
 
 
+def nodes_of(root: Node) -> list[Node]:
+    """All nodes, parents first. Without recursion."""
+    order, todo = [], [root]
+    while todo:
+        order.append(n := todo.pop())
+        todo += [p for p in n.parts if isinstance(p, Node)]
+    return order
+
+
 def around_main(order: list[Node]) -> set[int]:
     """Of all nodes, parents first: the main elements and those around them, by id()."""
     holds: set[int] = set()
@@ -153,42 +164,55 @@ def around_main(order: list[Node]) -> set[int]:
     return holds
 
 
+def gathered(parts: list[str | Node], holds: set[int]) -> list[str | Node]:
+    """Parts of an element around main content: texts and inline elements that follow each other become one node."""
+    out: list[str | Node] = []
+    run = None
+    for p in parts:
+        if isinstance(p, Node) and (p.tag in BLOCKS or id(p) in holds or p.drop or p.named):
+            run = None
+        elif run is None and isinstance(p, str) and not p.strip():
+            pass
+        else:
+            if run is None:
+                out.append(run := Node("#run"))
+            run.parts.append(p)
+            continue
+        out.append(p)
+    return out
+
+
 def hashed(root: Node, host: str) -> tuple[dict[int, bool], int]:
-    """The page's hashes (each with its host; true for those in main content) and that of its body. Without recursion.
+    """The page's subtree hashes (each with its host; true for those in main content) and that of its body.
 
-    Sets the keys of nodes: that of the subtree, and outside main content that of the place. The first of the root is that
-    of the host itself, which all its pages hold.
+    Sets the keys of nodes that may be template. One hash is that of the host itself, which all its pages hold.
     """
-    order, todo, whole, places, inline = [], [(root, 0)], {}, {}, {}
-    while todo:
-        n, above = todo.pop()
-        order.append(n)
-        if not (n.within or n.main):
-            places[id(n)] = above = digest(host, above, n.tag, DIGITS.sub("0", n.mark))
-        for p in n.parts:
-            if isinstance(p, Node):
-                todo.append((p, above))
-                if p.tag not in BLOCKS and n is not root:
-                    inline[id(p)] = id(n)
+    order = nodes_of(root)
     holds = around_main(order)
-    has_main = bool(holds)
-    found: dict[int, bool] = {}
+    for n in order if holds else ():
+        if id(n) in holds and not (n.within or n.main):
+            n.parts = gathered(n.parts, holds)
+    order = nodes_of(root) if holds else order
+    inline = {id(p): id(n) for n in order if n is not root for p in n.parts if isinstance(p, Node) and p.tag not in BLOCKS}
+    whole: dict[int, int] = {}
+    prose: set[int] = set()
+    found = {digest(host, "host"): False}
     for n in reversed(order):
-        parts = [str(whole[id(p)]) if isinstance(p, Node) else " ".join(p.split()) for p in n.parts]
         inner = n.within or n.main
+        below = [p for p in n.parts if isinstance(p, str) or not (p.drop or p.named)]
+        if n.tag in PROSE or any(isinstance(p, Node) and id(p) in prose for p in below):
+            prose.add(id(n))
+        parts = [str(whole[id(p)]) if isinstance(p, Node) else " ".join(p.split()) for p in below]
+        if holds and not inner and id(n) not in prose:
+            parts = [p if isinstance(q, Node) else DIGITS.sub("0", p) for p, q in zip(parts, below, strict=True)]
         whole[id(n)] = digest(host, inner, n.tag, *parts)
-        if id(n) in holds:  # never template as a whole
+        if id(n) in holds or n.drop or n.named:  # never template as a whole, or gone without it
             continue
-        if not inner and id(n) in inline and inline[id(n)] not in holds:  # goes with the block that it is in
+        if inner and n.tag not in GROUPS or not inner and id(n) in inline and inline[id(n)] not in holds:  # goes with the block that it is in
             continue
-        if not inner:
-            n.keys = (whole[id(n)], places[id(n)]) if has_main else (whole[id(n)],)
-        elif n.tag in GROUPS:
-            n.keys = (whole[id(n)],)
-        found |= dict.fromkeys(n.keys, inner)
-    root.keys = (digest(host, "host"),)
-    found[root.keys[0]] = False
-    body = digest(*sorted(whole[id(n)] for n in order if n.main and not n.within)) if has_main else whole[id(root)]
+        n.key = whole[id(n)]
+        found[n.key] = inner
+    body = digest(*sorted(whole[id(n)] for n in order if n.main and not n.within)) if holds else whole[id(root)]
     return found, body
 
 
@@ -228,23 +252,16 @@ def blocks_of(root: Node, cut: set[int]) -> list[tuple[str, bool]]:
 def text_of(root: Node, template: set[int] | frozenset[int]) -> str:
     """Blocks of main text in page order, joined by one space; root is hashed, template holds its recurring hashes."""
     outer, inner = set(), set()
-    counted = root.keys[0] in template
-    nodes, todo = [], [root]
-    while todo:
-        nodes.append(n := todo.pop())
-        todo += [p for p in n.parts if isinstance(p, Node)]
+    nodes = nodes_of(root)
     holds = around_main(nodes)
     for n in nodes:
-        within = n.within or n.main
         if id(n) in holds:
             if n.drop and n.tag != "form":
                 outer.add(id(n))
-            if not within:  # loose text beside main content is none
-                n.parts = [p for p in n.parts if isinstance(p, Node)]
-        elif n.drop or n.named and (within or not holds) or holds and not within and not counted:
+        elif n.drop or n.named:
             outer.add(id(n))
-        elif n is not root and any(k in template for k in n.keys):
-            (inner if within else outer).add(id(n))
+        elif n is not root and n.key in template:
+            (inner if n.within or n.main else outer).add(id(n))
     blocks = blocks_of(root, outer)
     if inner:
         less = blocks_of(root, outer | inner)
@@ -286,7 +303,7 @@ def template_of(hashes: DataFrame) -> DataFrame:
     counts = written(each.groupBy("host", "h", "inner").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_PAGES), "subtrees")
     per_host = counts.filter("h = host").select("host", F.col("n").alias("all"))
     share = F.when(F.col("inner"), F.lit(INNER_SHARE)).otherwise(F.lit(SHARE))
-    return counts.join(per_host, "host").filter(F.col("n") >= share * F.col("all")).select("h", "n")
+    return counts.filter("h <> host").join(per_host, "host").filter(F.col("n") >= share * F.col("all")).select("h", "n")
 
 
 def extracted(pages: DataFrame, sent: int = SENT) -> DataFrame:
