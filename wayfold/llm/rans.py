@@ -57,7 +57,8 @@ class Table:
     def __init__(self, symbols: np.ndarray, freq: np.ndarray):
         self.symbols, self.freq = symbols.astype(np.int64), freq.astype(np.uint32)
         self.start = (np.cumsum(freq) - freq).astype(np.uint32)
-        self.slot = np.repeat(np.arange(len(freq)), freq).astype(np.int32)
+        self.slot = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
+        self.wide_freq, self.wide_start = self.freq.astype(np.uint64), self.start.astype(np.uint64)
 
     def encode(self, index: np.ndarray) -> bytes:
         """index: places of symbols in the table. Lane k codes every LANES-th from k on, from the last to the first."""
@@ -67,7 +68,7 @@ class Table:
         out: list[np.ndarray] = []
         for r in range(rows - 1, -1, -1):
             own = index[r * LANES : (r + 1) * LANES]
-            f, s, x = self.freq[own].astype(np.uint64), self.start[own].astype(np.uint64), state[: len(own)]
+            f, s, x = self.wide_freq[own], self.wide_start[own], state[: len(own)]
             full = x >= f << np.uint64(63 - SCALE_BITS)
             if full.any():
                 out.append((x[full] & np.uint64(0xFFFFFFFF)).astype("<u4")[::-1])
@@ -88,7 +89,7 @@ class Table:
             low = x & mask
             i = self.slot[low]
             out[r * LANES : r * LANES + own] = i
-            x = self.freq[i].astype(np.uint64) * (x >> np.uint64(SCALE_BITS)) + low - self.start[i]
+            x = self.wide_freq[i] * (x >> np.uint64(SCALE_BITS)) + low - self.wide_start[i]
             need = x < LOW
             k = int(need.sum())
             if k:
@@ -113,8 +114,12 @@ def runs(sizes: list[int], block: int) -> list[tuple[int, int, int]]:
 
 def file_bytes(docs: list, ids: np.ndarray, sizes: list[int], block: int = BLOCK) -> tuple[bytes, int, list[dict]]:
     """A file of documents (their keys as text or None) with so many ids each, where its blocks start, and its units' places."""
-    symbols, index, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    table = Table(symbols, scaled(counts))
+    counts = np.bincount(ids)  # ids are small numbers, so nothing is sorted
+    symbols = np.flatnonzero(counts)
+    place = np.zeros(len(counts), dtype=np.int32)
+    place[symbols] = np.arange(len(symbols), dtype=np.int32)
+    index = place[ids]
+    table = Table(symbols, scaled(counts[symbols]))
     units, parts, at, first_id = [], [], 0, 0
     for first, n_docs, n in runs(sizes, block):
         own, begin = [], at
