@@ -83,6 +83,14 @@ def test_plain_words_speak_against_a_pattern(spark):
     assert sorted(map(tuple, pii.plain_counts(docs, able, 7).collect())) == sorted(map(tuple, pii.plain_counts(docs, able).collect()))  # in blocks
 
 
+def test_letters_that_lower_to_two_do_not_shift_places():
+    text = "\u0130\u0130\u0130\u0130 write to someone@mail.example about the \u0130stanbul office today"
+    start = text.index("someone")
+    spans = [("email", start, start + len("someone@mail.example"))]
+    own, plain = (pii.plain_places(t, spans, pii.Tokens()).tolist() for t in (text, text.replace("\u0130", "i")))
+    assert own == plain != pii.plain_places(text, [], pii.Tokens()).tolist()
+
+
 def test_redaction_of_discovered_ones(spark, table):
     rows, docs = table
     one, other = ({r.doc_id: r.text for r in pii.redacted(docs, sent).collect()} for sent in (pii.SENT, 0))

@@ -168,10 +168,15 @@ def mixed(way: int, a, b):
 FULL = (1 << 64) - 1
 
 
+def lowered(text: str) -> str:
+    """Lower case with every code point at its place: a capital I with a dot, the one that would become two, is a plain i."""
+    return text.replace("\u0130", "i").lower()
+
+
 def contexts(text: str, start: int, end: int, memory: Tokens) -> list[int]:
     """Lexical patterns of a span."""
-    before = [memory[t] for t in TOKEN.findall(text[max(0, start - BESIDE) : start].lower())[-2:]]
-    after = [memory[t] for t in TOKEN.findall(text[end : end + BESIDE].lower())[:2]]
+    before = [memory[t] for t in TOKEN.findall(lowered(text[max(0, start - BESIDE) : start]))[-2:]]
+    after = [memory[t] for t in TOKEN.findall(lowered(text[end : end + BESIDE]))[:2]]
     out = []
     if len(before) == 2:
         out.append(mixed(1, before[0], before[1]))
@@ -186,11 +191,11 @@ def plain_places(text: str, spans: list[tuple[str, int, int]], memory: Tokens) -
     """Patterns around the plain words of a text: words without digits that lie in no span."""
     if len(text) < 2:
         return np.zeros(0, dtype=np.int64)
-    found = TOKEN.findall(text.lower())
+    found = TOKEN.findall(low := lowered(text))
     t = np.fromiter(map(memory.__getitem__, found), np.uint64, len(found))
     plain = (t & 1).astype(bool)
     if spans and len(found):
-        starts = np.array([m.start() for m in TOKEN.finditer(text.lower())])
+        starts = np.array([m.start() for m in TOKEN.finditer(low)])
         ordered = sorted((a, b) for _, a, b in spans)
         at = np.searchsorted(np.array([a for a, _ in ordered]), starts, side="right") - 1
         plain &= (at < 0) | (starts >= np.maximum.accumulate(np.array([b for _, b in ordered]))[at])
