@@ -158,6 +158,16 @@ def slotted(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[slot >> 6] >> (slot & 63)) & 1 == 1
 
 
+def in_slots(column: str, bits: np.ndarray) -> Column:
+    """Column: slotted() of a long column without nulls."""
+
+    @F.arrow_udf("boolean")
+    def among(values: pa.Array) -> pa.Array:
+        return pa.array(slotted(bits, values.to_numpy()))
+
+    return among(F.col(column))
+
+
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(f, schema)
 

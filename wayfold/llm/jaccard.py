@@ -6,9 +6,8 @@ LEAST percent of what they hold together. Equal sets are one node. Candidates co
 * SimHash with covering tables (operator 6, here over the shingles of the sets' width): every pair within RADIUS bits. This
   joins most copies, and what it joined is not compared again.
 * Sets may be alike enough and still lie farther apart in bits (up to 13 of 64 were seen at 80 percent; covering tables for
-  that need keys of a few bits, whose buckets grow with the square of the corpus). The rest is found by a prefix filter:
-  whatever order all hashes are put in, two such sets meet in the first n - ceil(LEAST % of n) + 1 hashes of each. The order
-  puts hashes that many texts hold last, as one text in GUESS shows; a wrong guess costs time, never a pair.
+  that need keys of a few bits, whose buckets grow with the square of the corpus). The rest is found by parts of the sets: two
+  such sets hold the same hashes in one of so many ranges of values (`wayfold/llm/shingles.py`).
 
 Each candidate pair passes two exact tests: parities of the sets' hashes in BITS places differ in no more places than the
 sets may; then the sets themselves, made anew from the texts of these pairs only. Buckets are first compared with one member,
@@ -27,123 +26,35 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfold.llm import simhash
-from wayfold.llm.common import chunks, folded, unfolded, written
-from wayfold.llm.simhash import components, fingerprint, shingle_hashes
+from wayfold.llm.common import folded, in_slots, slots_of, unfolded, written
+from wayfold.llm.shingles import close, in_shared_parts, key_of, lists, parities, shingle_set, texts_in, verified
+from wayfold.llm.simhash import components, fingerprint
 
 #: Words of a shingle, percent that sets share, and bits of the SimHash that candidates of the first way differ in.
 WIDTH, LEAST, RADIUS = 5, 80, 4
-#: A hash is common if so many of the texts that are looked at for it hold it in their prefix; so many are sent to all tasks at most (8 bytes each).
-GUESS, COMMON, SENT = 8, 3, 1_000_000
-#: Places of the parities; members of a bucket in a block.
-BITS, BLOCK = 1024, 2048
-
-
-def prefix_size(n: int, least: int = LEAST) -> int:
-    return n - -(-n * least // 100) + 1 if n else 0
-
-
-def shingle_set(text: str, width: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, width).view(np.int64))
-
-
-def key_of(own: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63)
-
-
-def parities(own: np.ndarray) -> np.ndarray:
-    """For each of BITS places, whether an odd number of hashes fall there, as longs."""
-    odd = np.bincount((own.view(np.uint64) >> np.uint64(7)) % np.uint64(BITS), minlength=BITS).astype(np.uint8) & 1
-    return np.packbits(odd, bitorder="little").view(np.int64)
+#: Members of a bucket in a block.
+BLOCK = 2048
 
 
 def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, th (a hash of the text), key (a hash of the set), n (its size), fp (the SimHash) and its parities."""
+    """doc_id, th (a hash of the text), key (a hash of the set), n (its size), fp (the SimHash of the set) and its parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in chunks(batch):
-                keys, sizes, prints, bits = [], [], [], []
-                for t in texts:
-                    hashes = shingle_hashes(t, width)
-                    own = np.unique(hashes.view(np.int64))
-                    keys.append(key_of(own))
-                    sizes.append(len(own))
-                    prints.append(fingerprint(hashes))
-                    bits.append(parities(own))
-                flat = pa.array(np.concatenate(bits))
-                places = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * (BITS // 64)), flat)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), places], ["doc_id", "th", "key", "n", "fp", "bits"])
+            for part, texts in texts_in(batch):
+                sets = [shingle_set(t, width) for t in texts]
+                prints = np.array([fingerprint(s.view(np.uint64)) for s in sets], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array([key_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(prints), lists([parities(s) for s in sets], pa.int64())], ["doc_id", "th", "key", "n", "fp", "bits"])
 
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, key long, n int, fp long, bits array<long>")
 
 
-def prefixes(texts: DataFrame, common: np.ndarray, width: int = WIDTH, least: int = LEAST) -> DataFrame:
-    """key, n and h for each hash of a set's prefix; common: common hashes, the most common last."""
-    by_value = np.argsort(common)
-    values = common[by_value]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, own in chunks(batch):
-                keys, sizes, hashes = [], [], []
-                for t in own:
-                    s = shingle_set(t, width)
-                    key, n = key_of(s), len(s)
-                    if len(values) and n:
-                        at = np.minimum(np.searchsorted(values, s), len(values) - 1)
-                        s = s[np.argsort(np.where(values[at] == s, by_value[at], -1), kind="stable")]
-                    first = s[: prefix_size(n, least)]
-                    keys.append(np.full(len(first), key, dtype=np.int64))
-                    sizes.append(np.full(len(first), n, dtype=np.int32))
-                    hashes.append(first)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(hashes))], ["key", "n", "h"])
-
-    return texts.select("text").mapInArrow(run, "key long, n int, h long")
-
-
-def sets_of(texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """key and own, the set, of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, own in chunks(batch):
-                sets = [shingle_set(t, width) for t in own]
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([key_of(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["key", "own"])
-
-    return texts.select("text").mapInArrow(run, "key long, own array<long>")
-
-
-def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
-    """The pairs (a, b) of keys whose whole sets share enough. docs: the texts, nodes: one row for each key."""
-    for end in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("key").alias(end), F.col("n").alias(f"n_{end}"), F.col("th").alias(f"th_{end}"), F.col("bits").alias(f"bits_{end}")), end)
-    both = F.col("n_a") + F.col("n_b")
-    differ = F.expr("aggregate(zip_with(bits_a, bits_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-    # least <= 100 * shared / (both - shared), so at least shared = ceil(least * both / (100 + least)), and the rest differs
-    close = pairs.filter(differ <= both - 2 * F.ceil(least * both / (100 + least)))
-    close = written(close.select("a", "b", "th_a", "th_b").withColumn("pair", F.monotonically_increasing_id()), "close-pairs")
-    asked = close.select(F.explode(F.array("th_a", "th_b")).alias("th")).distinct()
-    texts = docs.select("text", F.xxhash64("text").alias("th")).join(asked, "th", "left_semi").dropDuplicates(["th"])
-    ends = close.select("pair", F.explode(F.array("a", "b")).alias("key"))
-    met = ends.join(sets_of(texts, width), "key").groupBy("pair").agg(F.collect_list("own").alias("sets")).filter("size(sets) = 2")
-    shared = F.size(F.array_intersect(F.col("sets")[0], F.col("sets")[1]))
-    met = met.filter(100 * shared >= least * (F.size(F.col("sets")[0]) + F.size(F.col("sets")[1]) - shared)).select("pair")
-    return written(close.join(met, "pair", "left_semi").select("a", "b"), "alike")
-
-
-def fit(n: str | Column, m: str | Column, least: int = LEAST) -> Column:
-    """Sets of sizes n and m may share enough."""
-    return 100 * F.least(n, m) >= least * F.greatest(n, m)
-
-
 def rooted(members: DataFrame, links: DataFrame) -> DataFrame:
     """members of buckets that hold more than one component by links, with the root of theirs."""
     roots = components(links).withColumnRenamed("node", "key")
@@ -204,21 +115,6 @@ def compared(members: DataFrame, nodes: DataFrame, likeliest: bool, least: int =
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def most_common(counted: DataFrame) -> np.ndarray:
-    """At most SENT hashes of the greatest counts, in ascending order of count."""
-    left, least = SENT, None
-    for r in counted.groupBy("c").agg(F.count("*").alias("hashes")).orderBy(F.desc("c")).collect():
-        left -= r.hashes
-        if left < 0:
-            break
-        least = r.c
-    if least is None:
-        return np.zeros(0, dtype=np.int64)
-    got = counted.filter(F.col("c") >= least).toArrow()
-    h, c = got.column("h").to_numpy(), got.column("c").to_numpy()
-    return h[np.lexsort((h, c))]
-
-
 def simhash_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Pairs (a, b) of keys that connect what lies within the radius: by the links of operator 6, and those of one fingerprint with the first of them."""
     one = nodes.groupBy("fp").agg(F.min("key").alias("own"))
@@ -232,20 +128,17 @@ def simhash_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 def links(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
     """Links (a, b) of keys that connect exactly what pairs that share enough connect."""
     full = nodes.filter("n > 0")
-    found = alike(simhash_pairs(full), nodes, docs, width, least)
-    seen = docs.filter(F.pmod(F.xxhash64("text"), F.lit(GUESS)) == 0)
-    counted = written(prefixes(seen, np.zeros(0, dtype=np.int64), width, least).distinct().groupBy("h").agg(F.count("*").alias("c")).filter(F.col("c") >= COMMON), "common")
-    rows = prefixes(docs, most_common(counted), width, least).repartition("h").distinct()
-    shared = rows.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
-    now = written(rows.join(shared, "h", "left_semi"), "members")
-    now = rooted(now, found)
-    one = now.groupBy("h").agg(F.min(F.struct(F.xxhash64("key"), "key", "n", "root")).alias("one"))
-    pairs = now.join(one, "h").filter((F.col("root") != F.col("one.root")) & fit("n", F.col("one.n"), least))
+    found = verified(close(simhash_pairs(full), full, least), full, docs, width, least)
+    now = rooted(in_shared_parts(docs, width, least).join(full.select("key", "n"), "key"), found)
+    one = now.groupBy("h").agg(F.min(F.struct(F.xxhash64("key"), "key", "root")).alias("one"))
+    pairs = now.join(one, "h").filter(F.col("root") != F.col("one.root"))
     pairs = pairs.select(F.least("key", "one.key").alias("a"), F.greatest("key", "one.key").alias("b")).distinct()
-    found = found.unionByName(alike(pairs, nodes, docs, width, least))
+    found = found.unionByName(verified(close(pairs, full, least), full, docs, width, least))
     for likeliest in (True, False):
         now = rooted(now.select("h", "key", "n"), found)
-        found = found.unionByName(alike(compared(now, nodes, likeliest, least), nodes, docs, width, least))
+        if now.isEmpty():
+            break
+        found = found.unionByName(verified(compared(now, full, likeliest, least), full, docs, width, least))
     return found
 
 
@@ -264,7 +157,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> Dat
     """One row of each group of near duplicates: that of the smallest doc_id, then of the least text hash; columns as in docs.
 
     Rows are told apart by doc_id and text, so different texts of one doc_id stay, and rows without a doc_id, which come
-    last, are deduplicated too. Texts are not shuffled but for repeated rows: the others only drop out by a join with what goes.
+    last, are deduplicated too. Only texts whose hash may be among those of rows that go are shuffled; a filter of fixed size tells the others.
     """
     names, own = docs.columns, ["doc_id", "text"]
     each = near_duplicates(docs, width, least).groupBy("doc_id", "th", "component").agg(F.count("*").alias("n"))
@@ -273,9 +166,11 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> Dat
     best = each.groupBy("component").agg(F.min(order).alias("best"))
     marked = each.join(best, "component").withColumn("stays", F.expr("doc_id <=> best.doc_id AND th = best.th"))
     goes = written(marked.filter("NOT stays OR n > 1").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("stays").alias("_once")), "goes")
-    rows = folded(docs, own).withColumn("_x", F.xxhash64("text"))
+    every = folded(docs, own).withColumn("_x", F.xxhash64("text"))
+    may_go = in_slots("_x", slots_of(goes, "_th"))
+    rows = every.filter(may_go)
     same = F.expr("doc_id <=> _id AND _x = _th")
     once = rows.join(goes.filter("_once"), same, "left_semi")
     first = W.partitionBy("doc_id", "_x").orderBy(F.lit(0))
     once = once.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
-    return unfolded(rows.join(goes, same, "left_anti").unionByName(once), names, own)
+    return unfolded(every.filter(~may_go).unionByName(rows.join(goes, same, "left_anti")).unionByName(once), names, own)

@@ -1,25 +1,16 @@
-"""Operator 11: documents whose sets of word shingles are alike, by prefix filters under several global token orders.
+"""Operator 11: documents whose sets of word shingles are alike, by first tokens under several orders and by shared parts of sets.
 
 A text (A-Z lower-cased, cut at ASCII white space) has the set of its distinct shingles of `width` words; with fewer words
 the whole sequence is one, with none the set is empty and links with nothing. Two texts link if their sets share at least
 `least` percent of their union. Texts of equal sets are one node.
 
-Two such sets share a token among the first n - ceil(least % of n) + 1 of each, whatever order all tokens are put in: an
-order is a filter. ORDERS orders are used; each puts tokens that many texts hold last (by powers of two of their counts) and
-tokens of like counts by a hash of its own, so a token that two unlike texts share by chance comes early under few of them.
-Counts come from all texts, a block of tokens at a time; a token that is rare in each block counts as rare, which costs time,
-never a link.
-
-1. Nodes that share the very first token of an order are compared with one node of that bucket; near copies mostly are joined
-   here, so that later buckets hold few components.
-2. Order by order, the prefixes of the nodes that are left are put in buckets. A bucket of one component says nothing new, and
-   a node without a bucket of two has all its links: it is left out of the orders that follow.
-3. In the last order's buckets, members outside the largest component are compared with all by the parities of their sets
-   (blocks of bounded size). Of the pairs that may be alike first only a forest is taken that would connect them all, the
-   closest pairs first; then, where members are still apart, all. A pair must share a prefix token under every other order
-   too. What is left is compared by its whole sets.
-
-Each pair ships one set: the node with more pairs is sent once for each STRIP of its partners. Tokens are 64-bit hashes.
+1. Nodes that share the very first token under one of ORDERS orders of all tokens are compared with one node of that bucket;
+   near copies mostly are joined here, so that later buckets hold few components.
+2. Two alike sets share a part of theirs, whatever they are (`wayfold/llm/shingles.py` has the proof); a set that has too few
+   parts brings its prefix as well. Buckets of the parts that hold one component say nothing new.
+3. In the others, members outside the largest component are compared with all by the parities of their sets (blocks of
+   bounded size). Of the pairs that may be alike first only a forest is taken that would connect them all, the closest pairs
+   first; then, where members are still apart, all. What is left is compared by its whole sets.
 
 Null and blank texts have no shingles and are components of their own. Rows without a doc_id get a component like others; the
 smallest doc_id leaves nulls out, so it is null only where no row of the component has one. Repeated rows each give a row, an
@@ -28,87 +19,22 @@ empty table none; other columns do not matter. A very long text is one array of
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import CHUNK_CHARS, slots_of, slotted, written
-from wayfold.llm.jaccard import compared, fit, group_pairs, key_of, parities, prefix_size, rooted
+from wayfold.llm.common import written
+from wayfold.llm.jaccard import compared, group_pairs, rooted
+from wayfold.llm.shingles import close, in_shared_parts, key_of, lists, parities, prefix_size, shingle_set, texts_in, verified
 from wayfold.llm.simhash import components
 
 #: Words of a shingle, and percent of the union that linked sets share.
 WIDTH, LEAST = 4, 85
 #: Odd factors: a token's place in an order is its product with the order's factor, modulo 2^64.
 ORDERS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: Tokens that are counted together; a token is common if so many sets of a block hold it; so many common tokens are sent to all tasks at most (16 bytes each).
-COUNTED, COMMON, SENT = 1 << 20, 3, 1 << 18
-#: Partners that a node's set is sent to at a time.
-STRIP = 256
-#: Set keys that a task remembers having written.
-SEEN = 1 << 20
-
-#: Bytes of a text that are hashed at a time; a shingle of more than half of that is hashed alone.
-BLOCK = 1 << 17
-
-P, Q = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * P
-    return h ^ (h >> np.uint64(29))
-
-
-#: A number for each byte, and powers of an odd number and of its inverse: a shingle's hash is the sum of its bytes' numbers times the powers of their places in it.
-BYTES = mixed(mixed(np.arange(1, 257, dtype=np.uint64) * Q))
-BASE = 0x5851F42D4C957F2B
-POWERS = np.concatenate([[np.uint64(1)], np.cumprod(np.full(BLOCK, BASE, dtype=np.uint64))])
-INVERSE = np.concatenate([[np.uint64(1)], np.cumprod(np.full(BLOCK, pow(BASE, -1, 1 << 64), dtype=np.uint64))])
-
-
-def distinct(h: np.ndarray) -> np.ndarray:
-    """Ascending distinct values, as signed; by sorting, which here is several times as fast as numpy's own unique()."""
-    h = np.sort(h.view(np.int64))
-    first = np.ones(len(h), dtype=bool)
-    np.not_equal(h[1:], h[:-1], out=first[1:])
-    return h[first]
-
-
-def hashed(line: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the parts of at most BLOCK bytes, by differences of running sums."""
-    sums = np.zeros(len(line) + 1, dtype=np.uint64)
-    np.cumsum(BYTES[line] * POWERS[: len(line)], out=sums[1:])
-    return mixed(mixed((sums[ends] - sums[starts]) * INVERSE[starts] + (ends - starts).astype(np.uint64) * Q))
-
-
-def shingle_set(text: bytes, width: int) -> np.ndarray:
-    """Ascending distinct hashes (as signed) of the text's shingles, words joined by one space."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.int64)
-    joined = b" ".join(words)
-    line = np.frombuffer(joined, dtype=np.uint8)
-    ends = np.append(np.flatnonzero(line == 32), len(line))
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    wide = min(width, len(ends))
-    starts, ends = starts[: len(ends) - wide + 1], ends[wide - 1 :]
-    if len(line) <= BLOCK // 2:
-        return distinct(hashed(line, starts, ends))
-    out = []
-    alone = ends - starts > BLOCK // 2
-    for i in np.flatnonzero(alone).tolist():
-        out.append(np.array([xxhash.xxh64_intdigest(joined[starts[i] : ends[i]], 42)], dtype=np.uint64))
-    starts, ends = starts[~alone], ends[~alone]
-    for at in range(0, len(line), BLOCK // 2):
-        i, j = np.searchsorted(starts, [at, at + BLOCK // 2])
-        if i < j:
-            out.append(hashed(line[at : at + BLOCK], starts[i:j] - at, ends[i:j] - at))
-    return distinct(np.concatenate(out))
 
 
 def places(tokens: np.ndarray, factor: int) -> np.ndarray:
@@ -130,153 +56,25 @@ def prefixes_of(own: np.ndarray, common: np.ndarray, powers: np.ndarray, least:
     return out
 
 
-def texts_in(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of a batch with their texts as bytes; null texts are empty."""
-    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-    start = 0
-    while start < len(sizes):
-        stop = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), CHUNK_CHARS, side="right")))
-        part = batch.slice(start, stop - start)
-        yield part, [t or b"" for t in part.column("text").to_pylist()]
-        start = stop
-
-
-def lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else [], kind))
+def prefix_of(own: np.ndarray, least: int) -> np.ndarray:
+    """A set's prefix under the first order."""
+    none = np.zeros(0, dtype=np.int64)
+    return prefixes_of(own, none, none, least)[0]
 
 
 def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, th (hash of the text), key (hash of the set), n (its size), parities and the first token under each order; rows of `tokens` and `counts` alone give a block's common tokens."""
+    """doc_id, th (hash of the text), key (hash of the set), n (its size), parities and the first token under each order."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, keys, held = [], set(), 0
-        names, ids = ["doc_id", "th", "key", "n", "bits", "firsts", "tokens", "counts"], None
-
-        def counted() -> pa.RecordBatch:
-            h = np.sort(np.concatenate([np.zeros(0, dtype=np.int64), *block]))
-            starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), dtype=bool), h[1:] != h[:-1]]))
-            c = np.diff(np.append(starts, len(h)))
-            h, c = h[starts[c >= COMMON]], c[c >= COMMON]
-            none = [pa.nulls(1, t) for t in (ids, pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays([*none, lists([h], pa.int64()), lists([c], pa.int64())], names)
-
         for batch in batches:
-            ids = batch.column("doc_id").type
             for part, texts in texts_in(batch):
                 sets = [shingle_set(t, width) for t in texts]
-                own = [key_of(s) for s in sets]
                 firsts = [np.array([s[places(s, f).argmin()] for f in ORDERS], dtype=np.int64) if len(s) else np.zeros(len(ORDERS), dtype=np.int64) for s in sets]
-                rest = [pa.nulls(len(sets), pa.list_(pa.int64()))] * 2
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(own, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), lists([parities(s) for s in sets], pa.int64()), lists(firsts, pa.int64()), *rest], names)
-                for k, s in zip(own, sets, strict=True):
-                    if k not in keys:
-                        keys.add(k)
-                        block.append(s)
-                        held += len(s)
-                    if held >= COUNTED:
-                        yield counted()
-                        block, keys, held = [], set(), 0
-        if block:
-            yield counted()
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array([key_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), lists([parities(s) for s in sets], pa.int64()), lists(firsts, pa.int64())], ["doc_id", "th", "key", "n", "bits", "firsts"])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, th long, key long, n int, bits array<long>, firsts array<long>, tokens array<long>, counts array<long>")
-
-
-def common_tokens(marked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending common tokens, SENT of the greatest counts at most, and the powers of two of their counts."""
-    pairs = marked.filter("tokens IS NOT NULL").select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).select(F.col("x.tokens").alias("h"), F.col("x.counts").alias("c"))
-    by = pairs.groupBy("h").agg(F.floor(F.log2(F.sum("c").cast("double"))).cast("int").alias("p"))
-    by = written(by, "common-tokens")
-    left, lowest = SENT, None
-    for r in by.groupBy("p").count().orderBy(F.desc("p")).collect():
-        left -= r["count"]
-        if left < 0:
-            break
-        lowest = r.p
-    if lowest is None:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    got = by.filter(F.col("p") >= lowest).toArrow()
-    h, p = got.column("h").to_numpy(), got.column("p").to_numpy().astype(np.int64)
-    order = np.argsort(h)
-    return h[order], p[order]
-
-
-def made(docs: DataFrame, wanted: np.ndarray | None, make: Callable[[np.ndarray], list[np.ndarray]], width: int, names: list[str]) -> DataFrame:
-    """key and make(set), an array for each of the names, for the texts whose hash may be among `wanted`, at most once a key and task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            if wanted is not None:
-                batch = batch.filter(pa.array(slotted(wanted, batch.column("th").to_numpy())))
-            for _, texts in texts_in(batch):
-                keys, out = [], []
-                for t in texts:
-                    s = shingle_set(t, width)
-                    k = key_of(s)
-                    if k not in seen:
-                        if len(seen) >= SEEN:
-                            seen.clear()
-                        seen.add(k)
-                        keys.append(k)
-                        out.append(make(s))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *[lists([o[i] for o in out], pa.int64()) for i in range(len(names))]], ["key", *names])
-
-    return docs.select(F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "key long, " + ", ".join(f"{n} array<long>" for n in names))
-
-
-def with_ends(pairs: DataFrame, nodes: DataFrame, names: list[str]) -> DataFrame:
-    """pairs (a, b) with columns of both nodes, as name_a and name_b."""
-    for end in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("key").alias(end), *[F.col(n).alias(f"{n}_{end}") for n in names]), end)
-    return pairs
-
-
-def close(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and parities allow a link."""
-    both = F.col("n_a") + F.col("n_b")
-    differ = F.expr("aggregate(zip_with(bits_a, bits_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-    got = with_ends(pairs, nodes, ["n", "bits"]).filter(fit("n_a", F.col("n_b"), least))
-    return got.filter(differ <= both - 2 * F.ceil(least * both / (100 + least))).select("a", "b")
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, least: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets share enough. The end with more pairs is the centre: its set meets its partners' in strips."""
-    pairs = written(pairs, "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("d"))
-    rows = with_ends(pairs, ends, ["d"])
-    centre = F.expr("d_a > d_b OR d_a = d_b AND a < b")
-    rows = rows.select(F.when(centre, F.col("a")).otherwise(F.col("b")).alias("centre"), F.when(centre, F.col("b")).otherwise(F.col("a")).alias("key"), F.ceil(F.greatest("d_a", "d_b") / STRIP).cast("int").alias("strips"))
-    rows = rows.withColumn("strip", F.pmod(F.xxhash64("key"), "strips").cast("int"))
-    centres = rows.select("centre", F.col("centre").alias("key"), "strip").distinct()
-    roles = rows.select("centre", "key", "strip", F.lit(1).alias("partner")).unionByName(centres.withColumn("partner", F.lit(0)))
-    texts = nodes.join(ends, "key", "left_semi").select("th")
-    sets = made(docs, slots_of(texts, "th"), lambda s: [s], width, ["own"])
-    sets = sets.groupBy("key").agg(F.first("own").alias("own"))
-    met = roles.join(sets, "key").repartition("centre", "strip").sortWithinPartitions("centre", "strip", "partner")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, np.zeros(0, dtype=np.int64)
-        for batch in batches:
-            centre, key, strip, partner = (batch.column(c).to_numpy() for c in ("centre", "key", "strip", "partner"))
-            own = batch.column("own")
-            ends, flat = own.offsets.to_numpy(), own.values.to_numpy()
-            a, b = [], []
-            for i in range(len(key)):
-                s = flat[ends[i] : ends[i + 1]]
-                if not partner[i]:
-                    group, held = (centre[i], strip[i]), s.copy()
-                elif group == (centre[i], strip[i]) and len(s) and len(held):
-                    shared = int((held[np.minimum(np.searchsorted(held, s), len(held) - 1)] == s).sum())
-                    if 100 * shared >= least * (len(s) + len(held) - shared):
-                        a.append(centre[i])
-                        b.append(key[i])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return written(met.select("centre", "strip", "partner", "key", "own").mapInArrow(run, "a long, b long"), "alike")
+    return rows.mapInArrow(run, f"doc_id {kind}, th long, key long, n int, bits array<long>, firsts array<long>")
 
 
 def first_pairs(nodes: DataFrame) -> DataFrame:
@@ -286,30 +84,6 @@ def first_pairs(nodes: DataFrame) -> DataFrame:
     return rows.join(one, ["o", "h"]).filter("key <> one.key").select(F.least("key", "one.key").alias("a"), F.greatest("key", "one.key").alias("b")).distinct()
 
 
-def in_open_buckets(prefixes: DataFrame, roots: DataFrame) -> DataFrame:
-    """prefixes: key, tokens. key and h for the buckets that nodes of two components meet in."""
-    rows = prefixes.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    rooted_rows = rows.select(F.explode("tokens").alias("h"), "root")
-    opened = written(rooted_rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h"), "open")
-    wanted = slots_of(opened, "h")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = batch.column("tokens")
-            h = own.flatten().to_numpy()
-            key = np.repeat(batch.column("key").to_numpy(), np.diff(own.offsets.to_numpy()))
-            stays = slotted(wanted, h)
-            yield pa.RecordBatch.from_arrays([pa.array(key[stays]), pa.array(h[stays])], ["key", "h"])
-
-    return written(prefixes.mapInArrow(run, "key long, h long").join(opened, "h", "left_semi").select("key", "h").distinct(), "members")
-
-
-def share_prefix(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share a prefix token."""
-    own = prefixes.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi").dropDuplicates(["key"])
-    return with_ends(pairs, own, ["tokens"]).filter(F.arrays_overlap("tokens_a", "tokens_b")).select("a", "b")
-
-
 def forest_pairs(keys: np.ndarray, sizes: np.ndarray, roots: np.ndarray, bits: np.ndarray, likeliest: bool, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Of a group's pairs that the parities allow as many as connect what they all connect, the closest of each member first."""
     _, which, counts = np.unique(roots, return_inverse=True, return_counts=True)
@@ -342,37 +116,26 @@ def in_buckets(members: DataFrame, nodes: DataFrame, likeliest: bool, least: int
     return written(twos.unionByName(compared(larger, nodes, likeliest, least, pick=pick)).distinct(), "compared")
 
 
-def links(docs: DataFrame, marked: DataFrame, nodes: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
     """Links (a, b) of keys that connect exactly what pairs of alike sets connect."""
     full = nodes.filter("n > 0")
-    common, powers = common_tokens(marked)
     found = verified(close(first_pairs(full), full, least), full, docs, width, least)
-    roots = components(found)
-    orders = [f"tokens_{i}" for i in range(len(ORDERS))]
-    own = written(made(docs, None, functools.partial(prefixes_of, common=common, powers=powers, least=least), width, orders).filter(F.size(orders[0]) > 0), "prefixes")
-    filters, now = [own.select("key", F.col(o).alias("tokens")) for o in orders], None
-    for f in filters:
-        now = in_open_buckets(f if now is None else f.join(now.select("key").distinct(), "key", "left_semi"), roots)
-    now = now.join(full.select("key", "n"), "key")
+    now = in_shared_parts(docs, width, least, prefix_of).join(full.select("key", "n"), "key")
     for likeliest in (True, False):
         now = rooted(now.select("h", "key", "n"), found)
         if now.isEmpty():
             break
-        pairs = in_buckets(now, full, likeliest, least)
-        for f in filters[:-1]:
-            pairs = share_prefix(pairs, f)
-        found = found.unionByName(verified(pairs, full, docs, width, least))
+        found = found.unionByName(verified(in_buckets(now, full, likeliest, least), full, docs, width, least))
     return found
 
 
 def joined(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id reachable by links."""
     marked = written(signatures(docs, width), "sets")
-    rows = marked.filter("tokens IS NULL")
-    nodes = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("firsts").alias("firsts"))
+    nodes = marked.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("firsts").alias("firsts"))
     nodes = written(nodes, "nodes")
-    roots = components(links(docs, marked, nodes, width, least))
+    roots = components(links(docs, nodes, width, least))
     named = nodes.filter("n > 0").select("key", "first").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     classes = written(named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("key", "component_id"), "classes")
     own: Column = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "key", "n").join(classes, "key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+    return marked.select("doc_id", "key", "n").join(classes, "key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
