@@ -30,7 +30,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest doc_id.
 
     Near duplicates share 80 % of their five-word shingles or more, counted exactly. Candidates come from SimHash covering
-    tables, and from a prefix filter for pairs that lie beyond their radius.
+    tables, and from shared parts of the sets for pairs that lie beyond their radius.
     """
     return jaccard.deduplicated(docs)
 

@@ -243,7 +243,23 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, le
 
 def in_shared_parts(docs: DataFrame, width: int, least: int, prefix: Callable[[np.ndarray, int], np.ndarray] = lowest) -> DataFrame:
     """h and key for the buckets that parts of two sets or more are in."""
-    parts = made(docs, None, lambda s: [parts_of(s, least, prefix)], width, ["parts"])
-    rows = parts.select("key", F.explode("parts").alias("h")).filter("h IS NOT NULL").repartition("h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for _, texts in texts_in(batch):
+                keys, parts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+                for t in texts:
+                    s = shingle_set(t, width)
+                    k = key_of(s)
+                    if k not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(k)
+                        parts.append(parts_of(s, least, prefix))
+                        keys.append(np.full(len(parts[-1]), k, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(parts))], ["key", "h"])
+
+    rows = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "key long, h long").filter("h IS NOT NULL").repartition("h")
     shared = rows.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("h")
-    return written(rows.join(shared.hint("shuffle_hash"), "h", "left_semi").distinct(), "members")
+    return written(rows.distinct().join(shared.hint("shuffle_hash"), "h", "left_semi"), "members")  # distinct first: both sides then use one shuffle
