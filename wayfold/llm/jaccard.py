@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from wayfold.llm import simhash
 from wayfold.llm.common import folded, in_slots, slots_of, unfolded, written
 from wayfold.llm.shingles import close, in_shared_parts, key_of, lists, parities, shingle_set, texts_in, verified
-from wayfold.llm.simhash import components, fingerprint
+from wayfold.llm.simhash import components, connected, fingerprint
 
 #: Words of a shingle, percent that sets share, and bits of the SimHash that candidates of the first way differ in.
 WIDTH, LEAST, RADIUS = 5, 80, 4
@@ -55,10 +55,9 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, key long, n int, fp long, bits array<long>")
 
 
-def rooted(members: DataFrame, links: DataFrame) -> DataFrame:
-    """members of buckets that hold more than one component by links, with the root of theirs."""
-    roots = components(links).withColumnRenamed("node", "key")
-    rows = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+def rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """members of buckets that hold more than one component, with the root of theirs."""
+    rows = members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     apart = rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("h")
     return written(rows.join(apart, "h", "left_semi"), "apart")
 
@@ -125,28 +124,28 @@ def simhash_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return same.unionByName(near.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
 
 
-def links(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
-    """Links (a, b) of keys that connect exactly what pairs that share enough connect."""
+def roots_of(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
+    """node and root (keys) for all nodes but roots of the components that pairs that share enough make; each new link goes on from the roots before it."""
     full = nodes.filter("n > 0")
-    found = verified(close(simhash_pairs(full), full, least), full, docs, width, least)
-    now = rooted(in_shared_parts(docs, width, least).join(full.select("key", "n"), "key"), found)
+    roots = components(verified(close(simhash_pairs(full), full, least), full, docs, width, least))
+    now = rooted(in_shared_parts(docs, width, least).join(full.select("key", "n"), "key"), roots)
     one = now.groupBy("h").agg(F.min(F.struct(F.xxhash64("key"), "key", "root")).alias("one"))
     pairs = now.join(one, "h").filter(F.col("root") != F.col("one.root"))
     pairs = pairs.select(F.least("key", "one.key").alias("a"), F.greatest("key", "one.key").alias("b")).distinct()
-    found = found.unionByName(verified(close(pairs, full, least), full, docs, width, least))
+    roots = connected(roots, verified(close(pairs, full, least), full, docs, width, least))
     for likeliest in (True, False):
-        now = rooted(now.select("h", "key", "n"), found)
+        now = rooted(now.select("h", "key", "n"), roots)
         if now.isEmpty():
             break
-        found = found.unionByName(verified(compared(now, full, likeliest, least), full, docs, width, least))
-    return found
+        roots = connected(roots, verified(compared(now, full, likeliest, least), full, docs, width, least))
+    return roots
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
     """doc_id, th (xxhash64 of the text), component_id, the smallest doc_id reachable by links, and component, a number of it that is never null."""
     marked = written(signatures(docs, width), "signatures")
     nodes = written(marked.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("bits").alias("bits")), "nodes")
-    roots = components(links(docs, nodes, width, least))
+    roots = roots_of(docs, nodes, width, least)
     named = nodes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = named.select("key", "root").join(smallest, "root").select("key", F.col("root").alias("component"), "component_id")

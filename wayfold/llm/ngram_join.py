@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from wayfold.llm.common import written
 from wayfold.llm.jaccard import compared, group_pairs, rooted
 from wayfold.llm.shingles import close, in_shared_parts, key_of, lists, parities, prefix_size, shingle_set, texts_in, verified
-from wayfold.llm.simhash import components
+from wayfold.llm.simhash import components, connected
 
 #: Words of a shingle, and percent of the union that linked sets share.
 WIDTH, LEAST = 4, 85
@@ -116,17 +116,17 @@ def in_buckets(members: DataFrame, nodes: DataFrame, likeliest: bool, least: int
     return written(twos.unionByName(compared(larger, nodes, likeliest, least, pick=pick)).distinct(), "compared")
 
 
-def links(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
-    """Links (a, b) of keys that connect exactly what pairs of alike sets connect."""
+def roots_of(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
+    """node and root (keys) for all nodes but roots of the components that pairs of alike sets make."""
     full = nodes.filter("n > 0")
-    found = verified(close(first_pairs(full), full, least), full, docs, width, least)
+    roots = components(verified(close(first_pairs(full), full, least), full, docs, width, least))
     now = in_shared_parts(docs, width, least, prefix_of).join(full.select("key", "n"), "key")
     for likeliest in (True, False):
-        now = rooted(now.select("h", "key", "n"), found)
+        now = rooted(now.select("h", "key", "n"), roots)
         if now.isEmpty():
             break
-        found = found.unionByName(verified(in_buckets(now, full, likeliest, least), full, docs, width, least))
-    return found
+        roots = connected(roots, verified(in_buckets(now, full, likeliest, least), full, docs, width, least))
+    return roots
 
 
 def joined(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
@@ -134,7 +134,7 @@ def joined(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame
     marked = written(signatures(docs, width), "sets")
     nodes = marked.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("firsts").alias("firsts"))
     nodes = written(nodes, "nodes")
-    roots = components(links(docs, nodes, width, least))
+    roots = roots_of(docs, nodes, width, least)
     named = nodes.filter("n > 0").select("key", "first").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     classes = written(named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("key", "component_id"), "classes")
     own: Column = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))

@@ -206,11 +206,13 @@ def close(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, least: int) -> DataFrame:
     """The pairs (a, b) whose whole sets share enough. The end with more pairs is the centre: its set meets its partners' in strips."""
     pairs = written(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("d"))
     rows = with_ends(pairs, ends, ["d"])
     centre = F.expr("d_a > d_b OR d_a = d_b AND a < b")
     rows = rows.select(F.when(centre, F.col("a")).otherwise(F.col("b")).alias("centre"), F.when(centre, F.col("b")).otherwise(F.col("a")).alias("key"), F.ceil(F.greatest("d_a", "d_b") / STRIP).cast("int").alias("strips"))
-    rows = rows.withColumn("strip", F.pmod(F.xxhash64("key"), "strips").cast("int"))
+    rows = written(rows.withColumn("strip", F.pmod(F.xxhash64("key"), "strips").cast("int")), "strips")  # it is read twice: in one plan it would be there twice
     centres = rows.select("centre", F.col("centre").alias("key"), "strip").distinct()
     roles = rows.select("centre", "key", "strip", F.lit(1).alias("partner")).unionByName(centres.withColumn("partner", F.lit(0)))
     texts = nodes.join(ends, "key", "left_semi").select("th")

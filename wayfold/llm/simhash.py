@@ -152,25 +152,33 @@ def links(nodes: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
     return pairs.unionByName(large.mapInArrow(run, "a long, b long"))
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether distinct edges (a, b) with a > b lead each a to its root: an a has one edge, and is no b of another."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("leads")), F.struct(F.col("b").alias("node"), F.lit(0).alias("leads")))).alias("e")).select("e.*")
+    return ends.groupBy("node").agg(F.max("leads").alias("leads"), F.count("*").alias("n")).filter("leads = 1 AND n > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b): node and root, the least node connected with it, for all nodes but roots.
 
-    Large and small star steps in turn: each joins the neighbours of a node to the least of them.
+    Large and small star steps in turn, until all edges lead to roots: each joins the neighbours of a node to the least of them.
     """
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    while True:
+    while not are_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         # edges hold a > b; seen from b, the larger neighbour a goes to b's least
         edges = edges.join(least.withColumnRenamed("a", "b"), "b").filter("a <> m").select("a", F.col("m").alias("b")).distinct()
+        edges = written(edges, "edges")  # it is read twice: in one plan the step so far would be there twice
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
         edges = edges.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
         edges = written(edges, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if tuple(now) == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = tuple(now)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def connected(roots: DataFrame, new: DataFrame) -> DataFrame:
+    """node and root after new links (a, b), where components() gave roots before them."""
+    return roots if new.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
