@@ -7,6 +7,7 @@ import time
 import numpy as np
 
 from wayfold.llm import toxicity
+from wayfold.llm.common import load
 
 LEXICON = toxicity.Lexicon({"idiot": (60, 1), "clown": (30, 1), "rude": (40, 14)}, 100, 100)
 
@@ -43,3 +44,13 @@ def test_learns_and_keeps_other_columns(spark):
     kept = toxicity.kept(docs, labels)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(400) if i % 4]
+
+
+def test_scores_need_one_python_worker_a_task(spark, sf_dir):
+    """Scores are calibrated by Spark's own function, as numpy's interpolation gives them; a Python function would be a second worker in each task."""
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    assert "EvalPython" not in toxicity.kept(docs, labels)._jdf.queryExecution().executedPlan().toString()
+    model = toxicity.fit(docs, labels)
+    rows = model.score(toxicity.with_features(docs.select("doc_id", "text"), model.lexicon)).select("margin", "score").collect()
+    expected = np.clip(np.interp([r.margin for r in rows], model.calibration.boundaries.toArray(), model.calibration.predictions.toArray()), 0.0, 1.0)
+    assert np.allclose([r.score for r in rows], expected, rtol=1e-12, atol=1e-12)

@@ -149,13 +149,8 @@ class Model:
         scored = self.margin(rows)
         if self.calibration is None:
             return scored.withColumn("score", F.col("margin"))
-        bounds, values = self.calibration
-
-        @F.arrow_udf("double")
-        def calibrated(margins: pa.Array) -> pa.Array:  # between the points of the step function, as isotonic regression predicts, linearly
-            return pa.array(np.clip(np.interp(margins.to_numpy(zero_copy_only=False), bounds, values), 0.0, 1.0))
-
-        return scored.withColumn("score", calibrated("margin"))
+        # Spark's own prediction: a Python function here would be a second Python worker in each task
+        return self.calibration.transform(scored).withColumn("score", F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0))).drop("prediction")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
@@ -170,8 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     model.trees = GBTClassifier(featuresCol="x", labelCol="label", maxIter=TREES, maxDepth=DEPTH, minInstancesPerNode=3, seed=7).fit(model.assembler.transform(boosted))
     # equal margins are one weighted point, so none of them meet in one task
     held = model.margin(table.filter("fold = 2")).groupBy("margin").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight"))
-    steps = IsotonicRegression(featuresCol="margin", labelCol="label", weightCol="weight").fit(held)
-    model.calibration = steps.boundaries.toArray(), steps.predictions.toArray()
+    model.calibration = IsotonicRegression(featuresCol="margin", labelCol="label", weightCol="weight").fit(held)
     return model
 
 
