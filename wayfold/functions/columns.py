@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from wayfold.functions import vocab
 
 KM, M = 6371.0, 6_371_000.0
+#: Least and greatest latitude, then longitude, between which a place counts as one of the country.
+Box = tuple[float, float, float, float]
+KOREA: Box = (33.0, 39.0, 124.0, 132.0)
 
 
 def any_of(conditions: list[Column]) -> Column:
@@ -55,8 +58,13 @@ def _haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column
     return half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lng1, lng2)
 
 
+def in_box(lat: Column, lng: Column, box: Box | None) -> Column:
+    """Whether a point lies in a box, its edges included; without a box every point does."""
+    return F.lit(True) if box is None else lat.between(box[0], box[1]) & lng.between(box[2], box[3])
+
+
 def in_korea(lat: Column, lng: Column) -> Column:
-    return lat.between(33, 39) & lng.between(124, 132)
+    return in_box(lat, lng, KOREA)
 
 
 # dates; `now` is always a parameter

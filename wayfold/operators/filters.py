@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions import vocab
-from wayfold.functions.columns import any_of, clamp, in_korea, occurrences, strip_html, trimmed, words_of
+from wayfold.functions.columns import KOREA, Box, any_of, clamp, in_box, occurrences, strip_html, trimmed, words_of
 from wayfold.operators.cascade import place_core
 from wayfold.operators.relevance import blog_relevance, rule_class
 
@@ -120,8 +120,11 @@ def comment_relevance(text: Column, name: Column) -> Column:
     return clamp(points(has(vocab.COMMENT_TOPIC), 30) + points(has(vocab.COMMENT_HARD), 40) + points(has(vocab.COMMENT_GOOD), 20) + points(named, 20) - points(F.length(_text(text)) < 10, 20), 0, 100).cast("int")
 
 
-def checked_result(name: Column, location: Column, title: Column, category: Column, lat: Column, lng: Column, address: Column) -> Column:
-    """valid, confidence and reason of a search result for a name: its kind, coordinates, region and words, in this order."""
+def checked_result(name: Column, location: Column, title: Column, category: Column, lat: Column, lng: Column, address: Column, box: Box | None = KOREA) -> Column:
+    """valid, confidence and reason of a search result for a name: its kind, coordinates, region and words, in this order.
+
+    Coordinates outside the box are a reason, without a box only missing ones.
+    """
     title, address, location = strip_html(_text(title)), _text(address), _text(location)
     parts = F.filter(words_of(location), lambda w: F.length(w) >= 2)
     narrow = F.filter(parts, lambda w: ~w.isin(vocab.PROVINCES))
@@ -135,7 +138,7 @@ def checked_result(name: Column, location: Column, title: Column, category: Colu
     reason = F.coalesce(
         F.when(~F.contains(_text(category), F.lit("주차")) & ~F.contains(title, F.lit("주차")), "주차 카테고리/이름 아님"),
         F.when(lat.isNull() | lng.isNull(), "좌표 없음"),
-        F.when(~in_korea(lat, lng), "좌표 범위 밖"),
+        F.when(~in_box(lat, lng, box), "좌표 범위 밖"),
         F.when(known & (F.size(narrow) > 0) & ~within(narrow), F.concat(F.lit("지역 불일치: "), quoted(location), F.lit(" → "), quoted(F.array_join(narrow, ",")), F.lit(" not in "), quoted(address))),
         F.when(known & (F.size(narrow) == 0) & ~within(parts), F.concat(F.lit("지역 불일치: "), quoted(location), F.lit(" vs "), quoted(address))),
         F.when(F.size(words) == 0, "키워드 추출 실패"),
