@@ -36,7 +36,7 @@ def both(spark, path, con, name):
 NORTHERN = "SELECT * FROM {own} UNION ALL SELECT 5027, 'Supplier#000005027', 2, 0e0"
 
 
-@pytest.mark.parametrize("name", ["checked_results"])
+@pytest.mark.parametrize("name", ["checked_results", "resolved_places", "placed_texts"])
 def test_results_count_wherever_they_lie(spark, sf_dir, tmp_path, name):
     got, want = both(spark, *folder(tmp_path, sf_dir, supplier=NORTHERN), name)
     assert got == want

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfold.functions import vocab
-from wayfold.functions.columns import any_of, array_of, in_korea, round_half_up, trimmed, words_of
+from wayfold.functions.columns import KOREA, Box, any_of, array_of, in_box, round_half_up, trimmed, words_of
 from wayfold.operators.spatial import nearest
 
 #: Kinds of names that are worth a search, and the metres within which a found place is one of the catalogue.
@@ -88,12 +88,12 @@ def hints(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(HINT), 1))
 
 
-def with_evidence(results: DataFrame, lots: DataFrame, names: DataFrame, metres: float = SAME_PLACE_M) -> DataFrame:
+def with_evidence(results: DataFrame, lots: DataFrame, names: DataFrame, metres: float = SAME_PLACE_M, box: Box | None = KOREA) -> DataFrame:
     """resolved_places() with the place of the catalogue that the best result lies at, where all exist (lot), and whether
     that result is about the candidate (relevant): its address has one of the hints, or its name a word of the candidate's."""
     cores = F.filter(words_of(F.regexp_replace("normal", vocab.PARKING_KIND, " ")), lambda w: F.length(w) >= 2)
     names = names.select("candidate", F.col("name").alias("normal"), "hints").withColumn("cores", cores)
-    parking = results.filter((F.contains("category", F.lit("주차")) | F.contains("name", F.lit("주차"))) & in_korea(F.col("lat"), F.col("lng")))
+    parking = results.filter((F.contains("category", F.lit("주차")) | F.contains("name", F.lit("주차"))) & in_box(F.col("lat"), F.col("lng"), box))
     near = nearest(parking.select("id", "lat", "lng"), lots.select("id", "lat", "lng"), 0.003).select(F.col("left_id").alias("id"), F.col("right_id").alias("lot"), "metres")
     rows = parking.join(near, "id", "left").join(names, "candidate")
     score = F.size(F.filter("hints", lambda h: F.contains(F.col("address"), h)))
@@ -118,14 +118,14 @@ def with_evidence(results: DataFrame, lots: DataFrame, names: DataFrame, metres:
     return out.select("candidate", label.alias("label"), zero("parking_count"), zero("new_count"), best.alias("best"), F.when(existing, F.col("closest.lot")).alias("lot"), F.coalesce(relevant, F.lit(False)).alias("relevant"))
 
 
-def resolved_places(results: DataFrame, lots: DataFrame, names: DataFrame, metres: float = SAME_PLACE_M) -> DataFrame:
+def resolved_places(results: DataFrame, lots: DataFrame, names: DataFrame, metres: float = SAME_PLACE_M, box: Box | None = KOREA) -> DataFrame:
     """What search results say of each candidate: resolved_new, ambiguous_new, all_existing or negative, with the best result.
 
     results: candidate, id (unique), name, category, address, lat, lng; names: candidate, its name (normal) and hints.
-    Results count if they are parking places in the country; those within `metres` of a place of the catalogue exist already.
+    Results count if they are parking places in the box (the country; without one, anywhere); those within `metres` of a place of the catalogue exist already.
     Of several new ones the best has the most hints in its address (ties: the least id) and is sure if alone at the top.
     """
-    return with_evidence(results, lots, names, metres).select("candidate", "label", "parking_count", "new_count", "best")
+    return with_evidence(results, lots, names, metres, box).select("candidate", "label", "parking_count", "new_count", "best")
 
 
 def capped_text(rows: DataFrame, key: str, text: str, order: str, most: int = 4000) -> DataFrame:

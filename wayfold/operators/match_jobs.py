@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from wayfold.functions.columns import strip_html
+from wayfold.functions.columns import KOREA, Box, strip_html
 from wayfold.operators.cascade import MOST, best_places, place_keywords, word_places
 from wayfold.operators.discovery import SAME_PLACE_M, candidate_type, hints, normal_name, with_evidence
 from wayfold.operators.merge import insert_ignore
@@ -24,7 +24,7 @@ def _plain(c: Column) -> Column:
     return strip_html(F.coalesce(c, F.lit("")))
 
 
-def placed_texts(texts: DataFrame, key: str, title: str, content: str, full_text: str, lots: DataFrame, results: DataFrame, metres: float = SAME_PLACE_M, most: int = MOST) -> DataFrame:
+def placed_texts(texts: DataFrame, key: str, title: str, content: str, full_text: str, lots: DataFrame, results: DataFrame, metres: float = SAME_PLACE_M, most: int = MOST, box: Box | None = KOREA) -> DataFrame:
     """Every text once: key, stage, lot, score, and the name that its title tells.
 
     First by name (best_places). A text without such a place may tell a name: if it is noise, it ends there (stage noise).
@@ -44,7 +44,7 @@ def placed_texts(texts: DataFrame, key: str, title: str, content: str, full_text
     asked = left.filter("NOT _noise").select(F.col(key).alias("candidate"), "name", hints(F.concat_ws(" ", "_title", "_content")).alias("hints"))
     first = W.partitionBy(key).orderBy("id")
     own = results.withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") <= RESULTS).withColumnRenamed(key, "candidate")
-    found = with_evidence(own, lots.filter(F.col("lat").isNotNull()), asked, metres).filter("label = 'all_existing' AND relevant").select(F.col("candidate").alias(key), F.col("lot").alias("_lot"))
+    found = with_evidence(own, lots.filter(F.col("lat").isNotNull()), asked, metres, box).filter("label = 'all_existing' AND relevant").select(F.col("candidate").alias(key), F.col("lot").alias("_lot"))
     shown = lots.select(F.col("id").alias("_lot"), F.col("name").alias("_name"), F.col("address").alias("_address"))
     rest = left.join(found.join(shown, "_lot"), key, "left")
     stage = F.when(F.col("_noise"), "noise").when(F.col("_lot").isNotNull(), "coordinates").otherwise("missed")

@@ -89,7 +89,7 @@ FOUND = f"found AS (SELECT id, id AS text_id, {FOUND_NAME} AS name, category, {F
  FROM said s LEFT JOIN (SELECT * FROM cascade WHERE nth = 1) k USING (text_id) LEFT JOIN loud o USING (text_id) LEFT JOIN worth w USING (text_id)""")
 def _(c):
     results = c.results.select("id", F.col("id").alias("text_id"), F.expr(FOUND_NAME).alias("name"), "category", F.expr(FOUND_ADDRESS).alias("address"), "lat", "lng")
-    return match_jobs.placed_texts(asks(c).drop("id"), "text_id", "title", "content", "text", places(c), results)
+    return match_jobs.placed_texts(asks(c).drop("id"), "text_id", "title", "content", "text", places(c), results, box=None)
 
 
 STOPPED = ["주차장", "주차", "후기", "정보"]
