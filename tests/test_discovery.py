@@ -143,3 +143,9 @@ def test_crawled_titles(spark):
     assert score("한빛 시장", "주차", "한빛 주차장", "중구") == 50
     assert score("시장", "주차 중구", "한빛 시장 주차장", "중구") == 45
     assert score("중구", "주차", "한빛 주차장", "중구") == 30
+
+
+def test_mentions_are_merged_without_spaces_if_no_key_is_given(spark):
+    rows = spark.createDataFrame([("s", "Ab c", 1, "x", None, 7), ("s", "aB\nC", 2, "y", "t", 7), ("s", "d", 3, "z", "", 8)], "source string, name string, id int, category string, tip string, text_id int")
+    got = {(r.key, r.name, r.category, r.tip, r.mention_count, r.text_count) for r in discovery.merged_mentions(rows, "source", "name", "id").collect()}
+    assert got == {("abc", "Ab c", "x", "t", 2, 1), ("d", "d", "z", None, 1, 1)}

@@ -40,3 +40,12 @@ NORTHERN = "SELECT * FROM {own} UNION ALL SELECT 5027, 'Supplier#000005027', 2,
 def test_results_count_wherever_they_lie(spark, sf_dir, tmp_path, name):
     got, want = both(spark, *folder(tmp_path, sf_dir, supplier=NORTHERN), name)
     assert got == want
+
+
+#: First words that differ by a line break alone.
+BROKEN = "SELECT * FROM {own} UNION ALL SELECT 900000 + i, 0, 'user', CASE WHEN i < 2 THEN 'Abc.\nDef x' WHEN i < 4 THEN 'abc.def y' ELSE 'ABC.\nDEF z' END FROM range(6) t(i)"
+
+
+def test_names_with_line_breaks_stay_apart(spark, sf_dir, tmp_path):
+    got, want = both(spark, *folder(tmp_path, sf_dir, conversations=BROKEN), "merged_mentions")
+    assert got == want

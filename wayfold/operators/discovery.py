@@ -71,12 +71,12 @@ def missed_candidates(rows: DataFrame, name: str = "missed_lot_name", source: st
     return out.withColumn("extraction_confidence", confidence).withColumn("search_eligible", F.col("candidate_type").isin(SEARCHED))
 
 
-def merged_mentions(mentions: DataFrame, group: str, name: str, order: str, least: int = 1) -> DataFrame:
-    """Mentions of a place per group by name without case and spaces: how many, in how many texts, first name, category and tip.
+def merged_mentions(mentions: DataFrame, group: str, name: str, order: str, least: int = 1, key: Column | None = None) -> DataFrame:
+    """Mentions of a place per group by key, which is the name without case and spaces if none is given: how many, in how many texts, first name, category and tip.
 
     mentions also has text_id, category and tip. First means by `order`; tips that are null or empty are passed over.
     """
-    key = F.lower(F.regexp_replace(name, r"(?U)\s", ""))
+    key = F.lower(F.regexp_replace(name, r"(?U)\s", "")) if key is None else key
     tip = F.when(F.col("tip") != "", F.struct(F.col(order).alias("at"), "tip"))
     first = F.min_by(F.struct(F.col(name).alias("name"), "category"), order)
     out = mentions.groupBy(group, key.alias("key")).agg(first.alias("first"), F.min(tip)["tip"].alias("tip"), F.count("*").alias("mention_count"), F.count_distinct("text_id").alias("text_count"))
