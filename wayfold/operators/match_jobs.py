@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from wayfold.functions.columns import KOREA, Box, strip_html
-from wayfold.operators.cascade import MOST, best_places, place_keywords, word_places
+from wayfold.operators.cascade import MOST, best_places, place_keywords, places_by_kind, same_text, with_their_like, word_places
 from wayfold.operators.discovery import SAME_PLACE_M, candidate_type, hints, normal_name, with_evidence
 from wayfold.operators.merge import insert_ignore
 from wayfold.operators.relevance import blog_relevance, match_confidence, search_keywords
@@ -64,21 +64,30 @@ def searched(texts: DataFrame, key: str, keywords: str, lots: DataFrame, most: i
     """Per text up to `most` places: those that share most of its keywords' beginnings (ties by id); with fewer than `few` of them,
     also places whose names hold one of its first LOOKED_UP keywords, in order of keyword and id.
 
-    Texts of equal keywords are looked up once.
+    Texts of equal keywords are looked up once, and so are places of an equal name and address.
     """
+    return _searched(texts, key, keywords, places_by_kind(lots, most), most, few).select(key, "lot", "rank")
+
+
+def _searched(texts: DataFrame, key: str, keywords: str, kinds: DataFrame, most: int = CANDIDATES, few: int = FEW) -> DataFrame:
+    """searched() over places_by_kind(), with the least id of each place's like (_same)."""
+    lots = kinds.filter("_nth = 1")
     rows = texts.select(key, F.transform(keywords, F.lower).alias("_words")).filter(F.size("_words") > 0).withColumn("_set", F.sha2(F.array_join("_words", "\n"), 256))
     rows = stored(rows, "keywords")
     sets = rows.select("_set", "_words").dropDuplicates(["_set"])
     each = sets.select("_set", F.explode(F.array_distinct("_words")).alias("token"))
     hits = each.join(prefix_index(lots), "token").groupBy("_set", "lot").agg(F.count("*").alias("_hits"))
-    first = stored(hits.withColumn("_nth", F.row_number().over(W.partitionBy("_set").orderBy(F.desc("_hits"), "lot"))).filter(F.col("_nth") <= most), "first")
+    top = lambda df, order: df.withColumn("_nth", F.row_number().over(W.partitionBy("_set").orderBy(*order, "lot"))).filter(F.col("_nth") <= most).drop("_nth")
+    first = stored(with_their_like(top(hits, [F.desc("_hits")]), kinds, "_set", [F.desc("_hits")], most, "_nth"), "first")
     enough = first.groupBy("_set").agg(F.count("*").alias("_n")).filter(F.col("_n") >= few).select("_set")
     asked = sets.join(enough, "_set", "left_anti").select("_set", F.posexplode(F.slice("_words", 1, LOOKED_UP)).alias("_at", "_word"))
     names = word_places(asked, "_word", lots, F.array(F.lower(F.coalesce("name", F.lit("")))))
-    more = asked.join(names, "_word").groupBy("_set", "lot").agg(F.min("_at").alias("_at")).join(first.select("_set", "lot"), ["_set", "lot"], "left_anti")
-    both = first.select("_set", "lot", F.lit(-1).alias("_at"), "_nth").unionByName(more.select("_set", "lot", "_at", F.lit(0).alias("_nth")))
+    # with so few found all of them are among the first, and so are all of their like
+    more = asked.join(names, "_word").groupBy("_set", "lot").agg(F.min("_at").alias("_at")).join(first.select("_set", F.col("_same").alias("lot")), ["_set", "lot"], "left_anti")
+    more = with_their_like(top(more, [F.col("_at")]), kinds, "_set", [F.col("_at")], most, "_nth")
+    both = first.select("_set", "lot", "_same", F.lit(-1).alias("_at"), "_nth").unionByName(more.select("_set", "lot", "_same", "_at", F.lit(0).alias("_nth")))
     ranked = both.withColumn("rank", F.row_number().over(W.partitionBy("_set").orderBy("_at", "_nth", "lot"))).filter(F.col("rank") <= most)
-    return rows.select(key, "_set").join(ranked.select("_set", "lot", "rank"), "_set").select(key, "lot", "rank")
+    return rows.select(key, "_set").join(ranked.select("_set", "lot", "_same", "rank"), "_set").select(key, "lot", "rank", "_same")
 
 
 def decided_pairs(raw: DataFrame, lots: DataFrame, verdicts: DataFrame, stop: list[str]) -> DataFrame:
@@ -86,11 +95,18 @@ def decided_pairs(raw: DataFrame, lots: DataFrame, verdicts: DataFrame, stop: li
 
     raw: id (unique), title, content, filter_tier; verdicts: id, lot, filter_passed, as a model gave them, one for each pair.
     A sure match of a text of the high tier is linked by rule; all others by their verdict (model or rejected). Pairs without one are open.
+    Equal texts are searched for and held against places of an equal name and address once.
     """
     rows = raw.select("id", _plain(F.col("title")).alias("title"), _plain(F.col("content")).alias("content"), "filter_tier")
-    pairs = searched(rows.withColumn("_keys", search_keywords(F.col("title"), F.col("content"), stop)), "id", "_keys", lots)
-    met = pairs.join(rows, "id").join(lots.select(F.col("id").alias("lot"), F.col("name").alias("_name"), F.col("address").alias("_address")), "lot")
-    met = met.withColumn("m", match_confidence(F.col("title"), F.col("content"), F.col("_name"), F.col("_address"))).filter("m.confidence <> 'none'")
+    rows = rows.withColumn("_each", same_text(F.col("title"), F.col("content")))
+    each = stored(rows.select("_each", "title", "content").dropDuplicates(["_each"]), "different-texts")
+    kinds = places_by_kind(lots, CANDIDATES)
+    pairs = stored(_searched(each.withColumn("_keys", search_keywords(F.col("title"), F.col("content"), stop)), "_each", "_keys", kinds), "searched")
+    shown = kinds.filter("_nth = 1").select("_same", F.col("name").alias("_name"), F.col("address").alias("_address"))
+    held = pairs.select("_each", "_same").distinct().join(each, "_each").join(shown, "_same")
+    held = held.select("_each", "_same", match_confidence(F.col("title"), F.col("content"), F.col("_name"), F.col("_address")).alias("m"))
+    alike = stored(held, "held").filter("m.confidence <> 'none'").join(pairs.select("_each", "_same", "lot"), ["_each", "_same"])
+    met = rows.select("id", "filter_tier", "_each").join(alike, "_each")
     met = met.join(verdicts.select("id", "lot", F.col("filter_passed").alias("_passed")), ["id", "lot"], "left")
     by_rule = (F.col("m.confidence") == "high") & (F.coalesce("filter_tier", F.lit("")) == "high")
     decision = F.when(by_rule, "rule").when(F.col("_passed"), "model").when(F.col("_passed").isNotNull(), "rejected").otherwise("open")

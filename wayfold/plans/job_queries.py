@@ -9,7 +9,7 @@ from wayfold.operators import cascade, match_jobs
 from wayfold.plans.match_queries import CONTENT, KEYWORDS, ONCE, OWN_ADDRESS, OWN_NAME, SCORED, SIGHT, TITLE, TOWN
 from wayfold.plans.page_queries import MEANING, METRES
 from wayfold.plans.registry import query
-from wayfold.sources.shared import shared_path
+from wayfold.sources.shared import shared_path, stored
 from wayfold.sources.views import NOW
 
 _list = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
@@ -125,7 +125,7 @@ def _(c):
 @query("match_job_links", f"WITH {DECIDED} SELECT lot AS parking_lot_id, id AS raw_source_id, id || ':' || lot AS source_id, score AS relevance_score, CASE decision WHEN 'model' THEN 4.5e0 ELSE 2.5e0 END AS sentiment_score FROM decided WHERE decision IN ('rule', 'model')")
 def _(c):
     """Two runs of the job: the second finds only texts with open pairs, and adds no link twice."""
-    out = shared_path(c.spark, "match-job")
+    out, given = shared_path(c.spark, "match-job"), stored(verdicts(c), "verdicts")
     for batch in range(2):
-        match_jobs.run_match_job(raw(c), places(c), verdicts(c), out, batch, STOPPED, NOW)
+        match_jobs.run_match_job(raw(c), places(c), given, out, batch, STOPPED, NOW)
     return match_jobs.stored_links(c.spark, out).select("parking_lot_id", "raw_source_id", "source_id", "relevance_score", "sentiment_score")
