@@ -279,3 +279,11 @@ def test_nearest_places_equal_a_full_comparison_and_meet_few(spark, monkeypatch)
     got = {r.left_id: (round(r.metres, 6), r.right_id) for r in spatial.nearest(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), 0.2).collect()}
     assert got == want and got["s000"][1] == "z000" and got["e"][1] == "x" and got["f"][1] == "m" and "g" not in got and "h" not in got
     assert sum(pairs) < 6000  # of 36,900 in cells of 0.2 degrees
+
+
+def test_equal_texts_are_placed_by_one_lookup(spark, monkeypatch):
+    rows = [(i, "김제시립도서관 주차장 후기", "김제 요촌동 김제시립도서관 주차", "김제시립도서관 " * 40) for i in range(40)] + [(40, "스타필드 시티 위례 주차장", "위례대로 스타필드 시티 위례 주차", "")]
+    seen = seen_by(monkeypatch, cascade, "candidate_places", 0)
+    got = cascade.best_places(spark.createDataFrame(rows, "id int, title string, content string, text string"), "id", "title", "content", "text", lots(spark)).collect()
+    assert sorted((r.id, r.lot) for r in got) == [*((i, "a") for i in range(40)), (40, "b")]
+    assert seen == [2]
